@@ -11,9 +11,13 @@ DATETIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
 KINDS = {"numeric": NUMERIC, "text": (T.StringType,), "datetime": DATETIME}
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def dtype(df: DataFrame, name: str) -> T.DataType:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from scrubline.functions.classes import col, replace_column, require_text
 
-# Unicode-aware patterns.
-EDGE_BLANKS = r"(?U)^\s+|\s+$"
-BLANK_RUN = r"(?U)\s+"
-LETTERS_OR_REST = r"(\p{L}+|[^\p{L}]+)"
-SPECIAL = r"(?U)[^A-Za-z0-9\s]"
+# Unicode-aware patterns. The blanks are those of the White_Space property and the
+# four separator controls; a word is a run of letters that have a case.
+EDGE_BLANKS = r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
+BLANK_RUN = r"(?U)[\s\x1C-\x1F]+"
+WORDS_OR_REST = r"([\p{IsUppercase}\p{IsLowercase}\p{Lt}]+|[^\p{IsUppercase}\p{IsLowercase}\p{Lt}]+)"
+SPECIAL = r"(?U)[^A-Za-z0-9\s\x1C-\x1F]"
 
 
 def trim(value: Column) -> Column:
@@ -21,12 +22,15 @@ def trim(value: Column) -> Column:
 
 
 def title(value: Column) -> Column:
-    """A capital after every non-letter: ``it's o-neil`` becomes ``It'S O-Neil``."""
-    pieces = F.regexp_extract_all(value, F.lit(LETTERS_OR_REST), F.lit(0))
-    return F.array_join(
-        F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))),
-        "",
-    )
+    """A capital after everything that is no cased letter: ``it's o-neil`` becomes ``It'S O-Neil``."""
+    pieces = F.regexp_extract_all(value, F.lit(WORDS_OR_REST), F.lit(0))
+
+    def capital(piece: Column) -> Column:
+        # the capital of one letter can be two, of which the second stays small
+        first = F.upper(F.substring(piece, 1, 1))
+        return F.concat(F.substring(first, 1, 1), F.lower(F.concat(F.substr(first, F.lit(2)), F.substr(piece, F.lit(2)))))
+
+    return F.array_join(F.transform(pieces, capital), "")
 
 
 def remove_special(value: Column) -> Column:

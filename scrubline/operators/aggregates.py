@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.functions.classes import col, columns_of, dtype, is_numeric, require_numeric
+from scrubline.functions.classes import col, columns_of, dtype, is_numeric, quoted, require_numeric
 from scrubline.operators.quantiles import grouped_median
 from scrubline.operators.sampling import lowest_hashes
 
@@ -40,7 +40,7 @@ def top_values(df: DataFrame, name: str, k: int = 15) -> DataFrame:
     """The k most frequent values; equally frequent ones in value order."""
     return (
         df.where(col(name).isNotNull()).groupBy(col(name)).agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), F.asc("`" + name.replace("`", "``") + "`")).limit(k)
+        .orderBy(F.desc("count"), F.asc(quoted(name))).limit(k)
     )
 
 

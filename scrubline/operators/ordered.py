@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scrubline.functions.classes import col, is_datetime, is_numeric, replace_column
+from scrubline.functions.classes import col, is_datetime, is_numeric, quoted, replace_column
 from scrubline.operators.ranges import range_bounds, range_of
 
 RANGE = "__range"
@@ -25,12 +25,26 @@ def _with_range(df: DataFrame, order_by: list[str], ranges: int | None) -> tuple
     return df.withColumn(RANGE, range_of(order_by, bounds)), bounds is not None
 
 
-def _windows(order_by: list[str], partition_by: list[str]):
-    inside = W.partitionBy(*[col(c) for c in partition_by], F.col(RANGE)).orderBy(*[col(c) for c in order_by])
-    across = W.partitionBy(*[col(c) for c in partition_by]).orderBy(RANGE)
+def _windows(order_by: list[str], partition_by: list[str], forward: bool = True):
+    """Windows inside a range and across ranges.
+
+    Looking back in falling order is how the rows ahead are read: a frame that starts at the
+    current row and ends at the last one would be computed anew for every row.
+    """
+    turn = F.asc if forward else F.desc
+    inside = W.partitionBy(*[col(c) for c in partition_by], F.col(RANGE)).orderBy(*[turn(quoted(c)) for c in order_by])
+    across = W.partitionBy(*[col(c) for c in partition_by]).orderBy(turn(RANGE))
     return inside, across
 
 
+def _latest(value: Column, window) -> Column:
+    return F.last(value, ignorenulls=True).over(window.rowsBetween(W.unboundedPreceding, W.currentRow))
+
+
+def _before(value: Column, window) -> Column:
+    return F.last(value, ignorenulls=True).over(window.rowsBetween(W.unboundedPreceding, -1))
+
+
 def _carry(
     df: DataFrame, partition_by: list[str], summary: list[Column], carried: list[Column]
 ) -> DataFrame:
@@ -69,20 +83,14 @@ def _fill(df: DataFrame, name: str, order_by: list[str], partition_by: list[str]
     parts = partition_by or []
     value = col(name)
     ranged, split = _with_range(df, order_by, ranges)
-    inside, across = _windows(order_by, parts)
-    if forward:
-        local = F.last(value, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
-        far = F.last("__held", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1))
-        held = F.max_by(value, _present_key(value, order_by))
-    else:
-        local = F.first(value, ignorenulls=True).over(inside.rowsBetween(W.currentRow, W.unboundedFollowing))
-        far = F.first("__held", ignorenulls=True).over(across.rowsBetween(1, W.unboundedFollowing))
-        held = F.min_by(value, _present_key(value, order_by))
+    inside, across = _windows(order_by, parts, forward)
+    local = _latest(value, inside)
     if not split:
         return replace_column(ranged, name, local).select(*[col(c) for c in df.columns])
-    carried = _carry(ranged, parts, [held.alias("__held")], [far.alias("__far")])
-    filled = F.coalesce(value, local, F.col("__far"))
-    return replace_column(carried, name, filled).select(*[col(c) for c in df.columns])
+    pick = F.max_by if forward else F.min_by
+    held = pick(value, _present_key(value, order_by)).alias("__held")
+    carried = _carry(ranged, parts, [held], [_before(F.col("__held"), across).alias("__far")])
+    return replace_column(carried, name, F.coalesce(local, F.col("__far"))).select(*[col(c) for c in df.columns])
 
 
 def _present_key(value: Column, order_by: list[str]) -> Column:
@@ -120,25 +128,18 @@ def interpolate(
     ranged, split = _with_range(data, order_by, ranges)
     inside, across = _windows(order_by, parts)
     value = col(name)
-    row = F.row_number().over(inside).cast("bigint")
+    ahead, ahead_across = _windows(order_by, parts, forward=False)
     point = F.when(value.isNotNull(), F.struct(F.col("__row").alias("at"), value.alias("v")))
-    back = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ahead = inside.rowsBetween(W.currentRow, W.unboundedFollowing)
     if not split:
-        rows = ranged.withColumn("__row", row)
-        rows = rows.withColumn("__prev", F.last(point, ignorenulls=True).over(back))
-        rows = rows.withColumn("__next", F.first(point, ignorenulls=True).over(ahead))
+        rows = ranged.withColumn("__row", F.row_number().over(inside).cast("bigint"))
     else:
         # positions first, since points carried across ranges need them
-        numbered = number_rows(data, order_by, "__row", parts, ranges)
-        rows, _ = _with_range(numbered, order_by, ranges)
-        rows = rows.withColumn("__prev", F.last(point, ignorenulls=True).over(back))
-        rows = rows.withColumn("__next", F.first(point, ignorenulls=True).over(ahead))
+        rows, _ = _with_range(number_rows(data, order_by, "__row", parts, ranges), order_by, ranges)
+    rows = rows.withColumn("__prev", _latest(point, inside)).withColumn("__next", _latest(point, ahead))
+    if split:
         rows = _carry(
-            rows, parts,
-            [F.max(point).alias("__last"), F.min(point).alias("__first")],
-            [F.last("__last", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias("__from"),
-             F.first("__first", ignorenulls=True).over(across.rowsBetween(1, W.unboundedFollowing)).alias("__to")])
+            rows, parts, [F.max(point).alias("__last"), F.min(point).alias("__first")],
+            [_before(F.col("__last"), across).alias("__from"), _before(F.col("__first"), ahead_across).alias("__to")])
         rows = rows.withColumn("__prev", F.coalesce("__prev", "__from")).withColumn("__next", F.coalesce("__next", "__to"))
     p, n = F.col("__prev"), F.col("__next")
     between = p["v"] + (n["v"] - p["v"]) * F.try_divide(F.col("__row") - p["at"], n["at"] - p["at"])

@@ -42,14 +42,19 @@ def range_bounds(df: DataFrame, order_by: list[str], ranges: int | None = None)
     if ranges < 2:
         return None
     share = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
-    drawn = [r["k"] for r in keys.sample(share, seed=42).orderBy("k").select(F.to_json("k").alias("k")).collect()]
-    step = max(1, math.ceil(len(drawn) / ranges))
-    cuts = drawn[step::step]
-    if not cuts:
-        return None
     kind = keys.schema["k"].dataType
-    # one foldable expression; sorted again, since parsing may round a key
-    return F.array_sort(F.from_json(F.lit("[" + ",".join(cuts) + "]"), T.ArrayType(kind)))
+    texts = [F.col(f"k.{f.name}").cast("string").alias(f.name) for f in kind.fields]
+    drawn = keys.sample(share, seed=42).orderBy("k").select(*texts).collect()
+    step = max(1, math.ceil(len(drawn) / ranges))
+    cuts = ["struct(" + ", ".join(_literal(v, f.dataType) for v, f in zip(c, kind.fields)) + ")" for c in drawn[step::step]]
+    # one foldable expression; sorted again, since a text form may round a key
+    return F.expr(f"sort_array(cast(array({', '.join(cuts)}) as array<{kind.simpleString()}>))") if cuts else None
+
+
+def _literal(text: str | None, kind: T.DataType) -> str:
+    if text is None:
+        return f"cast(null as {kind.simpleString()})"
+    return f"cast(decode(unhex('{text.encode().hex()}'), 'utf-8') as {kind.simpleString()})"
 
 
 def range_of(order_by: list[str], cuts: Column | None) -> Column:

@@ -47,7 +47,7 @@ class Recipe:
 
     steps: list[Step] = field(default_factory=list)
 
-    def add(self, action: str, **params) -> Recipe:
+    def add(self, action: str, /, **params) -> Recipe:
         """A new recipe with one more step."""
         if action not in STEPS:
             raise ValueError(f"action must be one of {sorted(STEPS)}")
