@@ -13,7 +13,6 @@ from scrubline.functions.classes import (
 
 # The number syntax accepted from text (ASCII blanks around it are allowed).
 NUMBER = r"^[ \t\r\n\f\x0B]*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)[ \t\r\n\f\x0B]*$"
-INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 BLANKS = " \t\r\n\f\x0b"
 
 # Strptime codes and the datetime pattern letters they stand for.
@@ -54,13 +53,10 @@ def parse_number(value: Column) -> Column:
 
     The pattern guard is needed because a plain cast also takes ``1d`` and ``5f``.
     """
-    trimmed = F.btrim(value, F.lit(BLANKS))
-    unsigned_inf = F.when(trimmed.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    finite = trimmed.try_cast("double")
-    return (
-        F.when(value.rlike(INFINITE), unsigned_inf)
-        .when(value.rlike(NUMBER) & (F.abs(finite) != float("inf")), finite)
-    )
+    number = F.btrim(value, F.lit(BLANKS)).try_cast("double")
+    # digits beyond the range of a double are no number, the word for infinity is one
+    overflow = (F.abs(number) == float("inf")) & value.rlike(r"\d")
+    return F.when(value.rlike(NUMBER) & ~overflow, number)
 
 
 def looks_numeric(value: Column) -> Column:

@@ -47,28 +47,32 @@ def top_values(df: DataFrame, name: str, k: int = 15) -> DataFrame:
 def correlation_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, one row per cell.
 
-    Each pair uses the rows where both values are present. All pairs come from one scan. Cells of
-    a column without spread are NULL.
+    Each pair uses the rows where both values are present. All pairs come from one scan; a first
+    count finds the columns without gaps, whose spread need not be taken anew for every pair.
+    Cells of a column without spread are NULL.
     """
     names = names or columns_of(df, "numeric")
     require_numeric(df, *names)
     if len(names) < 2:
         raise ValueError("two numeric columns are needed")
     numbers = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    aggs = []
-    for i, j in pairs:
-        x, y = F.col(f"c{i}"), F.col(f"c{j}")
-        aggs += [
-            F.covar_pop(x, y).alias(f"cov_{i}_{j}"),
-            F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"sx_{i}_{j}"),
-            F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"sy_{i}_{j}"),
-        ]
+    filled = numbers.agg(*[(F.count(c) == F.count("*")).alias(c) for c in numbers.columns]).head()
+    aggs = [F.stddev_pop(f"c{i}").alias(f"s_{i}") for i in range(len(names))]
+    for i in range(len(names)):
+        for j in range(i + 1, len(names)):
+            x, y = F.col(f"c{i}"), F.col(f"c{j}")
+            aggs.append(F.covar_pop(x, y).alias(f"cov_{i}_{j}"))
+            if not filled[j]:
+                aggs.append(F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"sx_{i}_{j}"))
+            if not filled[i]:
+                aggs.append(F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"sy_{i}_{j}"))
     one = numbers.agg(*aggs)
 
     def cell(i: int, j: int) -> Column:
+        if i == j:
+            return F.when(F.col(f"s_{i}") > 0, 1.0)
         a, b = min(i, j), max(i, j)
-        spread = F.col(f"sx_{a}_{b}") * F.col(f"sy_{a}_{b}")
+        spread = (F.col(f"s_{a}" if filled[b] else f"sx_{a}_{b}") * F.col(f"s_{b}" if filled[a] else f"sy_{a}_{b}"))
         return F.when(spread > 0, F.try_divide(F.col(f"cov_{a}_{b}"), spread))
 
     cells = [F.struct(F.lit(names[i]).alias("column_x"), F.lit(names[j]).alias("column_y"), cell(i, j).alias("corr"))

@@ -121,6 +121,10 @@ def train_forest(
     assembler = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(inputs))], outputCol="features")
     encoded = rows.select(*[col(k) for k in key], "__label", *[x.alias(f"__f{i}") for i, (_, x) in enumerate(inputs)])
     train, test = split(encoded, key, seed=seed)
+    # the forest passes over the training rows once per level: spread them if a file came as few parts
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if train.rdd.getNumPartitions() < cores:
+        train = train.repartition(cores)
     shared = {"featuresCol": "features", "numTrees": trees, "maxDepth": depth, "seed": seed, "maxBins": max_bins}
     classes = None
     if problem == "regression":

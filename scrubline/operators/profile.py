@@ -12,7 +12,7 @@ from scrubline.functions.classes import col, columns_of
 from scrubline.functions.convert import (
     DATE_FORMATS, date_name, date_text_flags, looks_numeric, numeric_text_flags, parse_timestamp,
 )
-from scrubline.operators.quantiles import quantile_columns
+from scrubline.operators.quantiles import quantile_columns, quantile_row
 from scrubline.operators.sampling import lowest_hashes
 
 # Fixed values of the quality score.
@@ -158,10 +158,18 @@ def _no_order() -> list[str]:
 
 def fences(df: DataFrame, names: list[str], mult: float = 1.5, approx: bool = False) -> dict[str, tuple[Column, ...]]:
     """Per column: q1, q3 and the bounds beyond which a value is an outlier."""
-    out = {}
-    for c, (q1, q3) in quantile_columns(df, {c: [0.25, 0.75] for c in names}, approx).items():
-        out[c] = (q1, q3, q1 - (q3 - q1) * mult, q3 + (q3 - q1) * mult)
-    return out
+    if not names:
+        return {}
+    row = quantile_row(df, {c: [0.25, 0.75] for c in names}, approx)
+
+    def box(q: Column) -> Column:
+        q1, q3 = q[0], q[1]
+        reach = (q3 - q1) * mult
+        return F.struct(q1.alias("q1"), q3.alias("q3"), (q1 - reach).alias("low"), (q3 + reach).alias("high"))
+
+    # the bounds are computed inside the one-row query, so that each use is a single reference
+    stats = row.select(F.struct(*[box(F.col(q)).alias(q) for q in row.columns]).alias("s")).scalar()
+    return {c: tuple(stats[f"q{i}"][part] for part in ("q1", "q3", "low", "high")) for i, c in enumerate(names)}
 
 
 def iqr_counts(df: DataFrame, approx: bool = False) -> DataFrame:

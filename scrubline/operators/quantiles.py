@@ -27,31 +27,36 @@ BRACKET_ROWS = 2_000_000
 ACCURACY = 10_000
 
 
-def quantile_columns(
+def quantile_row(
     df: DataFrame,
     wanted: dict[str, list[float]],
     approx: bool = False,
     one_pass_bytes: int = ONE_PASS_BYTES,
     bracket_rows: int = BRACKET_ROWS,
-) -> dict[str, list[Column]]:
-    """Expressions for the wanted quantiles of several columns, NULL where a column is empty.
+) -> DataFrame:
+    """One row with an array ``q0``, ``q1``, ... per wanted column, NULL entries for an empty one.
 
-    The expressions can be used in any query of the session: they are a scalar subquery for a
-    small input or with ``approx``, and literals otherwise.
+    A lazy aggregate for a small input or with ``approx``, literals otherwise.
     """
-    if not wanted:
-        return {}
     if approx or plan_bytes(df.select(*[col(c) for c in wanted])) <= one_pass_bytes:
         parts = []
         for i, (name, probs) in enumerate(wanted.items()):
             value, array = col(name).cast("double"), F.array(*[F.lit(float(p)) for p in probs])
             found = F.percentile_approx(value, array, ACCURACY) if approx else F.percentile(value, array)
-            parts.append(found.alias(f"c{i}"))
-        stats = df.agg(F.struct(*parts).alias("s")).scalar()
-        return {c: [stats[f"c{i}"][j] for j in range(len(probs))]
-                for i, (c, probs) in enumerate(wanted.items())}
+            parts.append(found.alias(f"q{i}"))
+        return df.agg(*parts)
     values = exact_quantiles(df, wanted, bracket_rows)
-    return {c: [F.lit(v).cast("double") for v in vs] for c, vs in values.items()}
+    return df.sparkSession.range(1).select(*[
+        F.array(*[F.lit(v).cast("double") for v in vs]).alias(f"q{i}") for i, vs in enumerate(values.values())])
+
+
+def quantile_columns(df: DataFrame, wanted: dict[str, list[float]], approx: bool = False, **sizes) -> dict[str, list[Column]]:
+    """Expressions for the wanted quantiles of several columns, usable in any query of the session."""
+    if not wanted:
+        return {}
+    row = quantile_row(df, wanted, approx, **sizes)
+    stats = row.select(F.struct(*row.columns).alias("s")).scalar()
+    return {c: [stats[f"q{i}"][j] for j in range(len(probs))] for i, (c, probs) in enumerate(wanted.items())}
 
 
 def exact_quantiles(
