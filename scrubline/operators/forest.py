@@ -112,7 +112,10 @@ def train_forest(
     rows = prepare_training(df, features, target, key, max_rows)
     if rows.limit(MIN_ROWS).count() < MIN_ROWS:
         raise ValueError(f"at least {MIN_ROWS} complete rows are needed")
-    problem = infer_problem(rows, target)
+    stats = problem_stats(rows, target).head()
+    problem = stats["problem"]
+    if problem == "classification" and stats["distinct_values"] > MAX_CATEGORIES:
+        raise ValueError(f"column {target!r} has over {MAX_CATEGORIES} classes")
     rows = rows.withColumn("__label", col(target).cast("double" if problem == "regression" else "string"))
     for c in features:
         if dtype(df, c).simpleString() == "boolean":

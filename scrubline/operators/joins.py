@@ -26,7 +26,7 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     Keys of the same name give one key column; keys of different names are both kept. Other
     names on both sides get ``_x`` and ``_y``. Null-safe equality is an equi-join for the
     planner: it broadcasts a side measured small and sort-merges otherwise, and adaptive
-    execution splits a key that holds much of the table.
+    execution splits a key that holds much of the table, the missing key included.
     """
     if how not in HOW:
         raise ValueError(f"how must be one of {HOW}")
@@ -49,7 +49,13 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     a = left.select(*[col(c).alias(f"l{i}") for i, c in enumerate(left.columns)])
     b = right.select(*[col(c).alias(f"r{i}") for i, c in enumerate(right.columns)])
     a_key, b_key = f"l{left.columns.index(left_key)}", f"r{right.columns.index(right_key)}"
-    joined = a.join(b, F.col(a_key).eqNullSafe(F.col(b_key)), "full" if how == "outer" else how)
+    same = F.col(a_key).eqNullSafe(F.col(b_key))
+    if how == "outer":
+        # adaptive execution can split a dominant key in left and anti joins, not in full joins
+        alone = b.join(a.select(a_key).distinct(), same, "left_anti")
+        joined = a.join(b, same, "left").unionByName(alone, allowMissingColumns=True)
+    else:
+        joined = a.join(b, same, how)
 
     picked = []
     for i, name in enumerate(left_names):

@@ -63,81 +63,94 @@ def exact_quantiles(
     df: DataFrame, wanted: dict[str, list[float]], bracket_rows: int = BRACKET_ROWS
 ) -> dict[str, list[float | None]]:
     """The wanted quantiles as numbers, by narrowing brackets (see the module text)."""
-    data = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(wanted)])
-    targets = [(i, p) for i, probs in enumerate(wanted.values()) for p in probs]
-    ends = data.agg(*[x for i in range(len(wanted)) for x in (
-        F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"))]).head()
-
-    brackets = {}
-    for t, (i, p) in enumerate(targets):
-        n = ends[f"n{i}"]
-        if n:
-            rank = p * (n - 1)
-            brackets[t] = {"c": i, "rank": rank, "lo": ends[f"lo{i}"], "hi": ends[f"hi{i}"],
-                           "below": 0, "inside": n}
+    names = list(wanted)
+    data = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    sizes = data.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))]).head()
+    places = {(c, p): p * (sizes[i] - 1) for i, c in enumerate(names) for p in wanted[c] if sizes[i]}
+    ranks = {(names.index(c), k) for (c, _), at in places.items() for k in (math.floor(at), math.ceil(at))}
+    found = order_statistics(data, sorted(ranks), list(sizes), bracket_rows)
+
+    def value(c: str, p: float) -> float | None:
+        if (c, p) not in places:
+            return None
+        at, i = places[(c, p)], names.index(c)
+        part = at - math.floor(at)
+        low, high = found[(i, math.floor(at))], found[(i, math.ceil(at))]
+        return low if part == 0 else (1 - part) * low + part * high
+
+    return {c: [value(c, p) for p in wanted[c]] for c in names}
+
+
+def order_statistics(
+    data: DataFrame, ranks: list[tuple[int, int]], sizes: list[int], bracket_rows: int
+) -> dict[tuple[int, int], float]:
+    """The values at the given (column number, rank from 0) of the columns c0, c1, ...
+
+    A bracket is an open interval known to hold the wanted value. Each round takes two sketched
+    values around the rank and counts what lies below, on, and between them. A value that fills
+    much of the column is settled as soon as it is one of the two, so no bracket stays large.
+    """
+    done: dict[tuple[int, int], float] = {}
+    open_ = {t: {"low": None, "high": None, "below": 0, "inside": sizes[t[0]], "reach": 3} for t in ranks}
     while True:
-        active = {t: b for t, b in brackets.items()
-                  if b["lo"] < b["hi"] and b["inside"] > bracket_rows and not b.get("stuck")}
+        active = [(t, b) for t, b in open_.items() if b["inside"] > bracket_rows]
         if not active:
             break
         guesses = data.agg(*[
-            F.percentile_approx(
-                F.when(F.col(f"c{b['c']}").between(b["lo"], b["hi"]), F.col(f"c{b['c']}")),
-                F.array(*[F.lit(q) for q in _around(b)]), ACCURACY).alias(f"g{t}")
-            for t, b in active.items()]).head()
-        counts = data.agg(*[x for t, b in active.items() for x in (
-            F.count_if(F.col(f"c{b['c']}") < guesses[f"g{t}"][0]).alias(f"below{t}"),
-            F.count_if(F.col(f"c{b['c']}").between(*guesses[f"g{t}"])).alias(f"inside{t}"))]).head()
-        for t, b in active.items():
-            below, inside = counts[f"below{t}"], counts[f"inside{t}"]
-            holds = below <= math.floor(b["rank"]) and math.ceil(b["rank"]) < below + inside
-            if holds and inside < b["inside"]:
-                b.update(lo=guesses[f"g{t}"][0], hi=guesses[f"g{t}"][1], below=below, inside=inside)
+            F.percentile_approx(F.when(_within(t, b), F.col(f"c{t[0]}")), F.array(*[F.lit(q) for q in _around(t, b)]), ACCURACY)
+            for t, b in active]).head()
+        tests = []
+        for (t, _), (g, h) in zip(active, guesses):
+            v = F.col(f"c{t[0]}")
+            tests += [F.count_if(v < g), F.count_if(v == g), F.count_if((v > g) & (v < h)), F.count_if(v == h)]
+        counts = data.agg(*[x.alias(f"t{i}") for i, x in enumerate(tests)]).head()
+        for n, ((t, b), (g, h)) in enumerate(zip(active, guesses)):
+            below, on_low, between, on_high = counts[4 * n:4 * n + 4]
+            rank = t[1]
+            if below <= rank < below + on_low:
+                done[t] = g
+            elif below + on_low <= rank < below + on_low + between:
+                b.update(low=g, high=h, below=below + on_low, inside=between)
+            elif h > g and below + on_low + between <= rank < below + on_low + between + on_high:
+                done[t] = h
             else:
-                b["stuck"] = True
-
-    found = _values_at(data, brackets)
-    out: dict[str, list[float | None]] = {}
-    for t, (i, _) in enumerate(targets):
-        name = list(wanted)[i]
-        value = None
-        if t in found:
-            low, high = found[t]
-            part = brackets[t]["rank"] - math.floor(brackets[t]["rank"])
-            value = low if part == 0 else (1 - part) * low + part * high
-        out.setdefault(name, []).append(value)
-    return out
-
-
-def _around(bracket: dict) -> list[float]:
-    at = (bracket["rank"] - bracket["below"]) / max(bracket["inside"] - 1, 1)
-    step = 3 / ACCURACY
-    return [max(0.0, at - step), min(1.0, at + step)]
-
-
-def _values_at(data: DataFrame, brackets: dict) -> dict[int, tuple[float, float]]:
-    """The two order statistics around each rank, from the rows inside the brackets."""
-    done = {t: (b["lo"], b["lo"]) for t, b in brackets.items() if b["lo"] == b["hi"]}
-    rest = {t: b for t, b in brackets.items() if t not in done}
-    if not rest:
-        return done
+                b["reach"] *= 4  # the sketch missed the rank: look further around it
+        open_ = {t: b for t, b in open_.items() if t not in done}
+    return done | _values_at(data, open_)
+
+
+def _within(target: tuple[int, int], bracket: dict) -> Column:
+    v = F.col(f"c{target[0]}")
+    test = v.isNotNull()
+    if bracket["low"] is not None:
+        test = test & (v > bracket["low"])
+    if bracket["high"] is not None:
+        test = test & (v < bracket["high"])
+    return test
+
+
+def _around(target: tuple[int, int], bracket: dict) -> list[float]:
+    at = (target[1] - bracket["below"]) / max(bracket["inside"] - 1, 1)
+    step = bracket["reach"] / ACCURACY
+    return [min(max(0.0, at - step), 1.0), min(1.0, at + step)]
+
+
+def _values_at(data: DataFrame, open_: dict) -> dict[tuple[int, int], float]:
+    """The wanted values inside brackets of few rows."""
+    if not open_:
+        return {}
+    targets = list(open_.items())
     picks = F.filter(
-        F.array(*[F.struct(F.lit(t).alias("t"),
-                           F.when(F.col(f"c{b['c']}").between(b["lo"], b["hi"]), F.col(f"c{b['c']}")).alias("v"))
-                  for t, b in rest.items()]),
+        F.array(*[F.struct(F.lit(n).alias("t"), F.when(_within(t, b), F.col(f"c{t[0]}")).alias("v")) for n, (t, b) in enumerate(targets)]),
         lambda x: x["v"].isNotNull())
-    counted = (data.select(F.explode(picks).alias("x")).groupBy("x.t", "x.v").agg(F.count("*").alias("n")))
-    upto = F.sum("n").over(W.partitionBy("t").orderBy("v"))
-    low = F.create_map(*[x for t, b in rest.items() for x in (F.lit(t), F.lit(math.floor(b["rank"]) - b["below"]))])
-    high = F.create_map(*[x for t, b in rest.items() for x in (F.lit(t), F.lit(math.ceil(b["rank"]) - b["below"]))])
+    counted = data.select(F.explode(picks).alias("x")).groupBy("x.t", "x.v").agg(F.count("*").alias("n"))
+    rank = F.create_map(*[x for n, (t, b) in enumerate(targets) for x in (F.lit(n), F.lit(t[1] - b["below"]).cast("bigint"))])
     rows = (
-        counted.withColumn("upto", upto)
-        .groupBy("t")
-        .agg(F.min(F.when(F.col("upto") > low[F.col("t")], F.col("v"))).alias("low"),
-             F.min(F.when(F.col("upto") > high[F.col("t")], F.col("v"))).alias("high"))
-        .collect()
+        counted.withColumn("upto", F.sum("n").over(W.partitionBy("t").orderBy("v")))
+        .where(F.col("upto") > rank[F.col("t")])
+        .groupBy("t").agg(F.min("v").alias("v")).collect()
     )
-    return done | {r["t"]: (r["low"], r["high"]) for r in rows}
+    return {targets[r["t"]][0]: r["v"] for r in rows}
 
 
 def grouped_median(

@@ -12,6 +12,12 @@ from scrubline.operators.issues import detect_issues
 from scrubline.operators.missing import fill_median, fill_mode
 from scrubline.operators.profile import duplicate_count
 
+# The wording of the list of actions.
+MEDIAN, MODE = "Filled '{}' with median", "Filled '{}' with mode"
+COPIES = "Removed {:,} duplicate rows"
+NUMBER, DATE = "Converted '{}' to numeric", "Converted '{}' to datetime"
+SKIPPED = "Could not auto-fix {}"
+
 
 def _eight_digits(df: DataFrame, name: str) -> bool:
     return guess_format(df, name) == "%Y%m%d"
@@ -37,24 +43,24 @@ def auto_fix(df: DataFrame, issues: list | None = None) -> tuple[DataFrame, list
         if issue["type"] == "missing_values":
             if is_numeric(fixed, name, with_bool=True) and not isinstance(fixed.schema[name].dataType, T.BooleanType):
                 fixed = fill_median(fixed, name)
-                actions.append(f"Filled '{name}' with median")
+                actions.append(MEDIAN.format(name))
             else:
                 fixed = fill_mode(fixed, name)
-                actions.append(f"Filled '{name}' with mode")
+                actions.append(MODE.format(name))
         elif issue["type"] == "duplicates":
             removed = duplicate_count(fixed).head()["duplicates"]
             fixed = drop_duplicates(fixed)
-            actions.append(f"Removed {removed:,} duplicate rows")
+            actions.append(COPIES.format(removed))
         elif issue["action"] == "convert_numeric":
             if not (name in both and _eight_digits(df, name)):
                 fixed = to_float(fixed, name)
-                actions.append(f"Converted '{name}' to numeric")
+                actions.append(NUMBER.format(name))
         elif issue["action"] == "convert_datetime" and is_text(fixed, name):
             # the format is read off the source table, which holds all values that can occur
             fmt = guess_format(df, name)
             if fmt is None:
-                actions.append(f"Could not convert '{name}'")
+                actions.append(SKIPPED.format(name))
                 continue
             fixed = to_timestamp(fixed, name, fmt)
-            actions.append(f"Converted '{name}' to datetime")
+            actions.append(DATE.format(name))
     return fixed, actions

@@ -95,6 +95,7 @@ def test_exact_quantiles_by_brackets(spark):
     data = pd.DataFrame({"a": rng.normal(size=20_000), "b": rng.integers(0, 5, 20_000).astype(float),
                          "c": np.where(rng.random(20_000) < 0.4, 3.0, rng.random(20_000) * 6)})
     data.loc[:3000, "a"] = np.nan
+    data.loc[data.index % 2 == 0, "c"] = 1.0
     df = normalize_missing(spark.createDataFrame(data)).withColumn("e", F.lit(None).cast("double"))
     wanted = {c: [0.0, 0.05, 0.25, 0.5, 0.75, 1.0] for c in "abc"} | {"e": [0.5]}
     found = quantiles.exact_quantiles(df, wanted, bracket_rows=50)
