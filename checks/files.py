@@ -9,7 +9,7 @@ from scrubline.session import scratch_path
 from scrubline.sources import readers, sinks
 
 
-@query("s1_read_csv", "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
+@query("s1_read_csv", "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer")
 def s1(spark, sf):
     path = sinks.write_csv(table(spark, sf, "customer"), scratch_path(spark, "customer.csv"))
     return readers.read_csv(spark, path)

@@ -82,3 +82,14 @@ def fresh_name(df: DataFrame, base: str) -> str:
     while name in df.columns:
         name = "_" + name
     return name
+
+
+def wall_micros(value: Column) -> Column:
+    """Microseconds from 1970 to a wall-clock time, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), value.cast("timestamp_ntz"))
+
+
+def wall_time(micros: Column) -> Column:
+    """The wall-clock time a number of microseconds after 1970."""
+    seconds = (micros.cast("decimal(24,6)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.functions.classes import (
-    col, columns_of, dtype, is_datetime, is_numeric, is_text, replace_column,
+    col, columns_of, dtype, is_datetime, is_numeric, is_text, replace_column, wall_time,
 )
 
 # The number syntax accepted from text (ASCII blanks around it are allowed).
@@ -85,10 +85,15 @@ def java_pattern(fmt: str) -> str:
 
 
 def parse_timestamp(value: Column, fmt: str) -> Column:
-    """Text as timestamp by a strptime format; NULL where it does not match."""
+    """Text as wall-clock time by a strptime format; NULL where it does not match.
+
+    The text is read as UTC, so that the session's time zone plays no part.
+    """
     shape = dict(DATE_FORMATS).get(fmt)
-    pattern = java_pattern(fmt)
-    parsed = F.try_to_timestamp(value, F.lit(pattern)).cast("timestamp_ntz")
+    pattern, text = java_pattern(fmt), value
+    if "%z" not in fmt and "%Z" not in fmt:
+        pattern, text = pattern + " xx", F.concat(value, F.lit(" +0000"))
+    parsed = wall_time(F.unix_micros(F.try_to_timestamp(text, F.lit(pattern))))
     return F.when(value.rlike(shape), parsed) if shape else parsed
 
 
@@ -128,25 +133,23 @@ def to_text(df: DataFrame, name: str) -> DataFrame:
     return replace_column(df, name, col(name).cast("string"))
 
 
+def guess_formats(df: DataFrame, names: list[str]) -> dict[str, str | None]:
+    """Per text column the date format that parses most values, earlier candidates first; one scan."""
+    if not names:
+        return {}
+    hits = df.agg(*[F.array(*[F.count(parse_timestamp(col(c), f)) for f, _ in DATE_FORMATS]) for c in names]).head()
+    return {c: DATE_FORMATS[h.index(max(h))][0] if max(h) else None for c, h in zip(names, hits)}
+
+
 def guess_format(df: DataFrame, name: str, order_by: list[str] | None = None) -> str | None:
     """The date format of a text column.
 
     With ``order_by`` the first non-null value decides, as a reader going down the file would
-    do. Without an order the format that parses most values wins, earlier candidates first.
+    do. Without an order the format that parses most values wins.
     """
-    value = col(name)
     if order_by:
-        first = (
-            df.where(value.isNotNull()).orderBy(*[col(c) for c in order_by]).select(value.alias("v")).limit(1)
-        )
-        hits = first.select(*[parse_timestamp(F.col("v"), f).isNotNull().cast("int").alias(f"f{i}")
-                              for i, (f, _) in enumerate(DATE_FORMATS)]).head()
-    else:
-        hits = df.agg(*[F.count(parse_timestamp(value, f)).alias(f"f{i}")
-                        for i, (f, _) in enumerate(DATE_FORMATS)]).head()
-    if hits is None or max(hits) == 0:
-        return None
-    return DATE_FORMATS[list(hits).index(max(hits))][0]
+        df = df.where(col(name).isNotNull()).orderBy(*[col(c) for c in order_by]).limit(1)
+    return guess_formats(df, [name])[name]
 
 
 def to_timestamp(
@@ -170,7 +173,7 @@ def to_timestamp(
             raise ValueError("a numeric column needs unit='s', 'ms', 'us' or 'ns'")
         factor = 1_000_000 / per_second[unit]
         micros = (value * factor if factor >= 1 else value / (1 / factor)).try_cast("bigint")
-        return replace_column(df, name, F.timestamp_micros(micros).cast("timestamp_ntz"))
+        return replace_column(df, name, wall_time(micros))
     if not is_text(df, name):
         raise TypeError(f"column {name!r} cannot become a date")
     chosen = fmt or guess_format(df, name, order_by)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubline.functions.classes import col, dtype, is_datetime, is_numeric, replace_column
+from scrubline.functions.classes import col, dtype, is_datetime, is_numeric, replace_column, wall_micros, wall_time
 from scrubline.operators.quantiles import quantile_columns
 
 
@@ -19,14 +19,14 @@ def _as_number(df: DataFrame, name: str) -> Column:
     if is_numeric(df, name, with_bool=True):
         return col(name).cast("double")
     if is_datetime(df, name):
-        return F.unix_micros(col(name).cast("timestamp")).cast("double")
+        return wall_micros(col(name)).cast("double")
     raise TypeError(f"column {name!r} is {dtype(df, name).simpleString()}: it has no mean or median")
 
 
 def _back(df: DataFrame, name: str, number: Column) -> Column:
     """A statistic in the type the filled column gets: double, or the date type."""
     if is_datetime(df, name):
-        return F.timestamp_micros(F.floor(number).cast("bigint")).cast(dtype(df, name))
+        return wall_time(F.floor(number).cast("bigint")).cast(dtype(df, name))
     return number
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scrubline.functions.classes import col, is_datetime, is_numeric, quoted, replace_column
+from scrubline.functions.classes import col, is_datetime, is_numeric, quoted, replace_column, wall_micros, wall_time
 from scrubline.operators.ranges import range_bounds, range_of
 
 RANGE = "__range"
@@ -117,9 +117,9 @@ def interpolate(
     """
     if is_datetime(df, name):
         kind = df.schema[name].dataType
-        micros = replace_column(df, name, F.unix_micros(col(name).cast("timestamp")).cast("double"))
+        micros = replace_column(df, name, wall_micros(col(name)).cast("double"))
         done = interpolate(micros, name, order_by, partition_by, ranges)
-        back = F.timestamp_micros(F.floor(col(name)).cast("bigint")).cast(kind)
+        back = wall_time(F.floor(col(name)).cast("bigint")).cast(kind)
         return replace_column(done, name, back)
     if not is_numeric(df, name):
         return df

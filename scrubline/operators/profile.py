@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubline.functions.classes import col, columns_of
+from scrubline.functions.classes import col, columns_of, wall_micros, wall_time
 from scrubline.functions.convert import (
     DATE_FORMATS, date_name, date_text_flags, looks_numeric, numeric_text_flags, parse_timestamp,
 )
@@ -252,7 +252,7 @@ def describe_all(df: DataFrame) -> DataFrame:
     """
     numeric = columns_of(df, "numeric")
     dates = columns_of(df, "datetime")
-    micros = {c: F.unix_micros(col(c).cast("timestamp")) for c in dates}
+    micros = {c: wall_micros(col(c)) for c in dates}
     wide = df.select(*[col(c) for c in numeric], *[micros[c].alias(c) for c in dates])
     quart = quantile_columns(wide, {c: [0.25, 0.5, 0.75] for c in numeric + dates})
     aggs = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
@@ -267,7 +267,7 @@ def describe_all(df: DataFrame) -> DataFrame:
         return F.col(f"{part}{i}").cast("double") if c in numeric else F.lit(None).cast("double")
 
     def moment(c: str, micro: Column) -> Column:
-        exact = F.timestamp_micros(F.floor(micro).cast("bigint")).cast("timestamp_ntz")
+        exact = wall_time(F.floor(micro).cast("bigint"))
         return exact if c in dates else F.lit(None).cast("timestamp_ntz")
 
     def quartile(c: str, j: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scrubline.functions.classes import col, is_datetime, require_numeric
+from scrubline.functions.classes import col, is_datetime, require_numeric, wall_micros, wall_time
 from scrubline.operators.ordered import interpolate
 
 DAY = 86_400_000_000
@@ -22,7 +22,7 @@ def trend(df: DataFrame, date: str, value: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Grid:
-    """A regular time grid: ``points`` steps from ``start`` (microseconds of a UTC wall clock)."""
+    """A regular time grid: ``points`` steps from ``start`` (microseconds of the wall clock)."""
 
     kind: str  # fixed, month_start, month_end or weekdays
     start: int
@@ -30,19 +30,19 @@ class Grid:
     points: int
 
     def at(self, i: Column) -> Column:
-        start = F.timestamp_micros(F.lit(self.start)).cast("timestamp_ntz")
+        start = wall_time(F.lit(self.start))
         if self.kind == "fixed":
-            return F.timestamp_micros(F.lit(self.start) + i * self.step).cast("timestamp_ntz")
+            return wall_time(F.lit(self.start) + i * self.step)
         if self.kind == "weekdays":
             # start on the Monday before, count five days a week
             day = F.weekday(start)
             n = i + day
             days = F.floor(n / 5) * 7 + n % 5 - day
-            return F.timestamp_micros(F.lit(self.start) + days * DAY).cast("timestamp_ntz")
+            return wall_time(F.lit(self.start) + days * DAY)
         months = F.add_months(start.cast("date"), (i * self.step).cast("int"))
         months = F.last_day(months) if self.kind == "month_end" else months
         in_day = self.start % DAY
-        return F.timestamp_micros(F.unix_micros(months.cast("timestamp")) + in_day).cast("timestamp_ntz")
+        return wall_time(wall_micros(months) + in_day)
 
 
 def infer_grid(df: DataFrame, date: str) -> Grid:
@@ -51,7 +51,7 @@ def infer_grid(df: DataFrame, date: str) -> Grid:
     No ordering is needed: n different dates lie on a grid of n points exactly if every offset
     from the first is a multiple of (last - first) / (n - 1). Two aggregates decide.
     """
-    micros = F.unix_micros(col(date).cast("timestamp"))
+    micros = wall_micros(col(date))
     dates = df.where(col(date).isNotNull()).select(col(date).alias("d"), micros.alias("u"))
     ends = dates.agg(F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi")).head()
     n, lo, hi = ends["n"], ends["lo"], ends["hi"]

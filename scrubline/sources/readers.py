@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubline.functions.classes import col, normalize_missing
+from scrubline.functions.classes import col, normalize_missing, wall_time
 from scrubline.functions.convert import BLANKS, parse_number, parse_timestamp
 
 # Texts a CSV reader takes as missing.
@@ -117,7 +117,7 @@ def _json_dates(df: DataFrame) -> DataFrame:
         units = [("s", 1_000_000.0), ("ms", 1_000.0), ("us", 1.0), ("ns", 0.001)]  # fixed values
         first_year, last = 31_536_000 * 1_000_000, 9_223_372_036 * 1_000_000
         ways[f.name] = [
-            F.when((v * m > first_year) & (v * m < last), F.timestamp_micros((v * m).try_cast("bigint")).cast("timestamp_ntz"))
+            F.when((v * m > first_year) & (v * m < last), wall_time((v * m).try_cast("bigint")))
             for _, m in units]
     checks = [F.count(w).alias(f"{i}_{j}") for i, f in enumerate(named) for j, w in enumerate(ways[f.name])]
     counts = df.agg(*[F.count(col(f.name)).alias(f"n{i}") for i, f in enumerate(named)], *checks).head()

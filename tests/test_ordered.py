@@ -169,3 +169,18 @@ def test_decomposition(spark, period, block):
         np.testing.assert_allclose(found[name].to_numpy(dtype=float), expected, atol=1e-9)
     with pytest.raises(ValueError, match="data points"):
         timeseries.decompose(df, "d", "v", 40)
+
+
+def test_time_zone_of_the_session_plays_no_part(spark):
+    index = pd.date_range("2021-03-26 02:30", periods=5)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        from scrubline.functions import convert
+
+        texts = spark.createDataFrame([(str(d), 1.0) for d in index], "d string, v double")
+        df = convert.to_timestamp(texts, "d")
+        found = timeseries.regularize(df, "d", "v").orderBy("position").collect()
+        assert [r["date"] for r in found] == [d.to_pydatetime() for d in index]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
