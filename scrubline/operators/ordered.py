@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scrubline.functions.classes import col, is_datetime, is_numeric, quoted, replace_column, wall_micros, wall_time
-from scrubline.operators.ranges import range_bounds, range_of
+from scrubline.operators.ranges import with_ranges
 
 RANGE = "__range"
 
@@ -21,8 +21,7 @@ RANGE = "__range"
 def _with_range(df: DataFrame, order_by: list[str], ranges: int | None) -> tuple[DataFrame, bool]:
     if not order_by:
         raise ValueError("a table has no row order: order_by is needed")
-    bounds = range_bounds(df, order_by, ranges)
-    return df.withColumn(RANGE, range_of(order_by, bounds)), bounds is not None
+    return with_ranges(df, order_by, RANGE, ranges)
 
 
 def _windows(order_by: list[str], partition_by: list[str], forward: bool = True):
@@ -68,15 +67,18 @@ def number_rows(
     ranges: int | None = None,
 ) -> DataFrame:
     """Consecutive row numbers from 1 by the order key."""
-    parts = partition_by or []
     ranged, split = _with_range(df, order_by, ranges)
+    return _numbered(ranged, order_by, name, partition_by or [], split).select(*[col(c) for c in df.columns], col(name))
+
+
+def _numbered(ranged: DataFrame, order_by: list[str], name: str, parts: list[str], split: bool) -> DataFrame:
     inside, across = _windows(order_by, parts)
     local = F.row_number().over(inside).cast("bigint")
     if not split:
-        return ranged.select(*[col(c) for c in df.columns], local.alias(name))
-    before = F.sum("__rows").over(across.rowsBetween(W.unboundedPreceding, -1))
-    carried = _carry(ranged, parts, [F.count("*").alias("__rows")], [F.coalesce(before, F.lit(0)).alias("__before")])
-    return carried.select(*[col(c) for c in df.columns], (local + F.col("__before")).alias(name))
+        return ranged.withColumn(name, local)
+    before = F.coalesce(F.sum("__rows").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carried = _carry(ranged, parts, [F.count("*").alias("__rows")], [before.alias("__before")])
+    return carried.withColumn(name, local + F.col("__before")).drop("__before")
 
 
 def _fill(df: DataFrame, name: str, order_by: list[str], partition_by: list[str] | None, ranges: int | None, forward: bool) -> DataFrame:
@@ -87,17 +89,13 @@ def _fill(df: DataFrame, name: str, order_by: list[str], partition_by: list[str]
     local = _latest(value, inside)
     if not split:
         return replace_column(ranged, name, local).select(*[col(c) for c in df.columns])
-    pick = F.max_by if forward else F.min_by
-    held = pick(value, _present_key(value, order_by)).alias("__held")
+    # the last (or first) value of a range: the value of the greatest (or least) key that has one
+    keyed = F.when(value.isNotNull(), F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order_by)], value.alias("v")))
+    held = (F.max(keyed) if forward else F.min(keyed))["v"].alias("__held")
     carried = _carry(ranged, parts, [held], [_before(F.col("__held"), across).alias("__far")])
     return replace_column(carried, name, F.coalesce(local, F.col("__far"))).select(*[col(c) for c in df.columns])
 
 
-def _present_key(value: Column, order_by: list[str]) -> Column:
-    """The order key where there is a value, so that min_by and max_by skip missing ones."""
-    return F.when(value.isNotNull(), F.struct(*[col(c) for c in order_by]))
-
-
 def ffill(df: DataFrame, name: str, order_by: list[str], partition_by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """The last seen value; leading missing values stay."""
     return _fill(df, name, order_by, partition_by, ranges, forward=True)
@@ -130,11 +128,8 @@ def interpolate(
     value = col(name)
     ahead, ahead_across = _windows(order_by, parts, forward=False)
     point = F.when(value.isNotNull(), F.struct(F.col("__row").alias("at"), value.alias("v")))
-    if not split:
-        rows = ranged.withColumn("__row", F.row_number().over(inside).cast("bigint"))
-    else:
-        # positions first, since points carried across ranges need them
-        rows, _ = _with_range(number_rows(data, order_by, "__row", parts, ranges), order_by, ranges)
+    # positions first, since points carried across ranges need them
+    rows = _numbered(ranged, order_by, "__row", parts, split)
     rows = rows.withColumn("__prev", _latest(point, inside)).withColumn("__next", _latest(point, ahead))
     if split:
         rows = _carry(

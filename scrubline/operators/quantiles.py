@@ -3,7 +3,7 @@
 The built-in ``percentile`` keeps a value-to-count map per column in one task. That is the fastest
 plan while the input is small, and it is used only behind a check of the input's size. Beyond it:
 
-* whole columns: a sketch brackets each wanted rank, one scan counts what lies below and inside
+* whole columns: a sample brackets each wanted rank, one scan counts what lies below and inside
   the bracket, and the bracket is narrowed until few rows are left in it. No row is shuffled
   until then;
 * per group: values are counted per group, split into value ranges, and only the range that holds
@@ -13,18 +13,20 @@ plan while the input is small, and it is used only behind a check of the input's
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scrubline.functions.classes import col
-from scrubline.operators.ranges import range_bounds, range_of
+from scrubline.operators.ranges import with_ranges
 from scrubline.session import plan_bytes
 
-ONE_PASS_BYTES = 256 << 20
-BRACKET_ROWS = 2_000_000
+ONE_PASS_BYTES = 32 << 20
+BRACKET_ROWS = 1_000_000
 ACCURACY = 10_000
+SAMPLE_ROWS = 200_000
 
 
 def quantile_row(
@@ -86,9 +88,10 @@ def order_statistics(
 ) -> dict[tuple[int, int], float]:
     """The values at the given (column number, rank from 0) of the columns c0, c1, ...
 
-    A bracket is an open interval known to hold the wanted value. Each round takes two sketched
-    values around the rank and counts what lies below, on, and between them. A value that fills
-    much of the column is settled as soon as it is one of the two, so no bracket stays large.
+    A bracket is an open interval known to hold the wanted value. Each round takes two values
+    around the rank from a sample and counts what lies below, on, and between them, over all
+    rows. A value that fills much of the column is settled as soon as it is one of the two, so no
+    bracket stays large.
     """
     done: dict[tuple[int, int], float] = {}
     open_ = {t: {"low": None, "high": None, "below": 0, "inside": sizes[t[0]], "reach": 3} for t in ranks}
@@ -96,17 +99,24 @@ def order_statistics(
         active = [(t, b) for t, b in open_.items() if b["inside"] > bracket_rows]
         if not active:
             break
-        guesses = data.agg(*[
-            F.percentile_approx(F.when(_within(t, b), F.col(f"c{t[0]}")), F.array(*[F.lit(q) for q in _around(t, b)]), ACCURACY)
-            for t, b in active]).head()
+        share = min(1.0, SAMPLE_ROWS / min(b["inside"] for _, b in active))
+        # neighbouring ranks of one bracket share their guess, and so the counts
+        leads = [next((m for m in range(n) if _neighbours(active[m], active[n])), n) for n in range(len(active))]
+        sketches = [
+            F.percentile_approx(F.when(_within(t, b), F.col(f"c{t[0]}")), F.array(*[F.lit(q) for q in _around(t, b, share)]), ACCURACY)
+            .alias(f"g{n}") for n, (t, b) in enumerate(active) if leads[n] == n]
+        sketched = data.sample(share, seed=len(done) + 1).agg(*sketches).head()
+        guesses = {n: sketched[f"g{n}"] or [active[n][1]["low"]] * 2 for n in set(leads)}
         tests = []
-        for (t, _), (g, h) in zip(active, guesses):
-            v = F.col(f"c{t[0]}")
-            tests += [F.count_if(v < g), F.count_if(v == g), F.count_if((v > g) & (v < h)), F.count_if(v == h)]
-        counts = data.agg(*[x.alias(f"t{i}") for i, x in enumerate(tests)]).head()
-        for n, ((t, b), (g, h)) in enumerate(zip(active, guesses)):
-            below, on_low, between, on_high = counts[4 * n:4 * n + 4]
-            rank = t[1]
+        for n, (g, h) in guesses.items():
+            v = F.col(f"c{active[n][0][0]}")
+            tests += [x.alias(f"{part}{n}") for part, x in (
+                ("below", F.count_if(v < g)), ("low", F.count_if(v == g)), ("mid", F.count_if((v > g) & (v < h))), ("high", F.count_if(v == h)))]
+        counts = data.agg(*tests).head()
+        for n, (t, b) in enumerate(active):
+            lead, rank = leads[n], t[1]
+            g, h = guesses[lead]
+            below, on_low, between, on_high = (counts[f"{part}{lead}"] for part in ("below", "low", "mid", "high"))
             if below <= rank < below + on_low:
                 done[t] = g
             elif below + on_low <= rank < below + on_low + between:
@@ -114,11 +124,17 @@ def order_statistics(
             elif h > g and below + on_low + between <= rank < below + on_low + between + on_high:
                 done[t] = h
             else:
-                b["reach"] *= 4  # the sketch missed the rank: look further around it
+                b["reach"] *= 4  # the sample missed the rank: look further around it
         open_ = {t: b for t, b in open_.items() if t not in done}
     return done | _values_at(data, open_)
 
 
+def _neighbours(first: tuple, second: tuple) -> bool:
+    (c, rank), bracket = first
+    (d, other), same = second
+    return c == d and abs(rank - other) <= 1 and bracket == same
+
+
 def _within(target: tuple[int, int], bracket: dict) -> Column:
     v = F.col(f"c{target[0]}")
     test = v.isNotNull()
@@ -129,9 +145,10 @@ def _within(target: tuple[int, int], bracket: dict) -> Column:
     return test
 
 
-def _around(target: tuple[int, int], bracket: dict) -> list[float]:
+def _around(target: tuple[int, int], bracket: dict, share: float) -> list[float]:
+    """The shares of the bracket's rows between which the rank lies, but for a rare miss."""
     at = (target[1] - bracket["below"]) / max(bracket["inside"] - 1, 1)
-    step = bracket["reach"] / ACCURACY
+    step = bracket["reach"] * (0.5 / math.sqrt(max(bracket["inside"] * share, 1)) + 1 / ACCURACY)
     return [min(max(0.0, at - step), 1.0), min(1.0, at + step)]
 
 
@@ -140,10 +157,11 @@ def _values_at(data: DataFrame, open_: dict) -> dict[tuple[int, int], float]:
     if not open_:
         return {}
     targets = list(open_.items())
+    near = reduce(lambda a, b: a | b, [_within(t, b) for t, b in targets])
     picks = F.filter(
         F.array(*[F.struct(F.lit(n).alias("t"), F.when(_within(t, b), F.col(f"c{t[0]}")).alias("v")) for n, (t, b) in enumerate(targets)]),
         lambda x: x["v"].isNotNull())
-    counted = data.select(F.explode(picks).alias("x")).groupBy("x.t", "x.v").agg(F.count("*").alias("n"))
+    counted = data.where(near).select(F.explode(picks).alias("x")).groupBy("x.t", "x.v").agg(F.count("*").alias("n"))
     rank = F.create_map(*[x for n, (t, b) in enumerate(targets) for x in (F.lit(n), F.lit(t[1] - b["below"]).cast("bigint"))])
     rows = (
         counted.withColumn("upto", F.sum("n").over(W.partitionBy("t").orderBy("v")))
@@ -161,11 +179,8 @@ def grouped_median(
     data = df.where(col(value).isNotNull()).select(*[col(k) for k in keys], col(value).cast("double").alias("__v"))
     if plan_bytes(data) <= one_pass_bytes and ranges is None:
         return data.groupBy(*[col(k) for k in keys]).agg(F.median("__v").alias(name))
-    bounds = range_bounds(data, ["__v"], ranges)
-    counted = (
-        data.groupBy(*[col(k) for k in keys], F.col("__v")).agg(F.count("*").alias("__n"))
-        .withColumn("__range", range_of(["__v"], bounds))
-    )
+    ranged, _ = with_ranges(data, ["__v"], "__range", ranges)
+    counted = ranged.groupBy(*[col(k) for k in keys], F.col("__range"), F.col("__v")).agg(F.count("*").alias("__n"))
     by_key = W.partitionBy(*[col(k) for k in keys])
     # one row per group and value range: at most `ranges` rows meet in a window partition
     held = (

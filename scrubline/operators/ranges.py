@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubline.functions.classes import col
+from scrubline.functions.classes import NUMERIC, col, fresh_name, wall_micros
 from scrubline.session import plan_bytes
 
 ROWS_PER_RANGE = 1_000_000
@@ -27,48 +28,72 @@ def key_of(order_by: list[str]) -> Column:
     return F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order_by)])
 
 
-def range_bounds(df: DataFrame, order_by: list[str], ranges: int | None = None) -> Column | None:
-    """Cut points of the order key, from a sample whose size depends on the range count alone.
+def with_ranges(df: DataFrame, order_by: list[str], name: str, ranges: int | None = None) -> tuple[DataFrame, bool]:
+    """Add the number of the range each row falls into, and say whether there is more than one.
 
-    Returns the sorted cut points as a literal array, or None for a single range.
+    The cut points come from a sample whose size depends on the range count alone. They cut the
+    first order column, if that is a number or a time without dominant values; otherwise they
+    are keys of all order columns.
     """
     keys = df.select(key_of(order_by).alias("k"))
     if ranges is None and plan_bytes(keys) <= ONE_RANGE_BYTES:
-        return None
+        return df.withColumn(name, F.lit(0)), False
     rows = df.count()
     if ranges is None:
         ranges = math.ceil(rows / ROWS_PER_RANGE)
     ranges = min(ranges, MAX_RANGES, rows)
     if ranges < 2:
-        return None
-    share = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
+        return df.withColumn(name, F.lit(0)), False
     kind = keys.schema["k"].dataType
+    place = _place(F.col("k.k0"), kind.fields[0].dataType)
     texts = [F.col(f"k.{f.name}").cast("string").alias(f.name) for f in kind.fields]
-    drawn = keys.sample(share, seed=42).orderBy("k").select(*texts).collect()
-    step = max(1, math.ceil(len(drawn) / ranges))
-    cuts = ["struct(" + ", ".join(_literal(v, f.dataType) for v, f in zip(c, kind.fields)) + ")" for c in drawn[step::step]]
-    # one foldable expression; sorted again, since a text form may round a key
-    return F.expr(f"sort_array(cast(array({', '.join(cuts)}) as array<{kind.simpleString()}>))") if cuts else None
+    share = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
+    drawn = keys.sample(share, seed=42).orderBy("k").select(place.alias("place"), *texts).collect()
+    cuts = drawn[max(1, math.ceil(len(drawn) / ranges))::max(1, math.ceil(len(drawn) / ranges))]
+    if not cuts:
+        return df.withColumn(name, F.lit(0)), False
+    places = [c["place"] for c in cuts]
+    if all(p is not None and math.isfinite(p) for p in places) and all(p < q for p, q in zip(places, places[1:])):
+        at = fresh_name(df, "__place")
+        cutter = Bucketizer(splits=[-math.inf, *places, math.inf], inputCol=at, outputCol=name, handleInvalid="keep")
+        first = _place(col(order_by[0]), kind.fields[0].dataType)
+        cut = cutter.transform(df.withColumn(at, F.coalesce(first, F.lit(-math.inf)))).drop(at)
+        return cut.withColumn(name, F.col(name).cast("int")), True
+    return df.withColumn(name, _search(key_of(order_by), cuts, kind)), True
 
 
-def _literal(text: str | None, kind: T.DataType) -> str:
-    if text is None:
-        return f"cast(null as {kind.simpleString()})"
-    return f"cast(decode(unhex('{text.encode().hex()}'), 'utf-8') as {kind.simpleString()})"
+def _place(value: Column, kind: T.DataType) -> Column:
+    """A number that never falls as the key rises; NULL for types without one."""
+    if isinstance(kind, NUMERIC):
+        return value.cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("double")
+    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
+        return wall_micros(value).cast("double")
+    return F.lit(None).cast("double")
+
 
+def _search(key: Column, cuts: list, kind: T.StructType) -> Column:
+    """How many cut points are not above the key, by binary search in a literal array."""
+    structs = ["struct(" + ", ".join(_literal(c[f.name], f.dataType) for f in kind.fields) + ")" for c in cuts]
+    # sorted again, since a text form may round a key
+    array = F.expr(f"sort_array(cast(array({', '.join(structs)}) as array<{kind.simpleString()}>))")
 
-def range_of(order_by: list[str], cuts: Column | None) -> Column:
-    """The number of the range a row falls into: how many cut points are not above its key."""
-    if cuts is None:
-        return F.lit(0)
-    key = key_of(order_by)
-    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-    # binary search; the state is the interval of counts still possible
+    def middle(s: Column) -> Column:
+        return F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+    # the state is the interval of counts still possible
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(math.ceil(math.log2(MAX_RANGES)) + 1)),
-        F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")),
+        F.struct(F.lit(0).alias("lo"), F.size(array).alias("hi")),
         lambda s, _: F.when(s["lo"] >= s["hi"], s)
-        .when(F.get(cuts, middle(s)) <= key, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi")))
+        .when(F.get(array, middle(s)) <= key, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi")))
         .otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))),
         lambda s: s["lo"],
     )
+
+
+def _literal(text: str | None, kind: T.DataType) -> str:
+    if text is None:
+        return f"cast(null as {kind.simpleString()})"
+    return f"cast(decode(unhex('{text.encode().hex()}'), 'utf-8') as {kind.simpleString()})"

@@ -75,12 +75,22 @@ def test_ranges_follow_the_order(spark, kind):
     value = {"string": F.concat(F.lit("q'\\"), base), "double": base / 7, "date": F.date_add(F.lit("2020-01-01").cast("date"), base.cast("int")),
              "timestamp": F.timestamp_seconds(base * 1800), "timestamp_ntz": F.timestamp_micros(base * 123457).cast("timestamp_ntz")}.get(kind, base / 3)
     df = spark.range(1000).select(F.when(F.col("id") > 3, value).cast(kind).alias("k"), "id")
-    cuts = ranges.range_bounds(df, ["k", "id"], 11)
-    rows = df.withColumn("r", ranges.range_of(["k", "id"], cuts)).orderBy("k", "id").collect()
+    cut, split = ranges.with_ranges(df, ["k", "id"], "r", 11)
+    assert split and cut.columns == ["k", "id", "r"]
+    rows = cut.orderBy("k", "id").collect()
     found = [r["r"] for r in rows]
     assert found == sorted(found) and 5 < len(set(found)) <= 20
 
 
+def test_ties_are_cut_by_the_next_column(spark):
+    df = spark.range(2000).select(F.when(F.col("id") < 1500, 5).otherwise(F.col("id")).alias("k"), "id")
+    cut, _ = ranges.with_ranges(df, ["k", "id"], "r", 10)
+    sizes = [r["count"] for r in cut.groupBy("r").count().collect()]
+    assert len(sizes) > 6 and max(sizes) < 700
+    rows = ordered.number_rows(df, ["k", "id"], ranges=10).orderBy("k", "id").collect()
+    assert [r["row_number"] for r in rows] == list(range(1, 2001))
+
+
 def test_split_plan_has_no_global_window(spark):
     df = spark.range(2000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, F.col("id") * 1.0).alias("v"))
     for operator in OPERATORS.values():
