@@ -14,6 +14,11 @@ WARNING_NULLS = 5.0
 CRITICAL_DUPLICATES = 10.0
 OUTLIERS = 5.0
 ALL_COLUMNS = "All columns"
+NULLS_TEXT = "%.1f%% missing values"
+DUPLICATES_TEXT = "%s duplicate rows (%.1f%%)"
+NUMBERS_TEXT = "Stored as text but looks like numbers"
+DATES_TEXT = "Stored as text but looks like dates"
+OUTLIERS_TEXT = "%s outliers detected (%.1f%%)"
 
 
 def _issue(when: Column, severity: Column, kind: str, column: str, detail: Column, action: Column, fixable: bool) -> Column:
@@ -38,22 +43,22 @@ def detect_issues(df: DataFrame, approx: bool = False) -> DataFrame:
         high = pct > CRITICAL_NULLS
         found.append(_issue(
             pct > WARNING_NULLS, F.when(high, "critical").otherwise("warning"), "missing_values", c,
-            F.format_string("%.1f%% missing values", pct), F.when(high, "drop_or_fill").otherwise("fill"), True))
+            F.format_string(NULLS_TEXT, pct), F.when(high, "drop_or_fill").otherwise("fill"), True))
 
     copies = F.col("duplicates")
     pct = F.try_divide(copies * 100.0, rows)
     found.append(_issue(
         copies > 0, F.when(pct < CRITICAL_DUPLICATES, "warning").otherwise("critical"), "duplicates", ALL_COLUMNS,
-        F.format_string("%s duplicate rows (%.1f%%)", F.format_number(copies, 0), pct), F.lit("remove"), True))
+        F.format_string(DUPLICATES_TEXT, F.format_number(copies, 0), pct), F.lit("remove"), True))
 
     for i, c in enumerate(texts):
         filled = F.get("nulls", F.lit(df.columns.index(c))) < rows
         found.append(_issue(
             filled & F.get("numeric_text", F.lit(i)), F.lit("warning"), "datatype", c,
-            F.lit("Stored as text but looks like numbers"), F.lit("convert_numeric"), True))
+            F.lit(NUMBERS_TEXT), F.lit("convert_numeric"), True))
         found.append(_issue(
             F.get("date_text", F.lit(i)), F.lit("warning"), "datatype", c,
-            F.lit("Stored as text but looks like dates"), F.lit("convert_datetime"), True))
+            F.lit(DATES_TEXT), F.lit("convert_datetime"), True))
 
     if numbers:
         one = one.withColumn("outliers", iqr_counts(df, approx).select("outliers").scalar())
@@ -62,7 +67,7 @@ def detect_issues(df: DataFrame, approx: bool = False) -> DataFrame:
             pct = F.try_divide(n * 100.0, rows)
             found.append(_issue(
                 pct > OUTLIERS, F.lit("info"), "outliers", c,
-                F.format_string("%s outliers detected (%.1f%%)", F.format_number(n, 0), pct), F.lit("review"), False))
+                F.format_string(OUTLIERS_TEXT, F.format_number(n, 0), pct), F.lit("review"), False))
 
     return (
         one.select(F.posexplode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("position", "x"))
