@@ -155,7 +155,8 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.withColumnRenamed(key, "k")
     sizes = dict(known.groupBy("y").count().collect())
     chance = F.when(F.col("y") == 1, sample / max(sizes.get(1, 0), 1)).otherwise(sample / max(sizes.get(0, 0), 1))
-    joined = rows.join(known, F.col(key) == F.col("k")).select("text", "y", (fraction(F.lit("sample"), F.col("k")) < chance).alias("chosen"), F.col("k").cast("string").alias("k"))
+    # labels grow with the rows, so both sides are always sorted and merged
+    joined = rows.join(known.hint("merge"), F.col(key) == F.col("k")).select("text", "y", (fraction(F.lit("sample"), F.col("k")) < chance).alias("chosen"), F.col("k").cast("string").alias("k"))
     schema = pa.schema([("chunk", pa.int32()), ("y", pa.int32()), ("k", pa.string()), ("data", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
