@@ -61,4 +61,4 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     """The rows of df that name their class, one for each."""
     chosen = jaccard_join(df, key, text, threshold).where("row = class_row").select(F.col("row").alias("_j_row")).distinct()
     rows = df.withColumn("_j_own", F.coalesce(F.col(key).cast("bigint"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
-    return rows.join(chosen, F.col("_j_own") == F.col("_j_row"), "left_semi").dropDuplicates(["_j_own"]).drop("_j_own")
+    return rows.join(chosen.hint("merge"), F.col("_j_own") == F.col("_j_row"), "left_semi").dropDuplicates(["_j_own"]).drop("_j_own")

@@ -92,7 +92,8 @@ def candidates(nodes: DataFrame, rows: int, bands: int, survive: Survive | None)
     full = nodes.where("shingles > 0")
     spread = full.select("node", F.posexplode(band).alias("band", "bucket"))
     shared = spread.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = spread.join(shared, ["band", "bucket"]).join(full.select("node", "signature"), "node")
+    # frames that grow with the rows are joined by sorting at every size
+    members = spread.join(shared.hint("merge"), ["band", "bucket"]).join(full.select("node", "signature").hint("merge"), "node")
     # a chunk's place is drawn anew in every bucket: the nodes of one crowd do not always meet the same neighbours
     tiles = _tiles(members, ["band", "bucket"], F.ceil(F.col("n") / CHUNK), F.xxhash64("node"), ["node", "signature"])
 
@@ -202,12 +203,11 @@ def _verify(sides: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, singl
 def verified(spark: SparkSession, df: DataFrame, key: str, text: str, nodes: DataFrame, forest: DataFrame, threshold: Fraction, size: int = SIZE) -> DataFrame:
     """node, links (how many rows its links lead to) and root, for nodes with a link, all links checked exactly."""
     part = parts(forest)
-    sized = part.groupBy("root").agg(F.count("*").alias("n"))
-    own = part.join(nodes, "node").select("node", "root", F.col("row"), "copies", "shingles")
+    own = part.hint("merge").join(nodes, "node").select("node", "root", F.col("row"), "copies", "shingles")
     total = own.groupBy("root").agg(F.count("*").alias("n"), F.sum("shingles").alias("total"))
     wanted = own.join(total, "root").select("node", "root", "row", "copies", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES)).alias("wanted"))
     wanted = materialize(wanted, "wanted")
-    found = _rows(df, key, text).select("row", "text").join(wanted, "row")
+    found = _rows(df, key, text).select("row", "text").join(wanted.hint("merge"), "row")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,9 +258,9 @@ def classes(df: DataFrame, key: str, text: str, rows: int, bands: int, threshold
     nodes = materialize(each.groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.count("*").alias("copies"),
                                                  F.first("shingles").alias("shingles"), F.first("signature").alias("signature")), "nodes")
     linked = verified(spark, df, key, text, nodes, candidates(nodes, rows, bands, survive), threshold, size)
-    named = nodes.select("node", "id", "row", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "id", "row", "copies").join(linked.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "named")
     lowest = named.groupBy("root").agg(F.min("id").alias("class_id"), F.min("row").alias("class_row"))
     facts = named.join(lowest, "root").select("node", "class_id", "class_row", (F.col("copies") - 1).alias("n_copies"),
                                               (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return each.select("id", "row", "node").join(facts, "node").drop("node")
+    return each.select("id", "row", "node").join(facts.hint("merge"), "node").drop("node")

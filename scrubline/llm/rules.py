@@ -111,10 +111,10 @@ def fences(measured: DataFrame, lang: str = "lang", source: str = "source", leas
     found = q.groupBy("level", "lang", "source").agg(F.max("total").alias("texts"), *bounds)
 
     def level(k: int, keys: list[str]) -> DataFrame:
-        return found.where(F.col("level") == k).select(*(F.col(x).alias(f"{x}_{k}") for x in keys), F.struct("texts", *names).alias(f"l{k}"), F.lit(1).alias(f"one{k}"))
+        return found.where(F.col("level") == k).select(*(F.col(x).alias(f"{x}_{k}") for x in keys), F.struct("texts", *names).alias(f"l{k}"), (F.col("level") - k).alias(f"same_{k}"))
 
     a, b, c = level(0, ["lang", "source"]), level(1, ["lang"]), level(2, [])
-    joined = a.join(b, F.col("lang_0").eqNullSafe(F.col("lang_1"))).join(c, F.col("one0") == F.col("one2"))
+    joined = a.join(b, F.col("lang_0").eqNullSafe(F.col("lang_1"))).join(c, F.col("same_0") == F.col("same_2"))
     chosen = F.when(F.col("l0.texts") >= least, F.col("l0")).when(F.col("l1.texts") >= least, F.col("l1")).otherwise(F.col("l2"))
     return joined.select(F.col("lang_0").alias("fence_lang"), F.col("source_0").alias("fence_source"), chosen.alias("fence"))
 
