@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import worker_state
 
-WORDS = 400_000  # words whose ids are remembered by a worker, in each of two generations
-PAIRS = 500_000  # pairs whose compatibility is remembered by a worker
+WORDS = 200_000  # words whose ids are remembered by a worker, in each of two generations
+PAIRS = 300_000  # pairs whose compatibility is remembered by a worker
 LONGEST = 64  # longer words are encoded anew each time
 
 # Fixed value: the pattern that cuts a text into words before byte-level merging.

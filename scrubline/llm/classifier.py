@@ -1,7 +1,7 @@
 """Quality classifier: a support vector machine on n-gram indicators scaled by naive Bayes log-count ratios.
 
-Features are the words, pairs of words and byte triples of a text, and whether a word stands three times in a row, hashed
-into BUCKETS indicators. Over all labelled rows,
+Features are the words, pairs of words and byte triples of a text, hashed into BUCKETS indicators, and n-grams of one repeated
+word, with an indicator for each n of RUNS. Over all labelled rows,
 each bucket's documents are counted by class; the log ratio r of the smoothed class frequencies scales the indicators. On
 a sample of at most SAMPLE rows a class, a linear hinge-loss model is fitted by dual coordinate descent, on
 rows scaled to unit length, and a slope and an offset turn its margins into probabilities. The sample is the bound
@@ -33,10 +33,23 @@ CHUNK = 1 << 12  # buckets whose counts travel in one row
 SAMPLE = 2_000
 C = 1.0
 EPOCHS = 30
-THRICE = np.array([0])  # the bucket of three equal words in a row
+RUNS = np.array([3, 4, 6, 8, 12, 16, 24, 32])  # equal words in a row, with the first buckets as indicators
 HELD_BACK = 4  # every fourth row of the sample calibrates instead of fitting
 
 
+def longest_runs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text, how often the same word stands in a row at most; texts are cut at ``first``."""
+    out = np.zeros(len(first) - 1, np.int64)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        new = np.ones(len(words), bool)
+        new[1:] = words[1:] != words[:-1]
+        new[first[full]] = True
+        starts = np.flatnonzero(new)
+        out[full] = np.maximum.reduceat(np.diff(np.append(starts, len(words))), np.searchsorted(starts, first[full]))
+    return out
+
+
 def features(texts: list[bytes]) -> Iterator[np.ndarray]:
     """The set of buckets of each text, ascending."""
     mark = np.zeros(BUCKETS, np.uint8)
@@ -44,14 +57,11 @@ def features(texts: list[bytes]) -> Iterator[np.ndarray]:
     for i, j in blocks(texts):
         words, first = word_hashes(texts[i:j])
         singles = (words >> shift).astype(np.int64)
-        again = words[1:] == words[:-1]
-        thrice = np.concatenate([[0], np.cumsum(again[1:] & again[:-1])]) if len(again) else np.zeros(1, np.int64)
+        runs = longest_runs(words, first)
         pairs = (mix(words[:-1] * PLACE[0] + words[1:] * PLACE[1]) >> shift).astype(np.int64)
         for k, text in enumerate(texts[i:j]):
             a, b = first[k], first[k + 1]
-            own = [singles[a:b], pairs[a : max(b - 1, a)]]
-            if b - a > 2 and thrice[b - 2] > thrice[a]:
-                own.append(THRICE)
+            own = [singles[a:b], pairs[a : max(b - 1, a)], np.flatnonzero(runs[k] >= RUNS)]
             if len(text) > 2:
                 raw = np.frombuffer(text, np.uint8).astype(np.uint32)
                 own.append(((((raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64))

@@ -31,7 +31,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def fraction(*parts: Column | str) -> Column:
     """A number in (0, 1), fixed by the values: the first 52 bits of their MD5."""
-    digest = F.md5(F.concat_ws(":", *(F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")).cast("string") for p in parts)))
+    digest = F.md5(F.concat_ws(":", *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts)))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
 
 

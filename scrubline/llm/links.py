@@ -101,9 +101,9 @@ def candidates(nodes: DataFrame, rows: int, bands: int, survive: Survive | None)
         for batch in batches:
             held: list[tuple] = []
             size = 0
-            for tile in zip(batch["band"].to_pylist(), batch["low"].to_pylist(), batch["high"].to_pylist(), batch["members"].to_pylist()):
-                held.append(tile)
-                size += len(tile[3]) ** 2 // 2
+            for band, low, high, members in zip(batch["band"].to_pylist(), batch["low"].to_pylist(), batch["high"].to_pylist(), batch["members"]):
+                held.append((band, low, high, members.as_py()))
+                size += len(members) ** 2 // 2
                 if size > PAIRS:
                     yield _forest(held, rows, survive)
                     held, size = [], 0

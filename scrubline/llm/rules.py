@@ -29,10 +29,10 @@ SPREAD = 3
 LEAST = 500
 # Measures, all whole numbers: how they come from the counts, the slack, and whether low values are outliers too.
 MEASURES: dict[str, tuple[str, int, bool]] = {
-    "symbols": ("1000 * n_symbols div n_words", 100, False),  # per 1,000 words
+    "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 100, False),  # per 1,000 words
     "dup_lines": ("1000 * greatest(n_dup_lines - 1, 0) div greatest(n_lines, 1)", 300, False),  # per 1,000 lines, the first free
-    "repeats": ("1000 * n_repeat_words div n_words", 300, False),  # per 1,000 words
-    "word_length": ("100 * word_chars div n_words", 100, True),  # hundredths of a character
+    "repeats": ("1000 * greatest(n_repeat_words - 30, 0) div greatest(n_words, 1)", 300, False),  # per 1,000 words, a repeated line's worth free
+    "word_length": ("100 * word_chars div greatest(n_words, 1)", 100, True),  # hundredths of a character
 }
 
 
