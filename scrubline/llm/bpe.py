@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import worker_state
 
-WORDS = 200_000  # words whose ids are remembered by a worker, in each of two generations
+WORDS = 350_000  # words whose ids are remembered by a worker, in each of two generations
 PAIRS = 300_000  # pairs whose compatibility is remembered by a worker
 LONGEST = 64  # longer words are encoded anew each time
 
@@ -170,9 +170,9 @@ class Bpe:
 
 def tokenizer(text: str) -> Bpe:
     """One tokenizer per worker, with what it remembers."""
-    state = worker_state()
-    if state.get("bpe_text") != text:
-        state["bpe_text"], state["bpe"] = text, Bpe(text)
+    state = worker_state("bpe")
+    if state.get("text") != text:
+        state.update(text=text, bpe=Bpe(text))
     return state["bpe"]
 
 

@@ -39,6 +39,12 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def worker_state() -> dict:
-    """What a Python worker keeps from one task to the next. Functions travel to workers by value, so their modules cannot keep it."""
-    return sys.modules.setdefault("_scrubline_worker_state", ModuleType("_scrubline_worker_state")).__dict__
+def worker_state(owner: str) -> dict:
+    """What a Python worker keeps from one task to the next, for one owner at a time: another's is let go.
+
+    Functions travel to workers by value, so their modules cannot keep it.
+    """
+    held = sys.modules.setdefault("_scrubline_worker_state", ModuleType("_scrubline_worker_state")).__dict__
+    if held.get("owner") != owner:
+        held.update(owner=owner, state={})
+    return held["state"]

@@ -3,7 +3,7 @@
 Documents are cut into pieces of at most ``length`` ids, so nothing is lost; pieces are packed by best fit decreasing: the longest
 first, each into the fullest row that still holds it. The rows' free capacities lie in a segment tree over capacities,
 whose search for the least sufficient one takes steps in the logarithm of the length. Pieces are dealt into shards of
-about SHARD ids by a hash of document and piece, and packed shard by shard: what a task holds does not grow
+about SHARD ids by a hash of key and piece, and packed shard by shard: what a task holds does not grow
 with the data, and a shard wastes at most its last rows. A document's pieces may go to different shards; each segment says
 where it belongs.
 
@@ -17,19 +17,43 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, worker_state
 
 LENGTH = 2048
+FLUSH = 1 << 22  # ids cut before they are handed to Spark
 SHARD = 1 << 20
 PACKED = ("shard bigint, row int, n_ids int, n_segments int, ids binary, cu_seqlens array<int>, positions binary, "
           "doc_ids array<bigint>, pieces array<bigint>, offsets array<bigint>")
+PIECE = pa.schema([("key", pa.int64()), ("piece", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+
+
+def token_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Add the ids of a text by a file of ranks (base64 bytes and rank a line), as little-endian 32-bit integers; null texts have none.
+
+    The file is read by the driver and broadcast (a few MB, fixed by the file).
+    """
+    with open(path, "rb") as f:
+        spec = df.sparkSession.sparkContext.broadcast((f.read(), pattern))
+
+    @F.arrow_udf("binary")
+    def encode(texts: pa.Array) -> pa.Array:
+        state = worker_state("ranks")
+        if state.get("spec") != spec.value:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, spec.value[0].splitlines())}
+            state.update(spec=spec.value, encoding=tiktoken.Encoding("ranks", pat_str=spec.value[1], mergeable_ranks=ranks, special_tokens={}))
+        own = state["encoding"].encode_ordinary
+        return pa.array((np.array(own(x.as_py() or ""), "<u4").tobytes() for x in texts), pa.binary())
+
+    return df.withColumn(ids, encode(F.col(text)))
 
 
 class Capacities:
@@ -88,23 +112,28 @@ def pack(df: DataFrame, key: str = "doc_id", ids: str = "ids", length: int = LEN
     kind = np.dtype(f"<u{width}")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "piece", "n", "data"]
         for batch in batches:
-            keys, pieces, data = [], [], []
-            for k, own in zip(batch["key"].to_pylist(), batch["ids"].to_pylist()):
-                values = np.frombuffer(own, "<u4")
+            rows: list[tuple] = []
+            held = 0
+            for k, own in zip(batch["key"].to_pylist(), batch["ids"]):
+                values = np.frombuffer(own.as_buffer(), "<u4")
                 if len(values) and width == 2 and values.max() > 0xFFFF:
                     raise ValueError("an id does not fit into 2 bytes")
+                held += len(values)
                 for p, at in enumerate(range(0, len(values), length)):
-                    keys.append(k)
-                    pieces.append(p)
-                    data.append(values[at : at + length].astype(kind).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pieces, pa.int64()), pa.array(data, pa.binary())], names=["key", "piece", "data"])
+                    part = values[at : at + length]
+                    rows.append((k, p, len(part), part.astype(kind).tobytes()))
+                if held > FLUSH:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], PIECE)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], PIECE)
 
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(ids).alias("ids")).where(F.octet_length("ids") > 0)
-    rows = materialize(rows, "encoded")  # the number of shards needs a first look at all sizes
-    total = rows.select(F.sum(F.octet_length("ids"))).head()[0] or 0
-    shards = max(1, -(-total // (4 * shard_ids)))
-    pieces = rows.mapInArrow(cut, "key bigint, piece bigint, data binary").withColumn("shard", F.pmod(F.xxhash64("key", "piece", "data"), F.lit(shards)))
+    # the number of shards needs a first look at all pieces
+    pieces = materialize(rows.mapInArrow(cut, "key bigint, piece bigint, n bigint, data binary"), "pieces")
+    shards = max(1, -(-(pieces.agg(F.sum("n")).head()[0] or 0) // shard_ids))
+    dealt = pieces.drop("n").withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -118,7 +147,7 @@ def pack(df: DataFrame, key: str = "doc_id", ids: str = "ids", length: int = LEN
         if held:
             yield from _packed(shard, held, length, kind, pad)
 
-    return pieces.repartition("shard").sortWithinPartitions("shard", "key", "piece", "data").mapInArrow(fill, PACKED)
+    return dealt.repartition("shard").sortWithinPartitions("shard", "key", "piece", "data").mapInArrow(fill, PACKED)
 
 
 def _packed(shard: int, pieces: list[tuple[int | None, int, bytes]], length: int, kind: np.dtype, pad: int) -> Iterator[pa.RecordBatch]:

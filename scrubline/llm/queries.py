@@ -13,7 +13,7 @@ from .common import table
 from .oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
-TOKENIZER = os.environ.get("SCRUBLINE_TOKENIZER", "")
+TOKENIZER, RANKS = os.environ.get("SCRUBLINE_TOKENIZER", ""), os.environ.get("SCRUBLINE_RANKS", "")
 LIKES_IT = 0.3  # scores from here on predict label 1
 
 
@@ -26,6 +26,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def ranks_path() -> str:
+    if RANKS:
+        return RANKS
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
@@ -86,7 +94,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole packed matrix is written; of it come each row's segments and digests of its ids and positions."""
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
+    encoded = packing.token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_path(), bpe.PATTERN).drop("text")
     packed = packing.pack(encoded)
     return packed.select("shard", "row", "n_ids", "n_segments", "cu_seqlens", "doc_ids", "pieces", "offsets",
                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))

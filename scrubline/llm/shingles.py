@@ -39,7 +39,7 @@ SPACE[list(b" \t\n\x0b\x0c\r")] = True
 
 def _tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least n of each; a worker keeps those of a usual block."""
-    kept = worker_state().get("powers")
+    kept = worker_state("shingles").get("powers")
     if kept and len(kept[0]) >= n:
         return kept
     size = max(n, BLOCK + 4096)
@@ -49,7 +49,7 @@ def _tables(n: int) -> list[np.ndarray]:
         steps[0] = 1
         made.append(np.cumprod(steps, dtype=np.uint64))
     if size <= 4 * BLOCK:
-        worker_state()["powers"] = made
+        worker_state("shingles")["powers"] = made
     return made
 
 

@@ -113,6 +113,13 @@ def test_packing_is_lossless(spark, shard):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, ids binary")).count() == 0
 
 
+def test_rank_files_give_the_same_ids(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = df.limit(1).select("doc_id", F.lit(None).cast("string").alias("text")).union(df)
+    both = bpe.encode(packing.token_ids(more, queries.ranks_path(), bpe.PATTERN), PATH, ids="others")
+    assert both.where("ids <> others").isEmpty() and both.where("ids is null").isEmpty()
+
+
 def test_packing_refuses_ids_that_do_not_fit(spark):
     df = spark.createDataFrame([(1, np.array([70_000], "<u4").tobytes())], "doc_id bigint, ids binary")
     assert packing.pack(df, width=4).count() == 1
