@@ -29,15 +29,11 @@ from pyspark.sql import functions as F
 from .common import materialize, worker_state
 
 LENGTH = 2048
-FLUSH = 1 << 22  # ids cut before they are handed to Spark
 SHARD = 1 << 20
 PACKED = ("shard bigint, row int, n_ids int, n_segments int, ids binary, cu_seqlens array<int>, positions binary, "
           "doc_ids array<bigint>, pieces array<bigint>, offsets array<bigint>")
-PIECE = pa.schema([("key", pa.int64()), ("piece", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
-
-
-def token_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the ids of a text by a file of ranks (base64 bytes and rank a line), as little-endian 32-bit integers; null texts have none.
+def token_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", width: int = 4) -> DataFrame:
+    """Add the ids of a text by a file of ranks (base64 bytes and rank a line), little-endian, ``width`` (2 or 4) bytes each; null texts have none.
 
     The file is read by the driver and broadcast (a few MB, fixed by the file).
     """
@@ -49,9 +45,11 @@ def token_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: s
         state = worker_state("ranks")
         if state.get("spec") != spec.value:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, spec.value[0].splitlines())}
+            if width == 2 and max(ranks.values()) > 0xFFFF:
+                raise ValueError("an id does not fit into 2 bytes")
             state.update(spec=spec.value, encoding=tiktoken.Encoding("ranks", pat_str=spec.value[1], mergeable_ranks=ranks, special_tokens={}))
         own = state["encoding"].encode_ordinary
-        return pa.array((np.array(own(x.as_py() or ""), "<u4").tobytes() for x in texts), pa.binary())
+        return pa.array((np.array(own(x.as_py() or ""), f"<u{width}").tobytes() for x in texts), pa.binary())
 
     return df.withColumn(ids, encode(F.col(text)))
 
@@ -105,35 +103,27 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def pack(df: DataFrame, key: str = "doc_id", ids: str = "ids", length: int = LENGTH, width: int = 2, shard_ids: int = SHARD, pad: int = 0) -> DataFrame:
-    """The packed rows of a frame with token ids as little-endian 32-bit integers (binary). ``width``: bytes of an id in the output."""
-    if width not in (2, 4):
-        raise ValueError("ids are written with 2 or 4 bytes")
-    kind = np.dtype(f"<u{width}")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "piece", "n", "data"]
-        for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for k, own in zip(batch["key"].to_pylist(), batch["ids"]):
-                values = np.frombuffer(own.as_buffer(), "<u4")
-                if len(values) and width == 2 and values.max() > 0xFFFF:
-                    raise ValueError("an id does not fit into 2 bytes")
-                held += len(values)
-                for p, at in enumerate(range(0, len(values), length)):
-                    part = values[at : at + length]
-                    rows.append((k, p, len(part), part.astype(kind).tobytes()))
-                if held > FLUSH:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], PIECE)
-                    rows, held = [], 0
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], PIECE)
-
+def pack(df: DataFrame, key: str = "doc_id", ids: str = "ids", length: int = LENGTH, id_bytes: int = 4, width: int = 2, shard_ids: int = SHARD, pad: int = 0) -> DataFrame:
+    """The packed rows of a frame with token ids as little-endian integers of ``id_bytes`` bytes (binary). ``width``: bytes of an id in the output."""
+    if width not in (2, 4) or id_bytes not in (2, 4):
+        raise ValueError("ids have 2 or 4 bytes")
+    given, kind = np.dtype(f"<u{id_bytes}"), np.dtype(f"<u{width}")
+    size = length * id_bytes
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(ids).alias("ids")).where(F.octet_length("ids") > 0)
+    cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("ids") - 1) / size))))
     # the number of shards needs a first look at all pieces
-    pieces = materialize(rows.mapInArrow(cut, "key bigint, piece bigint, n bigint, data binary"), "pieces")
-    shards = max(1, -(-(pieces.agg(F.sum("n")).head()[0] or 0) // shard_ids))
-    dealt = pieces.drop("n").withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)))
+    pieces = materialize(cut.select("key", "piece", F.substring(F.col("ids"), (F.col("piece") * size + 1).cast("int"), F.lit(size)).alias("data")), "pieces")
+    total = pieces.agg(F.sum(F.octet_length("data"))).head()[0] or 0
+    shards = max(1, -(-total // (id_bytes * shard_ids)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)))
+
+    def written(data: bytes) -> bytes:
+        if given == kind:
+            return data
+        values = np.frombuffer(data, given)
+        if values.max() > np.iinfo(kind).max:
+            raise ValueError("an id does not fit into 2 bytes")
+        return values.astype(kind).tobytes()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -143,7 +133,7 @@ def pack(df: DataFrame, key: str = "doc_id", ids: str = "ids", length: int = LEN
                     yield from _packed(shard, held, length, kind, pad)
                     held = []
                 shard = own
-                held.append((k, p, data))
+                held.append((k, p, written(data)))
         if held:
             yield from _packed(shard, held, length, kind, pad)
 

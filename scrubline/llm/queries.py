@@ -94,8 +94,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole packed matrix is written; of it come each row's segments and digests of its ids and positions."""
-    encoded = packing.token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_path(), bpe.PATTERN).drop("text")
-    packed = packing.pack(encoded)
+    encoded = packing.token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_path(), bpe.PATTERN, width=2).drop("text")
+    packed = packing.pack(encoded, id_bytes=2)
     return packed.select("shard", "row", "n_ids", "n_segments", "cu_seqlens", "doc_ids", "pieces", "offsets",
                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
