@@ -210,5 +210,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return df.withColumn(text, decoder(load(df.sparkSession, path))(F.col(ids)))
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add the ids of a text and the text that these ids decode to, in one pass over the rows.
+
+    ``encode`` followed by ``decode`` gives the same; there, Spark would put the first function into the second and encode twice.
+    """
+    spec = load(df.sparkSession, path)
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+
+    @F.arrow_udf("ids binary, decoded string")
+    def both(texts: pa.Array) -> pa.Array:
+        bpe = tokenizer(spec.value)
+        own = [bpe.encode(x) if x else b"" for x in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(own, pa.binary()), pa.array((bpe.decode(x) for x in own), pa.string())], fields=list(kind))
+
+    out = df.withColumn("_both", both(F.col(text)))
+    return out.withColumns({ids: F.col("_both.ids"), decoded: F.col("_both.decoded")}).drop("_both")
+
+
 def id_count(ids: Column) -> Column:
     return F.coalesce(F.octet_length(ids).cast("long"), F.lit(0)) / 4

@@ -109,8 +109,10 @@ def pack(df: DataFrame, key: str = "doc_id", ids: str = "ids", length: int = LEN
         raise ValueError("ids have 2 or 4 bytes")
     given, kind = np.dtype(f"<u{id_bytes}"), np.dtype(f"<u{width}")
     size = length * id_bytes
-    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(ids).alias("ids")).where(F.octet_length("ids") > 0)
-    cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("ids") - 1) / size))))
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(ids).alias("ids"))
+    # no filter on the ids: if a function makes them, it would run once for the filter and once for the rows
+    numbers = F.when(F.octet_length("ids") > 0, F.sequence(F.lit(0), F.floor((F.octet_length("ids") - 1) / size)))
+    cut = rows.withColumn("piece", F.explode(numbers))
     # the number of shards needs a first look at all pieces
     pieces = materialize(cut.select("key", "piece", F.substring(F.col("ids"), (F.col("piece") * size + 1).cast("int"), F.lit(size)).alias("data")), "pieces")
     total = pieces.agg(F.sum(F.octet_length("data"))).head()[0] or 0

@@ -85,9 +85,7 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = tokenizer_path()
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), spec).drop("text")
-    decoded = bpe.decode(encoded, spec)
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return decoded.select("doc_id", bpe.id_count(F.col("ids")).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -67,6 +67,8 @@ def test_bpe_frames(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "né <|endoftext|>!", "z"), (3, "né <|endoftext|>!", "z")], "doc_id bigint, text string, ids string")
     rows = bpe.decode(bpe.encode(df, PATH), PATH).collect()
     assert [r.decoded for r in rows] == ["", "", "né <|endoftext|>!", "né <|endoftext|>!"] and [len(r.ids) for r in rows[:2]] == [0, 0]
+    again = bpe.round_trip(df, PATH).collect()
+    assert [(r.ids, r.decoded, r.text) for r in again] == [(r.ids, r.decoded, r.text) for r in rows]
     assert bpe.encode(df.limit(0), PATH).count() == 0
 
 
