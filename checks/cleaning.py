@@ -165,6 +165,20 @@ def x4_format(spark, sf):
     return convert.to_timestamp(texts, "t", "%d.%m.%Y %H:%M")
 
 
+def _format_check(name: str, spark_pattern: str, fmt: str):
+    """Dates written by one engine's pattern and read back by a strptime format, against the other engine's reading."""
+    @query(f"x4_to_timestamp_{name}", f"select o_orderkey, cast(try_strptime(strftime(o_orderdate, '{fmt}'), '{fmt}') as timestamp) as t from orders")
+    def run(spark, sf):
+        texts = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", spark_pattern).alias("t"))
+        return convert.to_timestamp(texts, "t", fmt)
+
+
+for _check in [("compact", "ddMMyyyy", "%d%m%Y"), ("year2", "dd/MM/yy", "%d/%m/%y"), ("month_year", "yyyyMM", "%Y%m"), ("hour_minute", "HHmm", "%H%M"),
+               ("compact_time", "yyyyMMddHHmmss", "%Y%m%d%H%M%S"), ("month_name", "MMMM d, yyyy", "%B %d, %Y"), ("weekday", "EEE, d MMM yyyy", "%a, %d %b %Y"), ("half_day", "yyyy-MM-dd hh:mm a", "%Y-%m-%d %I:%M %p"),
+               ("day_of_year", "yyyy-DDD", "%Y-%j")]:
+    _format_check(*_check)
+
+
 @query("x4_to_timestamp_first_value", "select event_id, case when event_id % 4 <> 1 then date_trunc('day', ts) end as t from events")
 def x4_first(spark, sf):
     day = F.date_format("ts", "yyyy-MM-dd")

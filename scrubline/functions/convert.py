@@ -22,6 +22,12 @@ STRPTIME = {
     "%z": "xx", "%Z": "VV", "%%": "%",
 }
 
+# The widths of numbers that touch another number, and English weekday names.
+FIXED_WIDTH = {"%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss", "%j": "DDD"}
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+CENTURY_YEAR = 69  # two-digit years from here on belong to the 20th century
+YEARLESS = 1900  # the year of a time whose format has none
+
 # What date detection tries, in this order. The shape keeps a lenient date pattern
 # from accepting text of another layout.
 DATE_FORMATS = [
@@ -42,8 +48,8 @@ DATE_FORMATS = [
     ("%d %b %Y", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
     ("%d-%b-%Y", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
     ("%b %d, %Y", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
-    ("%d %B %Y", r"^\d{1,2} [A-Za-z]{4,} \d{4}$"),
-    ("%B %d, %Y", r"^[A-Za-z]{4,} \d{1,2}, \d{4}$"),
+    ("%d %B %Y", r"^\d{1,2} [A-Za-z]{3,} \d{4}$"),
+    ("%B %d, %Y", r"^[A-Za-z]{3,} \d{1,2}, \d{4}$"),
     ("%Y%m%d", r"^\d{8}$"),
 ]
 
@@ -64,36 +70,60 @@ def looks_numeric(value: Column) -> Column:
     return (value == "") | parse_number(value).isNotNull()
 
 
+def format_pieces(fmt: str) -> list[str]:
+    """The codes and the characters between them."""
+    pieces = re.findall(r"%.|[^%]|%$", fmt, re.DOTALL)
+    for piece in pieces:
+        if piece[0] == "%" and piece not in STRPTIME:
+            raise ValueError(f"format code {piece!r} is not supported")
+    return pieces
+
+
 def java_pattern(fmt: str) -> str:
-    """A strptime format as a Spark datetime pattern."""
+    """A strptime format as a Spark datetime pattern. Numbers without anything between them have fixed widths."""
+    numbers = {"%Y", "%y", "%f", *FIXED_WIDTH}
+    pieces = format_pieces(fmt)
     out: list[str] = []
     literal = ""
-    for piece in re.findall(r"%.|[^%]", fmt):
-        if piece in STRPTIME and piece != "%%":
-            if literal:
-                out.append("'" + literal.replace("'", "''") + "'")
-                literal = ""
-            out.append(STRPTIME[piece])
-        elif piece.startswith("%") and piece != "%%":
-            raise ValueError(f"format code {piece!r} is not supported")
-        else:
-            literal += "%" if piece == "%%" else piece
+    for before, piece, after in zip(["", *pieces], pieces, [*pieces[1:], ""]):
+        if piece[0] != "%" or piece == "%%":
+            literal += piece[-1]
+            continue
+        if literal:
+            out.append("'" + literal.replace("'", "''") + "'")
+            literal = ""
+        touches = before in numbers or after in numbers
+        out.append(FIXED_WIDTH[piece] if touches and piece in FIXED_WIDTH else STRPTIME[piece])
     if literal:
         out.append("'" + literal.replace("'", "''") + "'")
-    # fields without anything between them need fixed widths
-    return "".join(out).replace("yyyyMd", "yyyyMMdd").replace("Hms", "HHmmss")
+    return "".join(out)
 
 
 def parse_timestamp(value: Column, fmt: str) -> Column:
     """Text as wall-clock time by a strptime format; NULL where it does not match.
 
-    The text is read as UTC, so that the session's time zone plays no part.
+    The text is read as UTC, so that the session's time zone plays no part. A weekday name may stand at the
+    beginning, where it is checked to be one and then left out; elsewhere its code is refused. Without a year,
+    the year is 1900; two-digit years lie between 1969 and 2068.
     """
     shape = dict(DATE_FORMATS).get(fmt)
-    pattern, text = java_pattern(fmt), value
-    if "%z" not in fmt and "%Z" not in fmt:
-        pattern, text = pattern + " xx", F.concat(value, F.lit(" +0000"))
+    text, named, codes = value, None, format_pieces(fmt)
+    if codes[:1] in (["%a"], ["%A"]):
+        names = WEEKDAYS if codes[0] == "%A" else [w[:3] for w in WEEKDAYS]
+        weekday = f"^(?i)(?:{'|'.join(names)})"
+        named, text, codes = value.rlike(weekday), F.regexp_replace(value, weekday, ""), codes[1:]
+    if "%a" in codes or "%A" in codes:
+        raise ValueError("a weekday name is only supported at the beginning of a format")
+    pattern = java_pattern("".join(codes))
+    if "%z" not in codes and "%Z" not in codes:
+        pattern, text = pattern + " xx", F.concat(text, F.lit(" +0000"))
     parsed = wall_time(F.unix_micros(F.try_to_timestamp(text, F.lit(pattern))))
+    if "%y" in codes:
+        parsed = F.when(F.year(parsed) >= 2000 + CENTURY_YEAR, parsed - F.expr("interval '100' year")).otherwise(parsed)
+    elif "%Y" not in codes:
+        parsed = parsed - F.expr(f"interval '{1970 - YEARLESS}' year")
+    if named is not None:
+        parsed = F.when(named, parsed)
     return F.when(value.rlike(shape), parsed) if shape else parsed
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from scrubline.functions.classes import col, require_numeric
 from scrubline.operators.quantiles import ONE_PASS_BYTES, quantile_columns
 from scrubline.operators.sampling import key_hash, lowest_hashes
-from scrubline.session import cut_lineage, plan_bytes
+from scrubline.session import cut_lineage, measured_bytes
 
 # Fixed values of the forest and the accepted shares of anomalies.
 TREES = 100
@@ -154,7 +154,7 @@ def isolation_forest(
         complete = complete.where(col(c).isNotNull())
     scored = complete.select(*[col(k) for k in key], *[col(c) for c in names if c not in key],
                              (-score_column(trees, size, names)).alias("__score"))
-    if plan_bytes(scored) > ONE_PASS_BYTES:
+    if measured_bytes(scored) > ONE_PASS_BYTES:
         # several passes find the threshold: keep the scores instead of walking the trees in each
         scored = cut_lineage(scored)
     offset = quantile_columns(scored.select("__score"), {"__score": [contamination]})["__score"][0]

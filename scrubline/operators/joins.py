@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.functions.classes import col, dtype, is_datetime, is_numeric, is_text
+from scrubline.functions.classes import col, dtype, fresh_name, is_datetime, is_numeric, is_text
 
 HOW = ("inner", "left", "right", "outer")
 
@@ -97,13 +100,19 @@ def join_columns(left: DataFrame, right: DataFrame, merged: DataFrame) -> DataFr
 
 
 def keep_rows(df: DataFrame, flagged: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose key is among the flagged ones."""
-    return df.join(flagged.select(*[col(k) for k in key]), key, "left_semi")
+    """The rows whose key is among the flagged ones; missing keys match each other, as in joins."""
+    return _by_key(df, flagged, key, "left_semi")
 
 
 def drop_rows(df: DataFrame, flagged: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose key is not among the flagged ones."""
-    return df.join(flagged.select(*[col(k) for k in key]), key, "left_anti")
+    """The rows whose key is not among the flagged ones; missing keys match each other, as in joins."""
+    return _by_key(df, flagged, key, "left_anti")
+
+
+def _by_key(df: DataFrame, flagged: DataFrame, key: list[str], how: str) -> DataFrame:
+    names = [fresh_name(df, f"__flagged{i}") for i in range(len(key))]
+    other = flagged.select(*[col(k).alias(n) for k, n in zip(key, names)])
+    return df.join(other, reduce(and_, (col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names))), how)
 
 
 def append_rows(first: DataFrame, second: DataFrame) -> DataFrame:

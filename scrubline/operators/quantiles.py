@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scrubline.functions.classes import col
 from scrubline.operators.ranges import with_ranges
-from scrubline.session import plan_bytes
+from scrubline.session import measured_bytes
 
 ONE_PASS_BYTES = 32 << 20
 BRACKET_ROWS = 1_000_000
@@ -40,7 +40,7 @@ def quantile_row(
 
     A lazy aggregate for a small input or with ``approx``, literals otherwise.
     """
-    if approx or plan_bytes(df.select(*[col(c) for c in wanted])) <= one_pass_bytes:
+    if approx or measured_bytes(df.select(*[col(c) for c in wanted])) <= one_pass_bytes:
         parts = []
         for i, (name, probs) in enumerate(wanted.items()):
             value, array = col(name).cast("double"), F.array(*[F.lit(float(p)) for p in probs])
@@ -177,7 +177,7 @@ def grouped_median(
 ) -> DataFrame:
     """The exact median of ``value`` per group of non-null keys; groups without values are left out."""
     data = df.where(col(value).isNotNull()).select(*[col(k) for k in keys], col(value).cast("double").alias("__v"))
-    if plan_bytes(data) <= one_pass_bytes and ranges is None:
+    if ranges is None and measured_bytes(data) <= one_pass_bytes:
         return data.groupBy(*[col(k) for k in keys]).agg(F.median("__v").alias(name))
     ranged, _ = with_ranges(data, ["__v"], "__range", ranges)
     counted = ranged.groupBy(*[col(k) for k in keys], F.col("__range"), F.col("__v")).agg(F.count("*").alias("__n"))

@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline.functions.classes import NUMERIC, col, fresh_name, wall_micros
-from scrubline.session import plan_bytes
+from scrubline.session import measured_bytes
 
-ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 16_384
+RANGE_BYTES = 64 << 20  # of whole rows, since the windows carry all columns
+MAX_RANGES = 16_384  # bounds what passes through the driver; a larger table has larger ranges, which windows spill
 SAMPLES_PER_RANGE = 20
-ONE_RANGE_BYTES = 64 << 20
 
 
 def key_of(order_by: list[str]) -> Column:
@@ -36,11 +35,11 @@ def with_ranges(df: DataFrame, order_by: list[str], name: str, ranges: int | Non
     are keys of all order columns.
     """
     keys = df.select(key_of(order_by).alias("k"))
-    if ranges is None and plan_bytes(keys) <= ONE_RANGE_BYTES:
+    if ranges is None:
+        ranges = math.ceil(measured_bytes(df) / RANGE_BYTES)
+    if ranges < 2:
         return df.withColumn(name, F.lit(0)), False
     rows = df.count()
-    if ranges is None:
-        ranges = math.ceil(rows / ROWS_PER_RANGE)
     ranges = min(ranges, MAX_RANGES, rows)
     if ranges < 2:
         return df.withColumn(name, F.lit(0)), False

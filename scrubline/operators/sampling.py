@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.functions.classes import col
-from scrubline.session import plan_bytes
+from scrubline.session import measured_bytes
 
 SMALL_BYTES = 256 << 20
 
@@ -25,7 +25,7 @@ def lowest_hashes(
     are below the threshold, the whole table is ranked: the result is always the n lowest.
     """
     order = [key_hash(keys, seed), *[col(k) for k in keys]]
-    if plan_bytes(df) > small_bytes:
+    if measured_bytes(df) > small_bytes:
         rows = df.count()
         share = (4 * n + 1_000) / max(rows, 1)
         if share < 0.5:

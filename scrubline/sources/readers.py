@@ -74,8 +74,10 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None, inf
     """A CSV file or folder with a header line.
 
     Missing-value words become NULL, types are inferred from all rows, dates stay text, and a
-    column without any value is a number column. A file is split over tasks unless a quoted
-    value holds a line break; ``multi_line`` states this instead of looking.
+    column without any value is a number column. A line with too few fields is filled up with NULL;
+    one with more fields than the header fails the read, and so does a file of the folder whose header
+    is another one. A file is split over tasks unless a quoted value holds a line break; ``multi_line``
+    states this instead of looking.
     """
     if multi_line is None:
         multi_line = has_quoted_newlines(spark, path)
@@ -84,13 +86,18 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None, inf
     if first is None:
         raise ValueError(f"{path} holds no columns")
     names = unique_names(list(first))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    bad = "_line_" + "_".join(names)[:40]  # holds a line whose number of fields is not the header's
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
     raw = (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+        spark.read.schema(schema).option("header", True).option("enforceSchema", names != [x or "" for x in first])
+        .option("columnNameOfCorruptRecord", bad).option("columnPruning", False)
         .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
-    texts = raw.select(*[F.when(~col(c).isin(NA_TOKENS), col(c)).alias(c) for c in raw.columns])
+    bare = F.regexp_replace(col(bad), '"[^"]*"', "")
+    too_long = F.length(F.regexp_replace(bare, "[^,]", "")) >= len(names)
+    complaint = F.concat(F.lit(f"more than {len(names)} fields: "), F.left(col(bad), F.lit(200)))
+    texts = raw.select(*[F.when(too_long, F.raise_error(complaint).cast("string")).when(~col(c).isin(NA_TOKENS), col(c)).alias(c) for c in names])
     return infer_columns(texts) if infer else texts
 
 

@@ -97,3 +97,23 @@ def test_sample_table(spark):
     found = {(r["type"], r["column"]) for r in detect_issues(df).collect()}
     assert ("duplicates", "All columns") in found and ("datatype", "signup_date") in found
     assert first.agg(F.min("signup_date")).head()[0] == "2023-01-01"
+
+
+def test_csv_lines_of_other_lengths(spark, tmp_path):
+    path = tmp_path / "short.csv"
+    path.write_text('a,b\n1,2\n6\n"x,y","say ""hi"", you"\n')
+    assert [tuple(r) for r in readers.read_csv(spark, str(path)).collect()] == [("1", "2"), ("6", None), ("x,y", 'say "hi", you')]
+    for name, text in (("long", "a,b\n1,2\n3,4,5\n6\n"), ("trailing", "a,b\n3,4,\n"), ("lines", 'a,b\n"1\n2",3,4\n')):
+        path = tmp_path / f"{name}.csv"
+        path.write_text(text)
+        with pytest.raises(Exception, match="more than 2 fields"):
+            readers.read_csv(spark, str(path)).select("b").collect()
+        with pytest.raises(Exception, match="more than 2 fields"):
+            readers.read_csv(spark, str(path), infer=False).select("b").collect()
+
+
+def test_csv_folder_with_other_headers(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "2.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path)).collect()

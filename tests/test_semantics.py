@@ -286,3 +286,33 @@ def test_describe(spark):
     assert [rows["n"][c] for c in ("count", "mean", "std", "min", "q25", "q50", "q75", "max")] == pytest.approx(expected.tolist())
     assert [rows["t"][c] for c in ("count", "unique", "top", "freq")] == [3, 2, "b", 2]
     assert str(rows["d"]["ts_mean"]) == "2020-01-02 00:00:00" and str(rows["d"]["ts_25"]) == "2020-01-01 12:00:00"
+
+
+def test_flagged_rows_with_missing_keys(spark):
+    from scrubline.operators.joins import drop_rows, keep_rows
+
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, v string")
+    flagged = spark.createDataFrame([(None,), (2,)], "k int")
+    assert {r.v for r in keep_rows(df, flagged, ["k"]).collect()} == {"b", "c"}
+    assert {r.v for r in drop_rows(df, flagged, ["k"]).collect()} == {"a"}
+
+
+@pytest.mark.parametrize("fmt, value", [
+    ("%d%m%Y", "05012023"), ("%Y%m", "202301"), ("%H%M", "0930"), ("%y%m%d", "990105"), ("%d.%m.%y", "5.1.68"), ("%d.%m.%y", "5.1.69"), ("%Y%j", "2024366"),
+    ("%a, %d %b %Y", "Thu, 5 Jan 2023"), ("%A %d %B %Y", "thursday 5 January 2023"), ("%I:%M %p", "9:30 PM"), ("100%% %Y", "100% 2023"), ("%Y-%m-%dT%H:%M:%S", "2023-01-05T01:02:03")])
+def test_formats_as_strptime_reads_them(spark, fmt, value):
+    import datetime as dt
+
+    from scrubline.functions.convert import parse_timestamp
+
+    df = spark.createDataFrame([(value,), ("x" + value,), (None,)], "t string")
+    found = [r[0] for r in df.select(parse_timestamp(F.col("t"), fmt)).collect()]
+    assert found == [dt.datetime.strptime(value, fmt), None, None]
+
+
+@pytest.mark.parametrize("fmt", ["%Y %A", "%Q", "%Y%"])
+def test_formats_that_are_refused(fmt):
+    from scrubline.functions.convert import parse_timestamp
+
+    with pytest.raises(ValueError):
+        parse_timestamp(F.lit("x"), fmt)
