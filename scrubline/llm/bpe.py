@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import worker_state
 
-WORDS = 350_000  # words whose ids are remembered by a worker, in each of two generations
+WORDS = 200_000  # words whose ids are remembered by a worker, in each of two generations
 PAIRS = 300_000  # pairs whose compatibility is remembered by a worker
 LONGEST = 64  # longer words are encoded anew each time
+SLICE = 256  # rows of a batch that are Python objects at a time
 
 # Fixed value: the pattern that cuts a text into words before byte-level merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -182,12 +183,18 @@ def load(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def sliced(values: pa.Array, make, kind: pa.DataType) -> pa.Array:
+    """``make`` applied to slices of a batch, so that few of its rows are Python objects at the same time."""
+    parts = [make(values.slice(i, SLICE)) for i in range(0, len(values), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def encoder(spec) -> object:
     """A function of a text column: ids as binary, four bytes each, little-endian."""
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         bpe = tokenizer(spec.value)
-        return pa.array((bpe.encode(x) if x else b"" for x in texts.to_pylist()), pa.binary())
+        return sliced(texts, lambda some: pa.array([bpe.encode(x) if x else b"" for x in some.to_pylist()], pa.binary()), pa.binary())
     return encode
 
 
@@ -196,7 +203,7 @@ def decoder(spec) -> object:
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         bpe = tokenizer(spec.value)
-        return pa.array((bpe.decode(x) if x else "" for x in ids.to_pylist()), pa.string())
+        return sliced(ids, lambda some: pa.array([bpe.decode(x) if x else "" for x in some.to_pylist()], pa.string()), pa.string())
     return decode
 
 
@@ -221,8 +228,12 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     @F.arrow_udf("ids binary, decoded string")
     def both(texts: pa.Array) -> pa.Array:
         bpe = tokenizer(spec.value)
-        own = [bpe.encode(x) if x else b"" for x in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array(own, pa.binary()), pa.array((bpe.decode(x) for x in own), pa.string())], fields=list(kind))
+
+        def part(some: pa.Array) -> pa.Array:
+            own = [bpe.encode(x) if x else b"" for x in some.to_pylist()]
+            return pa.StructArray.from_arrays([pa.array(own, pa.binary()), pa.array([bpe.decode(x) for x in own], pa.string())], fields=list(kind))
+
+        return sliced(texts, part, kind)
 
     out = df.withColumn("_both", both(F.col(text)))
     return out.withColumns({ids: F.col("_both.ids"), decoded: F.col("_both.decoded")}).drop("_both")
