@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids (little-endian 32-bit integers), their number, and whether they decode to the text."""
-    read = bpe.round_trip(docs, tokenizer_path(), ids="ids", decoded="_decoded")
+    read = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), ids="ids", decoded="_decoded")
     return read.select("doc_id", "lang", "source", bpe.id_count(F.col("ids")).cast("bigint").alias("n_tokens"), "ids",
                        (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

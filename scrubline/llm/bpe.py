@@ -14,19 +14,20 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import worker_state
+from .common import slices, worker_state
 
 WORDS = 200_000  # words whose ids are remembered by a worker, in each of two generations
 PAIRS = 300_000  # pairs whose compatibility is remembered by a worker
 LONGEST = 64  # longer words are encoded anew each time
-SLICE = 256  # rows of a batch that are Python objects at a time
 
 # Fixed value: the pattern that cuts a text into words before byte-level merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -183,9 +184,8 @@ def load(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def sliced(values: pa.Array, make, kind: pa.DataType) -> pa.Array:
-    """``make`` applied to slices of a batch, so that few of its rows are Python objects at the same time."""
-    parts = [make(values.slice(i, SLICE)) for i in range(0, len(values), SLICE)]
+def _each(values: pa.Array, make, kind: pa.DataType) -> pa.Array:
+    parts = [pa.array(map(make, part.to_pylist()), kind) for part in slices(values)]
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
@@ -194,7 +194,7 @@ def encoder(spec) -> object:
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         bpe = tokenizer(spec.value)
-        return sliced(texts, lambda some: pa.array([bpe.encode(x) if x else b"" for x in some.to_pylist()], pa.binary()), pa.binary())
+        return _each(texts, lambda x: bpe.encode(x) if x else b"", pa.binary())
     return encode
 
 
@@ -203,7 +203,7 @@ def decoder(spec) -> object:
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         bpe = tokenizer(spec.value)
-        return sliced(ids, lambda some: pa.array([bpe.decode(x) if x else "" for x in some.to_pylist()], pa.string()), pa.string())
+        return _each(ids, lambda x: bpe.decode(x) if x else "", pa.string())
     return decode
 
 
@@ -218,25 +218,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add the ids of a text and the text that these ids decode to, in one pass over the rows.
+    """Add the ids of a text and the text that these ids decode to, in one pass over the rows; results are handed on in small batches.
 
     ``encode`` followed by ``decode`` gives the same; there, Spark would put the first function into the second and encode twice.
     """
     spec = load(df.sparkSession, path)
-    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
-
-    @F.arrow_udf("ids binary, decoded string")
-    def both(texts: pa.Array) -> pa.Array:
-        bpe = tokenizer(spec.value)
-
-        def part(some: pa.Array) -> pa.Array:
-            own = [bpe.encode(x) if x else b"" for x in some.to_pylist()]
-            return pa.StructArray.from_arrays([pa.array(own, pa.binary()), pa.array([bpe.decode(x) for x in own], pa.string())], fields=list(kind))
-
-        return sliced(texts, part, kind)
-
-    out = df.withColumn("_both", both(F.col(text)))
-    return out.withColumns({ids: F.col("_both.ids"), decoded: F.col("_both.decoded")}).drop("_both")
+    kept = [c for c in df.columns if c not in (ids, decoded)]
+    schema = T.StructType([*df.select(*kept, F.col(text).alias("_said")).schema.fields[:-1], T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bpe = tokenizer(spec.value)
+            for part in slices(batch):
+                own = [bpe.encode(x) if x else b"" for x in part.column(len(kept)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own, pa.binary()), pa.array([bpe.decode(x) for x in own], pa.string())],
+                                                 names=[*kept, ids, decoded])
+
+    return df.select(*kept, F.col(text).alias("_said")).mapInArrow(run, schema)
 
 
 def id_count(ids: Column) -> Column:

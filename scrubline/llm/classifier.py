@@ -17,14 +17,14 @@ score is the smoothed share of label 1 (0.5 without any); other columns stay, on
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction, materialize
+from .common import fraction, materialize, slices
 from .shingles import PLACE, blocks, mix, word_hashes
 
 BITS = 18
@@ -95,8 +95,11 @@ class Model:
     slope: float
     offset: float
 
+    def __post_init__(self):
+        self.product, self.square = self.ratio * self.weight, np.square(self.ratio)
+
     def margins(self, sets) -> Iterator[float]:
-        product, square = (self.ratio * self.weight).astype(np.float64), np.square(self.ratio)
+        product, square = self.product, self.square
         for own in sets:
             norm = np.sqrt(square[own].sum())
             yield (product[own].sum() / norm if norm else 0.0) + self.bias
@@ -172,7 +175,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, BUCKETS), np.int64)
         sizes = np.zeros(2, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             chosen = []
             texts = [x.encode() for x in batch["text"].to_pylist()]
             for own, y, k, take in zip(features(texts), batch["y"].to_pylist(), batch["k"].to_pylist(), batch["chosen"].to_pylist()):
@@ -235,10 +238,13 @@ def fit(ratio: np.ndarray, drawn: list[tuple[int, str, bytes]], n: np.ndarray) -
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add the probability of label 1. The model (a few MB, fixed by BUCKETS) is broadcast."""
-    sent = df.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays and numbers
+    sent = df.sparkSession.sparkContext.broadcast({f.name: getattr(model, f.name) for f in fields(model)})  # plain arrays and numbers
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(Model(**sent.value).scores(features([(x or "").encode() for x in texts.to_pylist()])), pa.float64())
+        model, out = Model(**sent.value), []
+        for part in slices(texts):
+            out += model.scores(features([(x or "").encode() for x in part.to_pylist()]))
+        return pa.array(out, pa.float64())
 
     return df.withColumn(out, run(F.col(text)))

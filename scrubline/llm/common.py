@@ -39,6 +39,12 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def slices(batch, rows: int = 256):
+    """Parts of an Arrow array or batch, so that few of its rows are Python objects, and few results wait, at the same time."""
+    for start in range(0, len(batch), rows):
+        yield batch.slice(start, rows)
+
+
 def worker_state(owner: str) -> dict:
     """What a Python worker keeps from one task to the next, for one owner at a time: another's is let go.
 

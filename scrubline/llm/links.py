@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 from .shingles import SIZE, MinHash, blocks, shingle_hashes
 
 CHUNK = 512  # nodes of a chunk, at most
@@ -40,7 +40,7 @@ def signed(df: DataFrame, key: str, text: str, permutations: int, size: int = SI
     """id (the key), row (the key or, where it is null, a number fixed by the text), node, shingles (their number), signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(permutations, size)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [x.encode() for x in batch["text"].to_pylist()]
             values, counts = [], []
             for i, j in blocks(texts):
@@ -210,7 +210,7 @@ def verified(spark: SparkSession, df: DataFrame, key: str, text: str, nodes: Dat
     found = _rows(df, key, text).select("row", "text").join(wanted.hint("merge"), "row")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [x.encode() for x in batch["text"].to_pylist()]
             own, names = [], batch["node"].to_pylist()
             for i, j in blocks(texts):

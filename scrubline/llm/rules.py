@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 SYMBOLS = b"#*$%&|<>"  # fixed value
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -67,7 +67,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts of a text and whether it fails the base rules."""
     @F.arrow_udf(", ".join(f"{c} bigint" for c in COUNTS))
     def text_counts(texts: pa.Array) -> pa.Array:
-        rows = [count_text(x or "") for x in texts.to_pylist()]
+        rows = [count_text(x or "") for part in slices(texts) for x in part.to_pylist()]
         columns = zip(*rows) if rows else [()] * len(COUNTS)
         return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in columns], COUNTS)
 
