@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import slices, worker_state
 
-WORDS = 200_000  # words whose ids are remembered by a worker, in each of two generations
-PAIRS = 300_000  # pairs whose compatibility is remembered by a worker
+WORDS = 150_000  # words whose ids are remembered by a worker, in each of two generations
+PAIRS = 200_000  # pairs whose compatibility is remembered by a worker
 LONGEST = 64  # longer words are encoded anew each time
 
 # Fixed value: the pattern that cuts a text into words before byte-level merging.
@@ -233,6 +233,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
                 own = [bpe.encode(x) if x else b"" for x in part.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own, pa.binary()), pa.array([bpe.decode(x) for x in own], pa.string())],
                                                  names=[*kept, ids, decoded])
+        worker_state("")  # the task is over: a worker that waits holds no words
 
     return df.select(*kept, F.col(text).alias("_said")).mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ from .shingles import SIZE, MinHash, blocks, shingle_hashes
 CHUNK = 512  # nodes of a chunk, at most
 CHUNK_SHINGLES = 1 << 18  # shingles of a chunk, about
 COLUMNS = 1 << 12  # shared shingles multiplied at a time
-PAIRS = 1 << 18  # pairs compared at a time
+PAIRS = 1 << 15  # pairs compared at a time: two signatures each
 
 Survive = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
