@@ -136,7 +136,7 @@ def _forest(tiles: list[tuple], rows: int, survive: Survive | None) -> pa.Record
             i, j, band = i[alive], j[alive], band[alive]
         # only in the first band in which the two agree
         cut = values.shape[1] // rows * rows
-        agree = (values[i, :cut] == values[j, :cut]).reshape(len(i), -1, rows).all(2)
+        agree = (values[i, :cut] == values[j, :cut]).reshape(len(i), cut // rows, rows).all(2)
         first = agree.argmax(1) == band
         keep_left.append(i[first])
         keep_right.append(j[first])

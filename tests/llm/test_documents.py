@@ -138,6 +138,13 @@ def test_crowd_in_many_tiles(spark, monkeypatch):
     assert found == {r[0]: (rows[p][0], c) for r, p, c in zip(rows, part, count)}
 
 
+def test_tiles_without_survivors():
+    rng = np.random.default_rng(2)
+    members = [{"high_side": False, "node": bytes([i]), "signature": rng.integers(0, 1 << 16, 128).astype(np.uint16).tobytes()} for i in range(5)]
+    for survive in (jaccard.pruner(128), None):
+        assert links._forest([(0, 0, 0, members), (1, 0, 0, members[:1])], 4, survive).num_rows == 0
+
+
 def test_parts_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(7, 7), (300, 200)]
     found = {r.node: r.root for r in links.parts(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
