@@ -137,7 +137,7 @@ def _forest(tiles: list[tuple], rows: int, survive: Survive | None) -> pa.Record
         # only in the first band in which the two agree
         cut = values.shape[1] // rows * rows
         agree = (values[i, :cut] == values[j, :cut]).reshape(len(i), cut // rows, rows).all(2)
-        first = agree.argmax(1) == band
+        first = (agree.argmax(1) == band) & agree.any(1)
         keep_left.append(i[first])
         keep_right.append(j[first])
     order = {name: k for k, name in enumerate(sorted(set(names)))}
