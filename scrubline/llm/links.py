@@ -247,9 +247,9 @@ def verified(spark: SparkSession, df: DataFrame, key: str, text: str, nodes: Dat
 
 
 def classes(df: DataFrame, key: str, text: str, rows: int, bands: int, threshold: Fraction, survive: Survive | None, size: int = SIZE) -> DataFrame:
-    """id, row, class_row, class_id, n_copies, n_links for every row of df.
+    """id, row, node, root, class_row, class_id, n_copies, n_links for every row of df.
 
-    Texts are linked if the Jaccard similarity of their shingle sets reaches the threshold; a class is a connected part. class_id is
+    Texts are linked if the Jaccard similarity of their shingle sets reaches the threshold; a class is a connected part. root names it; class_id is
     the lowest key in it (null if no member has one), class_row the lowest row number; n_copies counts the other
     rows with the same words, n_links the other rows linked, copies included. Texts without words are copies of each other.
     """
@@ -261,6 +261,6 @@ def classes(df: DataFrame, key: str, text: str, rows: int, bands: int, threshold
     named = nodes.select("node", "id", "row", "copies").join(linked.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "named")
     lowest = named.groupBy("root").agg(F.min("id").alias("class_id"), F.min("row").alias("class_row"))
-    facts = named.join(lowest, "root").select("node", "class_id", "class_row", (F.col("copies") - 1).alias("n_copies"),
+    facts = named.join(lowest, "root").select("node", "root", "class_id", "class_row", (F.col("copies") - 1).alias("n_copies"),
                                               (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return each.select("id", "row", "node").join(facts.hint("merge"), "node").drop("node")
+    return each.select("id", "row", "node").join(facts.hint("merge"), "node")

@@ -168,6 +168,13 @@ def test_one_of_each_keeps_columns_and_one_row_a_class(odd):
     assert kept.columns == odd.columns and kept.count() == len(set(part))
 
 
+def test_one_of_each_keeps_different_texts_under_one_id(spark):
+    near = " ".join(f"word{i}" for i in range(100))
+    rows = [(1, "one text of its own"), (1, "and quite another one here"), (1, "one  text of its own"), (2, near), (2, near.replace("word50", "x")), (3, near)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 1, 2] and {" ".join(r.text.split()) for r in kept if r.doc_id == 1} == {rows[0][1], rows[1][1]}
+
+
 def test_rules_count_words_and_lines():
     text = "a a a a\nb # c|\n\n b\nb # c|\n" + "x\xa0y z"
     w = text.encode().split()
