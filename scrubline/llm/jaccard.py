@@ -73,4 +73,4 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     rows = df.withColumn("_j_own", F.coalesce(F.col(key).cast("bigint"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
     # joined and made unique by one shuffle of the texts
     named = rows.join(chosen.hint("merge"), F.col("_j_own") == F.col("_j_row")).withColumn("_j_words", words(F.col(text)))
-    return named.where("_j_words = _j_node").dropDuplicates(["_j_own", "_j_node"]).select(*df.columns)
+    return named.where("_j_words = _j_node").dropDuplicates(["_j_node", "_j_row"]).select(*df.columns)
