@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import dirty_orders, query, table
+from checks.base import dirty_orders, key_hash_sql, query, table
 from checks.profiling import d
 from scrubline.operators import aggregates
 
@@ -33,10 +33,14 @@ def v1_lineitem(spark, sf):
     return _hist(table(spark, sf, "lineitem"), "l_extendedprice")
 
 
-@query("v2_scatter_sample")
+POINT_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("v2_scatter_sample", f"""
+select {', '.join(POINT_KEY)}, l_quantity, l_extendedprice from lineitem
+order by {key_hash_sql(42, *POINT_KEY)}, {', '.join(POINT_KEY)} limit 5000""")
 def v2(spark, sf):
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return aggregates.scatter_sample(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", key)
+    return aggregates.scatter_sample(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", POINT_KEY)
 
 
 @query("top_brand", "select p_brand, count(*) as count from part group by p_brand order by count desc, p_brand limit 15")

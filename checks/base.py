@@ -46,6 +46,12 @@ LEFT_KEYS = "select case when n_nationkey % 5 = 0 then null else n_nationkey end
 RIGHT_KEYS = "select case when s_suppkey % 9 = 0 then null else s_nationkey + 3 end as j, s_name as v from supplier"
 
 
+def key_hash_sql(seed: int, *keys: str) -> str:
+    """What draws samples and splits, a number from 0 to 2^60 - 1."""
+    parts = " || ':' || ".join([f"'{seed}'", *[f"cast({k} as varchar)" for k in keys]])
+    return f"cast('0x' || substr(md5({parts}), 1, 15) as bigint)"
+
+
 def derived(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     """A frame from SQL text that names the given tables."""
     for name in ("orders", "nation", "supplier", "conversations"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import query, table
+from checks.base import key_hash_sql, query, table
 from scrubline.operators import anomalies, fuzzy, outliers
 
 EVENTS = "event_id, ts, user_id, event_type, value, props"
@@ -135,3 +135,29 @@ def a3(spark, sf):
 @query("a4_remove_anomalies")
 def a4(spark, sf):
     return anomalies.remove_anomalies(table(spark, sf, "events"), _forest(spark, sf), ["event_id"])
+
+
+def _far(spark, sf):
+    """Events with a verdict given by a rule, in place of a forest's."""
+    return table(spark, sf, "events").select("event_id", "value", (F.col("value") > 150).alias("anomaly"))
+
+
+FAR = "with r as (select event_id, value, value > 150 as anomaly from events)"
+
+
+@query("a2_anomaly_summary_rule", f"""
+{FAR} select count_if(anomaly)::bigint as anomalies, count(*) as scanned, round(count_if(anomaly) * 100.0::double / count(*), 6) as rate from r""")
+def a2_rule(spark, sf):
+    return anomalies.anomaly_summary(_far(spark, sf)).withColumn("rate", F.round("rate", 6))
+
+
+@query("a3_plot_sample_rule", f"""
+{FAR} select * from r where anomaly union all
+select * from (select * from r where not anomaly order by {key_hash_sql(42, 'event_id')}, event_id limit 5000)""")
+def a3_rule(spark, sf):
+    return anomalies.plot_sample(_far(spark, sf), ["event_id"])
+
+
+@query("a4_remove_anomalies_rule", "select * from events where not coalesce(value > 150, false)")
+def a4_rule(spark, sf):
+    return anomalies.remove_anomalies(table(spark, sf, "events"), _far(spark, sf), ["event_id"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import dirty_orders, query, table
+from checks.base import dirty_orders, key_hash_sql, query, table
 from checks.profiling import d
 from scrubline.operators import forest
 
@@ -30,7 +30,9 @@ def m2(spark, sf):
     return forest.prepare_training(dirty_orders(spark, sf), ["o_orderkey", "priority"], "price")
 
 
-@query("m2_prepare_training_sample")
+@query("m2_prepare_training_sample", f"""
+select o_orderkey, o_orderpriority, o_totalprice from orders where o_orderpriority is not null and o_totalprice is not null
+order by {key_hash_sql(42, 'o_orderkey')}, o_orderkey limit 20000""")
 def m2_sample(spark, sf):
     return forest.prepare_training(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", ["o_orderkey"], 20_000)
 
@@ -44,7 +46,8 @@ def m3(spark, sf):
     return orders.select("o_orderkey", *[x.alias(n) for n, x in forest.one_hot(orders, ["o_orderpriority"])])
 
 
-@query("m4_split")
+@query("m4_split", f"""
+select count_if({key_hash_sql(42, 'o_orderkey')} % 10000 >= 2000) as train_rows, count_if({key_hash_sql(42, 'o_orderkey')} % 10000 < 2000) as test_rows from orders""")
 def m4(spark, sf):
     train, test = forest.split(table(spark, sf, "orders"), ["o_orderkey"])
     return train.agg(F.count("*").alias("train_rows"), test.agg(F.count("*")).scalar().alias("test_rows"))
@@ -95,3 +98,13 @@ def m9(spark, sf):
 @query("m10_actual_vs_predicted")
 def m10(spark, sf):
     return forest.actual_vs_predicted(_regression(spark, sf))
+
+
+@query("m10_actual_vs_predicted_means", """
+select o_orderkey, o_totalprice as actual, round(avg(o_totalprice) over (partition by o_orderstatus), 4) as predicted,
+  min(o_totalprice) over () as line_low, max(o_totalprice) over () as line_high from orders""")
+def m10_means(spark, sf):
+    orders = table(spark, sf, "orders")
+    means = orders.groupBy("o_orderstatus").agg(F.round(F.avg("o_totalprice"), 4).alias("predicted"))
+    predictions = orders.join(means, "o_orderstatus").select("o_orderkey", F.col("o_totalprice").alias("actual"), "predicted")
+    return forest.actual_vs_predicted(forest.Training("regression", None, [], predictions, None))

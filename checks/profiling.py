@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import BASE_ORDERS, DIRTY_ORDERS, base_orders, dirty_orders, query, table
+from checks.base import BASE_ORDERS, DIRTY_ORDERS, base_orders, dirty_orders, key_hash_sql, query, table
 from scrubline.functions.classes import normalize_missing
 from scrubline.operators import issues, profile
 from scrubline.plans import autofix, report
@@ -221,7 +221,7 @@ def p13(spark, sf):
     return profile.preview(table(spark, sf, "orders"), 50, ["o_orderkey"])
 
 
-@query("p13_sample")
+@query("p13_sample", f"select * from orders order by {key_hash_sql(42, 'o_orderkey')}, o_orderkey limit 5")
 def p13_sample(spark, sf):
     return profile.sample(table(spark, sf, "orders"), 5, ["o_orderkey"])
 

@@ -11,8 +11,13 @@ from scrubline.session import measured_bytes
 SMALL_BYTES = 256 << 20
 
 
+HASH_DIGITS = 15
+
+
 def key_hash(keys: list[str], seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *[col(k) for k in keys])
+    """A number from 0 to 2^60 - 1: the first hex digits of the MD5 of seed and keys, which other engines have too."""
+    parts = [F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys]]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
 def lowest_hashes(
@@ -29,7 +34,7 @@ def lowest_hashes(
         rows = df.count()
         share = (4 * n + 1_000) / max(rows, 1)
         if share < 0.5:
-            cut = int(-(2**63) + share * 2**64)
+            cut = int(share * 16**HASH_DIGITS)
             candidates = df.where(key_hash(keys, seed) < F.lit(cut))
             if candidates.count() >= min(n, rows):
                 return candidates.orderBy(*order).limit(n)
