@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +89,32 @@ def one_hot(df: DataFrame, features: list[str], max_columns: int | None = None)
     return out[:max_columns]
 
 
+def indicators(df: DataFrame, features: list[str], max_columns: int | None = None) -> tuple[list, list[str], list[tuple[str, str | None]]]:
+    """What ``one_hot`` gives, as sparse vectors: fitted stages, the columns to assemble, and (feature, value) for each of their parts.
+
+    A text feature may have any number of values; they become the labels of a stage, which the model holds anyway.
+    """
+    stages, inputs, names = [], [], []
+    for i, c in enumerate(features):
+        room = None if max_columns is None else max_columns - len(names)
+        if room is not None and room <= 0:
+            break
+        if not is_text(df, c):
+            inputs.append(c)
+            names.append((c, None))
+            continue
+        values = df.groupBy(col(c).alias("v")).agg(F.count("*")).select("v").where("v is not null").orderBy("v")
+        values = [r["v"] for r in (values if room is None else values.limit(room + 1)).collect()][1:]
+        if values:
+            # the first value and those without room get the last number, which has no column
+            index = StringIndexerModel.from_labels(values, inputCol=c, outputCol=f"__i{i}", handleInvalid="keep")
+            encoder = OneHotEncoder(inputCol=f"__i{i}", outputCol=f"__v{i}", dropLast=True).fit(index.transform(df.limit(0)))
+            stages += [index, encoder]
+            inputs.append(f"__v{i}")
+            names += [(c, v) for v in values]
+    return stages, inputs, names
+
+
 @dataclass
 class Training:
     """A fitted forest with its predictions on the test part."""
@@ -120,9 +146,13 @@ def train_forest(
     for c in features:
         if dtype(df, c).simpleString() == "boolean":
             rows = rows.withColumn(c, col(c).cast("int"))
-    inputs = one_hot(rows, features, max_columns)
-    assembler = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(inputs))], outputCol="features")
-    encoded = rows.select(*[col(k) for k in key], "__label", *[x.alias(f"__f{i}") for i, (_, x) in enumerate(inputs)])
+    # positional names: a feature's own name may clash with those of the stages
+    plain = [col(c) if is_text(rows, c) else col(c).cast("double") for c in features]
+    encoded = rows.select(*[col(k) for k in key], "__label", *[x.alias(f"__f{i}") for i, x in enumerate(plain)])
+    stages, inputs, names = indicators(encoded, [f"__f{i}" for i in range(len(features))], max_columns)
+    named = {f"__f{i}": c for i, c in enumerate(features)}
+    names = [named[c] if v is None else f"{named[c]}_{v}" for c, v in names]
+    prepare = PipelineModel([*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
     train, test = split(encoded, key, seed=seed)
     # the forest passes over the training rows once per level: spread them if a file came as few parts
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -132,18 +162,18 @@ def train_forest(
     classes = None
     if problem == "regression":
         learner = RandomForestRegressor(labelCol="__label", featureSubsetStrategy="all", **shared)
-        model = PipelineModel([assembler, learner.fit(assembler.transform(train))])
+        model = PipelineModel([prepare, learner.fit(prepare.transform(train))])
         predicted = F.col("prediction")
     else:
         index = StringIndexer(inputCol="__label", outputCol="__class", stringOrderType="alphabetAsc").fit(encoded)
         learner = RandomForestClassifier(labelCol="__class", featureSubsetStrategy="sqrt", **shared)
-        fitted = learner.fit(assembler.transform(index.transform(train)))
-        model = PipelineModel([assembler, fitted])
+        fitted = learner.fit(prepare.transform(index.transform(train)))
+        model = PipelineModel([prepare, fitted])
         predicted = F.get(F.array(*[F.lit(x) for x in index.labels]), F.col("prediction").cast("int"))
         classes = len(index.labels)
     predictions = model.transform(test).select(
         *[col(k) for k in key], F.col("__label").alias("actual"), predicted.alias("predicted"))
-    return Training(problem, model, [n for n, _ in inputs], predictions, classes)
+    return Training(problem, model, names, predictions, classes)
 
 
 def regression_metrics(predictions: DataFrame) -> DataFrame:

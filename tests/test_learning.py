@@ -3,6 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from scrubline.operators import aggregates, anomalies, forest
@@ -35,6 +38,23 @@ def test_classification(planted):
     assert row["test_rows"] == trained.predictions.count()
 
 
+@pytest.mark.parametrize("room", [None, 1, 2, 3])
+def test_indicators_equal_one_hot(planted, room):
+    features = ["c", "x", "label"]
+    stages, inputs, names = forest.indicators(planted, features, room)
+    columns = forest.one_hot(planted, features, room)
+    assert [c if v is None else f"{c}_{v}" for c, v in names] == [n for n, _ in columns]
+    prepare = PipelineModel([*stages, VectorAssembler(inputCols=inputs, outputCol="v")])
+    rows = prepare.transform(planted).select(vector_to_array("v").alias("v"), F.array(*[x for _, x in columns]).alias("w"))
+    assert rows.where("v <> w").count() == 0
+
+
+def test_wide_text_feature(spark):
+    df = spark.range(3000).selectExpr("id as k", "concat('v', id % 1000) as c", "id % 41 as x", "id % 41 * 2.0 + id % 3 as y")
+    trained = forest.train_forest(df, ["x", "c"], "y", ["k"], trees=2, depth=3)
+    assert len(trained.feature_names) == 1000 and forest.regression_metrics(trained.predictions).head()["r2"] > 0.5
+
+
 def test_max_columns_and_checks(planted):
     assert [n for n, _ in forest.one_hot(planted, ["c", "x"], 2)] == ["c_q", "c_r"]
     assert [n for n, _ in forest.one_hot(planted, ["x", "c"], 2)] == ["x", "c_q"]
