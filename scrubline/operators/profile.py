@@ -72,34 +72,64 @@ def distinct_rows(df: DataFrame, count_name: str = "__n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(count_name))
 
 
+def _exact_text(value: Column, kind: T.DataType) -> Column:
+    """A text that two values of a type share exactly if grouping holds them for equal; NULL for NULL."""
+    if isinstance(kind, T.StringType):
+        return value
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(value == 0, F.lit("0")).otherwise(value.cast("string"))  # both zeros are equal
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.concat(F.lit(""), *[_part(value[f.name], f.dataType) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(value, lambda x: _part(x, kind.elementType)), "")
+    if isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        return F.array_join(F.array_sort(F.transform(F.map_entries(value), lambda x: _part(x, entry))), "")
+    return value.cast("string")
+
+
+def _part(value: Column, kind: T.DataType) -> Column:
+    """The exact text behind its length, so that parts one after the other can be read in one way only."""
+    text = _exact_text(value, kind)
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def row_digest(df: DataFrame) -> Column:
+    """The SHA-256 of all values of a row, which stands for the row where rows are counted."""
+    return F.unhex(F.sha2(F.concat(F.lit(""), *[_part(col(f.name), f.dataType) for f in df.schema.fields]), 256))
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows equal to another one in all columns, counted without their first copy; and their share."""
+    """Rows equal to another one in all columns, counted without their first copy; and their share.
+
+    Only digests of 32 bytes are shuffled, whatever the width of the rows, and copies of a row meet map-side first.
+    """
     n = F.col("__n")
-    return distinct_rows(df).agg(
+    return df.groupBy(row_digest(df).alias("__row")).agg(F.count("*").alias("__n")).agg(
         F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates"),
         F.coalesce(F.try_divide(F.sum(n - 1) * 100.0, F.sum(n)), F.lit(0.0)).alias("duplicate_pct"),
     )
 
 
 def row_profile(df: DataFrame) -> DataFrame:
-    """One row with everything the score and the issue rules need, from one scan and one shuffle.
+    """One row with everything the score and the issue rules need, from two scans and a shuffle of digests.
 
-    Counting on distinct rows weighted by their copies gives the row, null and duplicate counts;
-    whether every text value parses is the same on distinct rows. Columns: ``rows``,
-    ``duplicates``, ``nulls`` (array in column order), ``numeric_text`` and ``date_text`` (arrays
-    in text-column order; the latter NULL where the name suggests no date).
+    Columns: ``rows``, ``nulls`` (array in column order), ``numeric_text`` and ``date_text`` (arrays
+    in text-column order; the latter NULL where the name suggests no date), ``duplicates``.
     """
-    n = F.col("__n")
     numeric, dates = numeric_text_flags(df), date_text_flags(df)
     texts = columns_of(df, "text")
     empty = F.array().cast("array<boolean>")
-    return distinct_rows(df).agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates"),
-        F.array(*[F.coalesce(F.sum(F.when(col(c).isNull(), n)), F.lit(0)) for c in df.columns]).alias("nulls"),
+    return df.agg(
+        F.count("*").alias("rows"),
+        F.array(*[F.count_if(col(c).isNull()) for c in df.columns]).alias("nulls"),
         (F.array(*[numeric[c] for c in texts]) if texts else empty).alias("numeric_text"),
         (F.array(*[dates.get(c, F.lit(None).cast("boolean")) for c in texts]) if texts else empty).alias("date_text"),
-    )
+    ).withColumn("duplicates", duplicate_count(df).select("duplicates").scalar())
 
 
 def _first_values(df: DataFrame, name: str, rows: int, order_by: list[str]) -> DataFrame:

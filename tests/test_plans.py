@@ -49,3 +49,9 @@ def test_no_query_plans_a_cross_join(spark, name):
         pytest.skip("runs jobs while it is built; covered by its parts")
     text = plan(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_the_score_shuffles_digests_not_rows(spark):
+    text = plan(profile.quality_score(spark.read.parquet(f"{SF}/orders.parquet")))
+    shuffles = [line for line in text.splitlines() if "hashpartitioning" in line]
+    assert shuffles and all("o_" not in line for line in shuffles)

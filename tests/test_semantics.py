@@ -316,3 +316,19 @@ def test_formats_that_are_refused(fmt):
 
     with pytest.raises(ValueError):
         parse_timestamp(F.lit("x"), fmt)
+
+
+def test_row_digests_tell_rows_apart_as_grouping_does(spark):
+    texts = spark.createDataFrame([(None, "a"), ("a", None), ("-", "a"), ("1:a", "-"), ("", "1:a-"), (None, "a")], "x string, y string")
+    nested = spark.sql("""
+        select * from values
+          (0.0d, array(1, 2), map('a', 1, 'b', cast(null as int)), named_struct('p', 1, 'q', -0.0d), X'00ff'),
+          (-0.0d, array(1, 2), map('b', cast(null as int), 'a', 1), named_struct('p', 1, 'q', 0.0d), X'00ff'),
+          (0.0d, array(12), map('a', 1, 'b', 2), null, X'00ff'),
+          (double('NaN'), array(12), map('a', 1, 'b', 2), named_struct('p', null, 'q', null), null),
+          (double('NaN'), null, map('a', 1, 'b', 2), named_struct('p', null, 'q', null), null),
+          (double('NaN'), array(null), map('a', 1, 'b', 2), named_struct('p', null, 'q', null), null),
+          (double('NaN'), array(), map('a', 1, 'b', 2), named_struct('p', null, 'q', null), null),
+          (double('NaN'), array(12), map('a', 1, 'b', 2), named_struct('p', null, 'q', null), null) as t(a, b, c, d, e)""")
+    for df, copies in ((texts, 1), (nested, 2), (nested.limit(0), 0)):
+        assert profile.duplicate_count(df).head()["duplicates"] == copies == df.count() - profile.distinct_rows(df).count()
