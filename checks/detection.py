@@ -101,17 +101,37 @@ def f1_supplier(spark, sf):
     return fuzzy.fuzzy_pairs(table(spark, sf, "supplier"), "s_name", "s_suppkey", 94)
 
 
-@query("f2_fuzzy_groups")
+# Values in key order: the first without a similar leader before it leads, others follow the first such leader.
+def groups(name: str, key: str, source: str, threshold: int) -> str:
+    return pairs(name, key, source) + f""",
+ordered as (select id, s, row_number() over (order by id) as position from v),
+near as (select kb as id, list(ka) as ids from scored where score >= {threshold} group by kb),
+walk(position, leaders, id, leader) as (
+  select cast(0 as bigint), cast([] as bigint[]), cast(null as bigint), cast(null as bigint)
+  union all
+  select o.position, case when list_has_any(coalesce(n.ids, []), w.leaders) then w.leaders else list_append(w.leaders, o.id) end,
+    o.id, coalesce(list_min(list_intersect(n.ids, w.leaders)), o.id)
+  from walk w join ordered o on o.position = w.position + 1 left join near n on n.id = o.id),
+led as (
+  select w.leader, t.{key} as key, t.{name} as value
+  from walk w join ordered o on o.id = w.id join {source} t on t.{name} = o.s),
+numbered as (
+  select leader, row_number() over (order by leader) as "group" from led group by leader having count(*) > 1)"""
+
+
+@query("f2_fuzzy_groups", groups("p_name", "p_partkey", "part", 90) + """
+select "group", leader, key, value from led join numbered using (leader)""")
 def f2(spark, sf):
     return fuzzy.fuzzy_groups(table(spark, sf, "part"), "p_name", "p_partkey", 90)
 
 
-@query("f3_fuzzy_summary")
+@query("f3_fuzzy_summary", groups("p_name", "p_partkey", "part", 80) + """
+select count(distinct "group") as groups, count(*) as rows, count(*) / count(distinct "group") as average_size
+from led join numbered using (leader)""")
 def f3(spark, sf):
     return fuzzy.fuzzy_summary(fuzzy.fuzzy_groups(table(spark, sf, "part"), "p_name", "p_partkey", 80))
 
 
-
 def _forest(spark, sf):
     events = table(spark, sf, "events")
     return anomalies.isolation_forest(events, ["value", "user_id"], ["event_id"], 0.05)

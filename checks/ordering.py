@@ -132,3 +132,10 @@ def v6_monthly(spark, sf):
     monthly = table(spark, sf, "orders").select(
         F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month"), F.lit(1).alias("one"))
     return timeseries.regularize(monthly, "month", "one", agg="count")
+
+
+@query("v6_grid_losses", """
+with s as (select distinct epoch_us(ts) as u from events where value is not null)
+select count(*) as points, count_if((u - (select min(u) from s)) % 86400000000 <> 0)::bigint as off_grid from s""")
+def v6_losses(spark, sf):
+    return timeseries.grid_losses(table(spark, sf, "events"), "ts", "value", agg="sum")

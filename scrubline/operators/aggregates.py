@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scrubline.functions.classes import col, columns_of, dtype, is_numeric, quoted, require_numeric
@@ -10,6 +15,7 @@ from scrubline.operators.quantiles import grouped_median
 from scrubline.operators.sampling import lowest_hashes
 
 AGGREGATES = ("sum", "mean", "count", "min", "max", "median")
+ROUNDING = 1e-12  # what is left of a sum of squares by rounding alone
 
 
 def histogram(df: DataFrame, name: str, bins: int = 30) -> DataFrame:
@@ -44,40 +50,71 @@ def top_values(df: DataFrame, name: str, k: int = 15) -> DataFrame:
     )
 
 
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every pair of columns, over the rows where both have a value: count, sums, squares and products.
+
+    Values are measured from a value of the column itself (``from_x``, ``from_y``), which keeps the sums exact enough.
+    """
+    sums = origin = None
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            here = ~np.isnan(values)
+            lowest = np.where(np.isfinite(values), values, np.inf).min(axis=0, initial=np.inf)
+            lowest = np.where(np.isinf(lowest), np.nan, lowest)
+            origin = lowest if origin is None else np.where(np.isnan(origin), lowest, origin)
+            values = np.where(here, values - np.nan_to_num(origin), 0.0)
+            here = here.astype(float)
+            part = np.stack([here.T @ here, values.T @ here, (values * values).T @ here, values.T @ values])
+            sums = part if sums is None else sums + part
+    if sums is not None:
+        i, j = np.triu_indices(sums.shape[1])
+        count, total, square, product = sums
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (i, j, count[i, j], total[i, j], total[j, i], square[i, j], square[j, i], product[i, j])]
+            + [pa.array(origin[k], from_pandas=True) for k in (i, j)],
+            names=["i", "j", "n", "x", "y", "xx", "yy", "xy", "from_x", "from_y"])
+
+
 def correlation_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, one row per cell.
 
-    Each pair uses the rows where both values are present. All pairs come from one scan; a first
-    count finds the columns without gaps, whose spread need not be taken anew for every pair.
-    Cells of a column without spread are NULL.
+    Each pair uses the rows where both values are present; NaN counts as missing. One scan: every task multiplies
+    matrices and passes on a row per pair, whose sums are then measured from a common origin and added.
+    Cells of a column without spread, or with infinite values, are NULL.
     """
     names = names or columns_of(df, "numeric")
     require_numeric(df, *names)
     if len(names) < 2:
         raise ValueError("two numeric columns are needed")
+    width = len(names)
     numbers = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-    filled = numbers.agg(*[(F.count(c) == F.count("*")).alias(c) for c in numbers.columns]).head()
-    aggs = [F.stddev_pop(f"c{i}").alias(f"s_{i}") for i in range(len(names))]
-    for i in range(len(names)):
-        for j in range(i + 1, len(names)):
-            x, y = F.col(f"c{i}"), F.col(f"c{j}")
-            aggs.append(F.covar_pop(x, y).alias(f"cov_{i}_{j}"))
-            if not filled[j]:
-                aggs.append(F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"sx_{i}_{j}"))
-            if not filled[i]:
-                aggs.append(F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"sy_{i}_{j}"))
-    one = numbers.agg(*aggs)
-
-    def cell(i: int, j: int) -> Column:
-        if i == j:
-            return F.when(F.col(f"s_{i}") > 0, 1.0)
-        a, b = min(i, j), max(i, j)
-        spread = (F.col(f"s_{a}" if filled[b] else f"sx_{a}_{b}") * F.col(f"s_{b}" if filled[a] else f"sy_{a}_{b}"))
-        return F.when(spread > 0, F.try_divide(F.col(f"cov_{a}_{b}"), spread))
-
-    cells = [F.struct(F.lit(names[i]).alias("column_x"), F.lit(names[j]).alias("column_y"), cell(i, j).alias("corr"))
-             for i in range(len(names)) for j in range(len(names))]
-    return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    parts = numbers.mapInArrow(_pair_sums, (
+        "i bigint, j bigint, n double, x double, y double, xx double, yy double, xy double, from_x double, from_y double"))
+    pair = W.partitionBy("i", "j")
+    dx, dy = (F.coalesce(F.col(c) - F.min(c).over(pair), F.lit(0.0)) for c in ("from_x", "from_y"))
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    moved = parts.withColumns({"dx": dx, "dy": dy}).select(
+        "i", "j", "n", (x + n * F.col("dx")).alias("x"), (y + n * F.col("dy")).alias("y"),
+        (F.col("xx") + 2 * F.col("dx") * x + n * F.col("dx") * F.col("dx")).alias("xx"),
+        (F.col("yy") + 2 * F.col("dy") * y + n * F.col("dy") * F.col("dy")).alias("yy"),
+        (F.col("xy") + F.col("dx") * y + F.col("dy") * x + n * F.col("dx") * F.col("dy")).alias("xy"))
+    pairs = moved.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+    def spread(total: str, square: str) -> Column:
+        found = F.col(square) - F.try_divide(F.col(total) * F.col(total), F.col("n"))
+        return F.when(found > F.col(square) * ROUNDING, F.sqrt(found))
+
+    shared = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n"))
+    corr = F.try_divide(shared, spread("x", "xx") * spread("y", "yy"))
+    corr = F.when(F.col("i") == F.col("j"), F.when(spread("x", "xx") > 0, 1.0)).when(F.abs(corr) > 1, F.signum(corr)).otherwise(corr)
+    finite = F.abs(F.col("xx")) + F.abs(F.col("yy")) < float("inf")
+    pairs = pairs.select("i", "j", F.when(finite, corr).alias("corr"))
+    cells = df.sparkSession.range(width * width).select(F.floor(F.col("id") / width).alias("a"), (F.col("id") % width).alias("b"))
+    cells = cells.select("a", "b", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    named = F.array(*[F.lit(c) for c in names])
+    return cells.join(pairs, ["i", "j"], "left").select(
+        F.get(named, F.col("a").cast("int")).alias("column_x"), F.get(named, F.col("b").cast("int")).alias("column_y"), "corr")
 
 
 def _aggregate(name: str, value: Column) -> Column:

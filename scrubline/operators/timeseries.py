@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scrubline.functions.classes import col, is_datetime, require_numeric, wall_micros, wall_time
 from scrubline.operators.ordered import interpolate
+from scrubline.session import cut_lineage
 
 DAY = 86_400_000_000
 BLOCK = 100_000
@@ -53,14 +54,14 @@ def infer_grid(df: DataFrame, date: str) -> Grid:
     """
     micros = wall_micros(col(date))
     dates = df.where(col(date).isNotNull()).select(col(date).alias("d"), micros.alias("u"))
-    ends = dates.agg(F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi")).head()
+    day, month = F.col("d").cast("date"), F.year("d") * 12 + F.month("d")
+    ends = dates.agg(F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi"),
+                     F.min(month).alias("m0"), F.max(month).alias("m1")).head()
     n, lo, hi = ends["n"], ends["lo"], ends["hi"]
     if n < 3:
         raise ValueError("at least 3 dates are needed to find their frequency")
-    day, month = F.col("d").cast("date"), F.year("d") * 12 + F.month("d")
-    ends_of = dates.agg(F.min(month).alias("m0"), F.max(month).alias("m1")).head()
     gap = (hi - lo) // (n - 1)
-    months = (ends_of["m1"] - ends_of["m0"]) // (n - 1)
+    months = (ends["m1"] - ends["m0"]) // (n - 1)
     in_day = F.col("u") % DAY == lo % DAY
     # the calendar day number, 1970-01-05 being a Monday
     first_day = lo // DAY
@@ -69,8 +70,8 @@ def infer_grid(df: DataFrame, date: str) -> Grid:
     found = dates.agg(
         F.count_distinct("u").alias("different"),
         (F.bool_and((F.col("u") - lo) % max(gap, 1) == 0)).alias("fixed"),
-        F.bool_and(in_day & (F.dayofmonth("d") == 1) & ((month - ends_of["m0"]) % max(months, 1) == 0)).alias("starts"),
-        F.bool_and(in_day & (day == F.last_day(day)) & ((month - ends_of["m0"]) % max(months, 1) == 0)).alias("finals"),
+        F.bool_and(in_day & (F.dayofmonth("d") == 1) & ((month - ends["m0"]) % max(months, 1) == 0)).alias("starts"),
+        F.bool_and(in_day & (day == F.last_day(day)) & ((month - ends["m0"]) % max(months, 1) == 0)).alias("finals"),
         F.bool_and(in_day & (weekday < 5)).alias("weekdays"),
         F.max(days).alias("last_day"),
     ).head()
@@ -78,7 +79,7 @@ def infer_grid(df: DataFrame, date: str) -> Grid:
         raise ValueError(f"column {date!r} holds equal dates; give agg= to combine them")
     if gap > 0 and found["fixed"] and gap * (n - 1) == hi - lo:
         return Grid("fixed", lo, gap, n)
-    if months > 0 and months * (n - 1) == ends_of["m1"] - ends_of["m0"]:
+    if months > 0 and months * (n - 1) == ends["m1"] - ends["m0"]:
         if found["starts"]:
             return Grid("month_start", lo, months, n)
         if found["finals"]:
@@ -106,6 +107,7 @@ def _series(df: DataFrame, date: str, value: str, agg: str | None) -> DataFrame:
         if agg not in ("sum", "mean", "min", "max", "count"):
             raise ValueError("agg must be sum, mean, min, max or count")
         rows = rows.groupBy("date").agg(getattr(F, "avg" if agg == "mean" else agg)("value").cast("double").alias("value"))
+        rows = cut_lineage(rows)  # read for the grid and again for the values
     return rows
 
 
@@ -113,16 +115,28 @@ def regularize(df: DataFrame, date: str, value: str, agg: str | None = None, ran
     """One row per step of the inferred grid (``position``, ``date``, ``value``), gaps interpolated.
 
     Equal dates are an error unless ``agg`` says how to combine them. Without a common step the
-    grid is daily from the first date, and rows off that grid are lost. The grid comes from a
-    distributed range, not from one exploded array.
+    grid is daily from the first date, and rows off that grid are lost; ``grid_losses`` counts them.
+    The grid comes from a distributed range, not from one exploded array.
     """
     rows = _series(df, date, value, agg)
-    grid = infer_grid(rows, "date")
-    points = df.sparkSession.range(grid.points).select(
+    return _on_grid(rows, infer_grid(rows, "date"), ranges)
+
+
+def _on_grid(rows: DataFrame, grid: Grid, ranges: int | None) -> DataFrame:
+    points = rows.sparkSession.range(grid.points).select(
         F.col("id").alias("position"), grid.at(F.col("id")).alias("date"))
     return interpolate(points.join(rows, "date", "left").select("position", "date", "value"), "value", ["position"], ranges=ranges)
 
 
+def grid_losses(df: DataFrame, date: str, value: str, agg: str | None = None) -> DataFrame:
+    """How many points the series has (``points``) and how many of them no step of its grid meets (``off_grid``)."""
+    rows = _series(df, date, value, agg)
+    grid = infer_grid(rows, "date")
+    # all other grids are only inferred where they meet every point
+    off = (wall_micros(F.col("date")) - grid.start) % grid.step != 0 if grid.kind == "fixed" else F.lit(False)
+    return rows.agg(F.count("*").alias("points"), F.count_if(off).alias("off_grid"))
+
+
 def moving_average(series: DataFrame, period: int, block: int = BLOCK) -> DataFrame:
     """Adds ``trend``: the centred moving average over one period, NULL at the edges.
 
@@ -162,10 +176,10 @@ def decompose(
     if period < 2:
         raise ValueError("the period must be at least 2")
     rows = _series(df, date, value, agg)
-    points = infer_grid(rows, "date").points
-    if points < 2 * period:
-        raise ValueError(f"{2 * period} data points are needed for period {period}, there are {points}")
-    series = regularize(rows, "date", "value", ranges=ranges)
+    grid = infer_grid(rows, "date")
+    if grid.points < 2 * period:
+        raise ValueError(f"{2 * period} data points are needed for period {period}, there are {grid.points}")
+    series = _on_grid(rows, grid, ranges)
     smooth = moving_average(series, period, block).withColumn("__phase", F.col("position") % period)
     # one row per position within the period
     means = smooth.where(F.col("trend").isNotNull()).groupBy("__phase").agg(F.avg(F.col("value") - F.col("trend")).alias("__mean"))

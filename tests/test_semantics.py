@@ -332,3 +332,26 @@ def test_row_digests_tell_rows_apart_as_grouping_does(spark):
           (double('NaN'), array(12), map('a', 1, 'b', 2), named_struct('p', null, 'q', null), null) as t(a, b, c, d, e)""")
     for df, copies in ((texts, 1), (nested, 2), (nested.limit(0), 0)):
         assert profile.duplicate_count(df).head()["duplicates"] == copies == df.count() - profile.distinct_rows(df).count()
+
+
+def test_correlation_of_many_columns_against_pandas(spark):
+    wide = spark.range(0, 500, 1, 4).select(*[
+        (F.when(F.rand(i) > 0.3, F.rand(i + 100) * 1e-3 + 1e6) if i % 3 == 0 else F.rand(i) + F.col("id") * 0.01 * (i % 2)).alias(f"x{i}")
+        for i in range(40)])
+    data = wide.toPandas()
+    expected = (data - data.min()).corr()  # pandas loses digits on values far from zero
+    found = aggregates.correlation_matrix(wide).toPandas().pivot(index="column_x", columns="column_y", values="corr")
+    pd.testing.assert_frame_equal(found.loc[expected.index, expected.columns], expected, check_names=False, rtol=0, atol=1e-10)
+
+
+def test_correlation_of_constants_across_partitions(spark):
+    df = spark.range(0, 1000, 1, 8).select(
+        F.lit(0.1).alias("a"), F.when(F.col("id") > 500, 0.3).alias("b"), (F.col("id") + 1e9).alias("c"),
+        (F.col("id") * -2 + 1e9).alias("d"), F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.col("id") % 7).alias("e"))
+    found = {(r["column_x"], r["column_y"]): r["corr"] for r in aggregates.correlation_matrix(df).collect()}
+    assert len(found) == 25
+    assert all(found["a", x] is None and found[x, "b"] is None for x in "abcde")
+    assert found["c", "d"] == found["d", "c"] == pytest.approx(-1)
+    assert found["c", "e"] == pytest.approx(df.where("not isnan(e)").corr("c", "e"))
+    empty = aggregates.correlation_matrix(df.limit(0)).collect()
+    assert len(empty) == 25 and all(r["corr"] is None for r in empty)
