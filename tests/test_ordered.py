@@ -197,7 +197,7 @@ def test_time_zone_of_the_session_plays_no_part(spark):
 
 
 def test_rows_off_the_grid_are_counted(spark):
-    daily = series(spark, ["2021-01-01", "2021-01-02", "2021-01-04", "2021-01-05 12:00:00"], [1.0, 2.0, 3.0, 4.0])
+    daily = series(spark, [f"2021-01-{d}" for d in ("01 00:00", "02 00:00", "04 00:00", "05 12:00")], [1.0, 2.0, 3.0, 4.0])
     assert tuple(timeseries.grid_losses(daily, "d", "v").head()) == (4, 1)
     monthly = series(spark, ["2021-01-01", "2021-02-01", "2021-03-01"], [1.0, 2.0, 3.0])
     assert tuple(timeseries.grid_losses(monthly, "d", "v").head()) == (3, 0)
