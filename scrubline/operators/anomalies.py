@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from scrubline.functions.classes import col, require_numeric
 from scrubline.operators.quantiles import ONE_PASS_BYTES, quantile_columns
-from scrubline.operators.sampling import key_hash, lowest_hashes
+from scrubline.operators.sampling import lowest_hashes
 from scrubline.session import cut_lineage, measured_bytes
 
 # Fixed values of the forest and the accepted shares of anomalies.
@@ -59,21 +59,20 @@ def grow(points: np.ndarray, seed: int) -> list[tuple[int, int, float, int, int,
 
 
 def _tree_samples(data: DataFrame, key: list[str], rows: int) -> tuple[DataFrame, int]:
-    """At most 256 rows per tree, drawn by key hashes.
+    """At most 256 rows per tree: those with the lowest hashes of tree and key, at every size of the table.
 
-    A large table gives disjoint samples: its lowest hashes, dealt out to the trees. A table
-    too small for that is drawn from once per tree.
+    On a large table only hashes below a threshold are copied out for their trees. It lets through 416 rows
+    a tree on average, so that a tree short of rows (eight deviations off) is not to be expected.
     """
     size = min(SAMPLE, rows)
-    if rows >= TREES * SAMPLE:
-        drawn = lowest_hashes(data, TREES * SAMPLE, key, SEED)
-        ranked = drawn.withColumn("__hash", key_hash(key, SEED + 1))
-        # a bounded sample of 25,600 rows: one window over it is small
-        place = F.row_number().over(W.orderBy("__hash", *[col(k) for k in key])) - 1
-        return ranked.withColumn("tree", (place % TREES).cast("int")), size
-    each = data.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    order = F.xxhash64(F.col("tree"), *[col(k) for k in key])
-    place = F.row_number().over(W.partitionBy("tree").orderBy(order, *[col(k) for k in key]))
+    keys = [col(k) for k in key]
+    trees = F.sequence(F.lit(0), F.lit(TREES - 1))
+    share = (size + 10 * size**0.5) / max(rows, 1)
+    if share < 0.99:
+        highest = int(share * 2**64) - 2**63
+        trees = F.filter(trees, lambda t: F.xxhash64(t, *keys) < F.lit(highest))
+    each = data.withColumn("tree", F.explode(trees))
+    place = F.row_number().over(W.partitionBy("tree").orderBy(F.xxhash64(F.col("tree"), *keys), *keys))
     return each.withColumn("__place", place).where(F.col("__place") <= size), size
 
 
