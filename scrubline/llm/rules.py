@@ -4,8 +4,9 @@ Every text is measured in one pass over its words and lines. Per language and so
 quantile sketch is kept: counts by value, where of a value above 63 only the six highest bits count, so quantiles are off by less
 than 1/64 and two sketches merge by adding counts, in any order, with equal results. The quartiles of the sketches give
 the fences that replace fixed cutoffs: a text goes if a measure is further above the upper quartile than SPREAD
-times the interquartile range and a small slack. Groups of fewer than ``least`` texts use the sketch of their language, and
-where that is small too, the sketch of all texts.
+times the interquartile range and a small slack. Every group has its own fences, at any size: to its counts are added the shares of
+its language and of all texts, each with the weight of STEADY texts, so a group of a few texts is steadied and a large one is
+hardly moved, without a size at which the rule changes. Weights are whole numbers, equal under any partitioning.
 
 Defined results: a null text has no words; texts that fail the base rules take no part in sketches and are not kept; null languages and
 sources form groups like any other value; other columns stay, those named like an output are replaced; a frame without
@@ -26,7 +27,9 @@ from .common import materialize, slices
 SYMBOLS = b"#*$%&|<>"  # fixed value
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 SPREAD = 3
-LEAST = 500
+STEADY = 8  # texts
+UNIT = 1 << 16  # weight of a text
+LEAST = 500  # of the SQL in oracles.py
 # Measures, all whole numbers: how they come from the counts, the slack, and whether low values are outliers too.
 MEASURES: dict[str, tuple[str, int, bool]] = {
     "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 100, False),  # per 1,000 words
@@ -83,24 +86,32 @@ def sketch_bucket(value: Column) -> Column:
     return value - value % step
 
 
-def fences(measured: DataFrame, lang: str = "lang", source: str = "source", least: int = LEAST) -> DataFrame:
+def share(counts: DataFrame, of: list[str]) -> DataFrame:
+    """The counts by bucket of a larger group as weights that add up to STEADY texts, whatever its size."""
+    total = F.sum("n").over(Window.partitionBy(*of))
+    return counts.select(*of, "bucket", "n", total.alias("total")).select(*of, "bucket", F.expr(f"n * {STEADY * UNIT} div total").alias("weight"))
+
+
+def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Per language and source, the lowest and highest value each measure may have."""
     values = F.array(*(F.struct(F.lit(m).alias("measure"), F.expr(sql).alias("value")) for m, (sql, _, _) in MEASURES.items()))
     each = (measured.where("not base_failed").select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(values).alias("m"))
             .groupBy("lang", "source", F.col("m.measure").alias("measure"), sketch_bucket(F.col("m.value")).alias("bucket")).agg(F.count("*").alias("n")))
-    text = F.lit(None).cast("string")
-    levels = F.array(F.struct(F.lit(0).alias("level"), F.col("lang").alias("lang"), F.col("source").alias("source")),
-                     F.struct(F.lit(1).alias("level"), F.col("lang").alias("lang"), text.alias("source")),
-                     F.struct(F.lit(2).alias("level"), text.alias("lang"), text.alias("source")))
-    merged = (each.select(F.explode(levels).alias("l"), "measure", "bucket", "n")
-              .groupBy("l.level", "l.lang", "l.source", "measure", "bucket").agg(F.sum("n").alias("n")))
-    own = Window.partitionBy("level", "lang", "source", "measure")  # a few hundred buckets at most
+    # languages and all texts, as shares that weigh STEADY texts together with the group's own counts
+    by_lang = each.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    groups = each.select("lang", "source").distinct()
+    own_lang = groups.alias("g").join(share(by_lang, ["lang", "measure"]).alias("s"), F.col("g.lang").eqNullSafe(F.col("s.lang"))).select("g.lang", "source", "measure", "bucket", "weight")
+    merged = (each.select("lang", "source", "measure", "bucket", (F.col("n") * UNIT).alias("weight")).unionByName(own_lang)
+              .unionByName(groups.crossJoin(share(whole, ["measure"])).select("lang", "source", "measure", "bucket", "weight"))
+              .groupBy("lang", "source", "measure", "bucket").agg(F.sum("weight").alias("n")))
+    own = Window.partitionBy("lang", "source", "measure")  # a few hundred buckets at most
     ranked = merged.withColumns({"upto": F.sum("n").over(own.orderBy("bucket")), "total": F.sum("n").over(own)})
 
     def quartile(k: int) -> Column:
         return F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))
 
-    q = ranked.groupBy("level", "lang", "source", "measure", "total").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
+    q = ranked.groupBy("lang", "source", "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
     bounds = []
     for m, (_, slack, low) in MEASURES.items():
         reach = (F.col("q3") - F.col("q1")) * SPREAD + slack
@@ -108,15 +119,8 @@ def fences(measured: DataFrame, lang: str = "lang", source: str = "source", leas
         bounds.append(F.max(F.when(own_row, F.col("q3") + reach)).alias(f"{m}_high"))
         bounds.append((F.max(F.when(own_row, F.col("q1") - reach)) if low else F.lit(0).cast("bigint")).alias(f"{m}_low"))
     names = [f"{m}_{end}" for m in MEASURES for end in ("low", "high")]
-    found = q.groupBy("level", "lang", "source").agg(F.max("total").alias("texts"), *bounds)
-
-    def level(k: int, keys: list[str]) -> DataFrame:
-        return found.where(F.col("level") == k).select(*(F.col(x).alias(f"{x}_{k}") for x in keys), F.struct("texts", *names).alias(f"l{k}"), (F.col("level") - k).alias(f"same_{k}"))
-
-    a, b, c = level(0, ["lang", "source"]), level(1, ["lang"]), level(2, [])
-    joined = a.join(b, F.col("lang_0").eqNullSafe(F.col("lang_1"))).join(c, F.col("same_0") == F.col("same_2"))
-    chosen = F.when(F.col("l0.texts") >= least, F.col("l0")).when(F.col("l1.texts") >= least, F.col("l1")).otherwise(F.col("l2"))
-    return joined.select(F.col("lang_0").alias("fence_lang"), F.col("source_0").alias("fence_source"), chosen.alias("fence"))
+    return (q.groupBy("lang", "source").agg(*bounds)
+            .select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), F.struct(*names).alias("fence")))
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -131,9 +135,8 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     return measured.join(limits, on, "left").withColumn("kept", ok).drop("fence_lang", "fence_source", "fence")
 
 
-def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: Iterable[str] = ("doc_id",),
-                  least: int = LEAST) -> DataFrame:
+def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """Counts, base_failed and kept for every row, with the columns of ``keep``; the text itself is not carried along."""
     own = df.select(*keep, F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     measured = materialize(measure(own, "_text").drop("_text"), "measured")
-    return judge(measured, materialize(fences(measured, "_lang", "_source", least), "fences"), "_lang", "_source").drop("_lang", "_source")
+    return judge(measured, materialize(fences(measured, "_lang", "_source"), "fences"), "_lang", "_source").drop("_lang", "_source")

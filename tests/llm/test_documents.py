@@ -212,6 +212,49 @@ def test_rules_reject_outliers_and_keep_the_rest(spark):
     assert kept == set(range(300))
 
 
+def plain_fence(own, lang, whole, slack, low):
+    weights = collections.Counter({b: n * rules.UNIT for b, n in own.items()})
+    for larger in (lang, whole):
+        weights.update({b: n * rules.STEADY * rules.UNIT // sum(larger.values()) for b, n in larger.items()})
+    total = sum(weights.values())
+    q1, q3 = (next(b for b in sorted(weights) if 4 * sum(w for x, w in weights.items() if x <= b) >= k * total) for k in (1, 3))
+    reach = (q3 - q1) * rules.SPREAD + slack
+    return (q1 - reach if low else 0), q3 + reach
+
+
+def test_fences_equal_plain_ones_at_every_size(spark):
+    rng = random.Random(8)
+    sizes = {("en", "a"): 499, ("en", "b"): 500, ("en", "c"): 501, ("de", "a"): 37, (None, "a"): 3, (None, None): 1}
+    rows = [(lang, source, False, 50 + rng.randrange(200), rng.randrange(90), 900 + rng.randrange(500) * (i + 1)) for i, ((lang, source), n) in enumerate(sizes.items()) for _ in range(n)]
+    df = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, n_words bigint, n_symbols bigint, word_chars bigint")
+    df = df.withColumns({c: F.lit(0).cast("bigint") for c in ("n_lines", "n_dup_lines", "n_repeat_words")})
+    found = {(r.fence_lang, r.fence_source): r.fence for r in rules.fences(df).collect()}
+    assert set(found) == set(sizes)
+
+    def bucket(v):
+        return v - v % (1 << max(v.bit_length() - 6, 0))
+
+    for m, value in (("symbols", lambda r: 1000 * r[4] // r[3]), ("word_length", lambda r: 100 * r[5] // r[3])):
+        _, slack, low = rules.MEASURES[m]
+        for lang, source in sizes:
+            own, by_lang, whole = (collections.Counter(bucket(value(r)) for r in rows if take(r)) for take in (
+                lambda r: r[:2] == (lang, source), lambda r: r[0] == lang, lambda r: True))
+            fence = found[lang, source]
+            assert (fence[f"{m}_low"], fence[f"{m}_high"]) == plain_fence(own, by_lang, whole, slack, low)
+
+
+@pytest.mark.parametrize("n", [40, 490, 510])
+def test_a_text_is_judged_by_its_group_whatever_its_size(spark, n):
+    def words(length):
+        return " ".join("".join(rng.choices("abcdefgh", k=length)) for _ in range(60))
+
+    rng = random.Random(9)
+    rows = [(i, words(4), "en", "short") for i in range(n)] + [(10_000 + i, words(12), "en", "long") for i in range(n)]
+    rows += [(-1, words(12), "en", "short"), (-2, words(4), "en", "long")]
+    found = rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    assert {r.doc_id for r in found.where("not kept").collect()} == {-1, -2}
+
+
 def test_classifier_held_out(spark):
     df, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
