@@ -55,7 +55,7 @@ def m4(spark, sf):
 
 def _regression(spark, sf):
     return forest.train_forest(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_returnflag"],
-                               "l_extendedprice", LINE_KEY, depth=8)
+                               "l_extendedprice", LINE_KEY)
 
 
 @query("m5_train_forest_regression")
@@ -66,7 +66,7 @@ def m5(spark, sf):
 @query("m6_train_forest_classification")
 def m6(spark, sf):
     events = table(spark, sf, "events")
-    trained = forest.train_forest(events, ["value", "user_id"], "event_type", ["event_id"], depth=8)
+    trained = forest.train_forest(events, ["value", "user_id"], "event_type", ["event_id"])
     return forest.classification_metrics(trained.predictions, events, "event_type")
 
 

@@ -21,6 +21,7 @@ TREES = 60
 SEED = 42
 TOP_FEATURES = 15
 MAX_CATEGORIES = 10_000
+MAX_DEPTH = 30  # the library's greatest depth
 
 
 def problem_stats(df: DataFrame, target: str) -> DataFrame:
@@ -128,12 +129,15 @@ class Training:
 
 def train_forest(
     df: DataFrame, features: list[str], target: str, key: list[str], max_rows: int | None = None,
-    max_columns: int | None = None, trees: int = TREES, depth: int = 10, seed: int = SEED, max_bins: int = 64,
+    max_columns: int | None = None, trees: int = TREES, depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = 64,
 ) -> Training:
     """Fit a random forest on 80 % of the rows and predict the rest.
 
     The problem follows from the target (see ``problem_stats``). Regression looks at all features
-    in each split, classification at their square root.
+    in each split, classification at their square root. Trees grow until ``depth``, by default the greatest the
+    library allows; a smaller one saves time and driver memory, which holds the model, and changes the result. A
+    numeric feature is split at no more than ``max_bins`` - 1 places, which the library draws from a sample of the
+    rows; one of up to ``max_bins`` values is split between any two.
     """
     rows = prepare_training(df, features, target, key, max_rows)
     if rows.limit(MIN_ROWS).count() < MIN_ROWS:
@@ -158,7 +162,8 @@ def train_forest(
     cores = df.sparkSession.sparkContext.defaultParallelism
     if train.rdd.getNumPartitions() < cores:
         train = train.repartition(cores)
-    shared = {"featuresCol": "features", "numTrees": trees, "maxDepth": depth, "seed": seed, "maxBins": max_bins}
+    shared = {"featuresCol": "features", "numTrees": trees, "maxDepth": depth, "seed": seed, "maxBins": max_bins,
+              "cacheNodeIds": True, "maxMemoryInMB": 1024}  # deep trees: fewer passes, no tree sent to find a row's node
     classes = None
     if problem == "regression":
         learner = RandomForestRegressor(labelCol="__label", featureSubsetStrategy="all", **shared)

@@ -55,6 +55,15 @@ def test_wide_text_feature(spark):
     assert len(trained.feature_names) == 1000 and forest.regression_metrics(trained.predictions).head()["r2"] > 0.5
 
 
+def test_trees_grow_deeper_than_ten(spark):
+    """Parts whose sizes halve, each with a value of its own: a tree needs a level for every part."""
+    df = spark.range(60_000).selectExpr("id as k", "cast(floor(log2(1 + id)) as double) as x").selectExpr("k", "x", "pow(8D, x) as y")
+    full, cut = (forest.train_forest(df, ["x"], "y", ["k"], trees=2, **given) for given in ({}, {"depth": 10}))
+    depths = [[t.depth for t in x.model.stages[-1].trees] for x in (full, cut)]
+    assert min(depths[0]) > 10 and max(depths[1]) <= 10
+    assert full.model.stages[-1].getOrDefault("maxDepth") == 30
+
+
 def test_max_columns_and_checks(planted):
     assert [n for n, _ in forest.one_hot(planted, ["c", "x"], 2)] == ["c_q", "c_r"]
     assert [n for n, _ in forest.one_hot(planted, ["x", "c"], 2)] == ["x", "c_q"]
