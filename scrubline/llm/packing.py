@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, worker_state
@@ -168,4 +168,9 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 def write_packed(packed: DataFrame, path: str) -> None:
     """Write packed rows as Parquet; every row has all that is needed to train on it."""
-    packed.write.mode("errorifexists").parquet(path)
+    packed.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``write_packed`` wrote."""
+    return spark.read.schema(PACKED).parquet(path)

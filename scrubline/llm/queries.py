@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, classifier, fingerprints, jaccard, mixing, packing, rules, secret_scan, warc
-from .common import table
+from .common import scratch_path, table
 from .oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,10 +91,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole packed matrix is written; of it come each row's segments and digests of its ids and positions."""
+    """The whole packed matrix is written and read again; of what was read come each row's segments and digests of its ids and positions."""
     encoded = packing.token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_path(), bpe.PATTERN, width=2).drop("text")
-    packed = packing.pack(encoded, id_bytes=2)
-    return packed.select("shard", "row", "n_ids", "n_segments", "cu_seqlens", "doc_ids", "pieces", "offsets",
+    folder = scratch_path(spark, "packed")
+    packing.write_packed(packing.pack(encoded, id_bytes=2), folder)
+    return packing.read_packed(spark, folder).select("shard", "row", "n_ids", "n_segments", "cu_seqlens", "doc_ids", "pieces", "offsets",
                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
 

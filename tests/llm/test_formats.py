@@ -115,6 +115,30 @@ def test_packing_is_lossless(spark, shard):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, ids binary")).count() == 0
 
 
+def test_packed_rows_are_written_and_read(spark):
+    rows = [(i, np.arange(i * 7 % 40, dtype="<u4").tobytes()) for i in range(50)] + [(None, np.array([1, 2], "<u4").tobytes())]
+    df = spark.createDataFrame(rows, "doc_id bigint, ids binary")
+    folder = scratch_path(spark, "packed")
+    packed = packing.pack(df, length=16, shard_ids=50)
+    packing.write_packed(packed, folder)
+    found = packing.read_packed(spark, folder)
+    assert found.dtypes == packed.dtypes and found.count() == packed.count() > 1
+    assert found.exceptAll(packed).isEmpty() and packed.exceptAll(found).isEmpty()
+    with pytest.raises(Exception, match="(?i)exists"):
+        packing.write_packed(packed, folder)
+    packing.write_packed(packing.pack(df.limit(0)), folder + "-none")
+    assert packing.read_packed(spark, folder + "-none").count() == 0
+
+
+def test_packing_query_reads_what_it_wrote(spark, monkeypatch):
+    written, write = [], packing.write_packed
+    monkeypatch.setattr(packing, "write_packed", lambda packed, path: (written.append(path), write(packed, path)))
+    out = queries.op9_packing(spark, SF)
+    assert len(written) == 1 and all(any(f.startswith(p) for p in [written[0], f"file:{written[0]}", f"file://{written[0]}"]) for f in out.inputFiles())
+    matrix = spark.read.parquet(written[0])
+    assert out.select("shard", "row", "ids_sha256").exceptAll(matrix.select("shard", "row", F.sha2("ids", 256))).isEmpty() and out.count() == matrix.count() > 0
+
+
 def test_rank_files_give_the_same_ids(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     more = df.limit(1).select("doc_id", F.lit(None).cast("string").alias("text")).union(df)
