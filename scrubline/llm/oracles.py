@@ -135,5 +135,46 @@ k as (select doc_id from c where upto + (upto - size) <= 2 * rest)
 select e.doc_id, e.size, e.source_size, e.target, e.size * (e.whole + case when k.doc_id is not null then 1 else 0 end)::bigint as taken
 from e left join k on k.doc_id = e.doc_id"""
 
+OP11 = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from documents),
+grams as (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from pieces, (values (1), (2), (3)) s(size) where len(w) >= size),
+f as (select lang, size, w[i : i + size - 1] as p, count(*) as a from grams group by all),
+totals as (select lang, sum(a)::bigint as n from f where size = 1 group by 1),
+candidates as (select * from f where size > 1 and a >= 10),
+inner_ones as (
+  select lang, p[1 : 2] as p, a from candidates where size = 3
+  union all select lang, p[2 : 3], a from candidates where size = 3),
+kept as (select c.* from candidates c left join (select lang, p, max(a) as longer from inner_ones group by all) i using (lang, p)
+  where longer is null or 100 * longer < 50 * c.a),
+cuts as (select kept.*, unnest(range(1, size)) as k from kept),
+scored as (
+  select c.lang, c.p, c.a, k, l.a as l, r.a as r, (1000000::hugeint * c.a * c.a) // (l.a::hugeint * r.a) as score
+  from cuts c join f l on l.lang = c.lang and l.p = c.p[1 : k] join f r on r.lang = c.lang and r.p = c.p[k + 1 : c.size]),
+worst as (select * from scored qualify row_number() over (partition by lang, p order by score, k) = 1),
+ranked as (select *, array_to_string(p, ' ') as phrase, row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank from worst)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000"""
+
+OP12 = r"""
+with recursive d as (select coalesce(cast(doc_id as varchar), '') as k, regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+') as runs from documents),
+r as (select k, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from (select k, unnest(runs) as run from d) group by all),
+steps as (select list(c order by i) as t from (
+  select i, list_reduce(range(8), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as c from range(256) s(i))),
+bytes as (select run, n, list_transform(range(strlen(k) + 1 + strlen(run)), lambda i: cast('0x' || substr(hex(k || ':' || run), 2 * i + 1, 2) as bigint)) as b from r),
+hashed as (select run, n, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295::bigint), 4294967295) as h from bytes, steps),
+spoilt as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed),
+v as (select word, sum(n)::bigint as n from spoilt where length(word) >= 5 group by 1 having sum(n) >= 3),
+cut as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from v)),
+pairs as (
+  select a.word as x, b.word as y from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word from cut a join v b on a.rest = b.word
+  union select b.word, a.word from cut a join v b on a.rest = b.word),
+near as (select x as word, count(*) as n_near, arg_min(y, struct_pack(m := -v.n, w := y)) as best, max(v.n) as best_n from pairs join v on v.word = y group by 1),
+forms as (select v.word, n, coalesce(n_near, 0) as n_near, case when best_n >= 2 * n then best end as form, case when best_n >= 2 * n then best_n end as form_n from v left join near using (word)),
+ways as (select word, word as at from forms union all select w.word, f.form from ways w join forms f on f.word = w.at where f.form is not null)
+select f.word, f.form, w.at as root, f.n, f.n_near, f.form_n from forms f join ways w using (word) join forms g on g.word = w.at where g.form is null"""
+
 ORACLES = {"op2_secret_scan": OP2.strip(), "op3_chat_format": OP3.strip(), "op4_jaccard_join": OP4.strip(), "op5_quality_rules": OP5.strip(),
-           "op6_warc": OP6.strip(), "op7_pareto_mix": OP7.strip()}
+           "op6_warc": OP6.strip(), "op7_pareto_mix": OP7.strip(),
+           "op11_collocations": OP11.strip(), "op12_spelling_variants": OP12.strip()}

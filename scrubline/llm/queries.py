@@ -1,4 +1,4 @@
-"""The queries of the ten operators, over whole tables, and their SQL where SQL can express them."""
+"""The queries of the thirteen operators, over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, fingerprints, jaccard, mixing, packing, rules, secret_scan, warc
+from . import bpe, chat, classifier, collocations, fingerprints, islands, jaccard, mixing, packing, rules, secret_scan, variants, warc
 from .common import scratch_path, table
 from .oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
-TOKENIZER, RANKS = os.environ.get("SCRUBLINE_TOKENIZER", ""), os.environ.get("SCRUBLINE_RANKS", "")
+TOKENIZER, RANKS, WORD_TOKENIZER = (os.environ.get(f"SCRUBLINE_{x}", "") for x in ("TOKENIZER", "RANKS", "WORD_TOKENIZER"))
 LIKES_IT = 0.3  # scores from here on predict label 1
 
 
@@ -34,6 +34,14 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def word_tokenizer_path() -> str:
+    if WORD_TOKENIZER:
+        return WORD_TOKENIZER
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
@@ -105,6 +113,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(documents, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= LIKES_IT).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return islands.pack(islands.pieces(table(spark, sf_dir, "documents"), word_tokenizer_path()))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_fingerprints, op2_secret_scan, op3_chat_format, op4_jaccard_join, op5_quality_rules, op6_warc, op7_pareto_mix, op8_bpe, op9_packing,
-    op10_quality_classifier)}
+    op10_quality_classifier, op11_collocations, op12_spelling_variants, op13_island_packing)}
