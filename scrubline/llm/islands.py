@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .common import materialize, slices, worker_state
 
@@ -30,78 +30,109 @@ LENGTH = 4096
 SHARD = 4096  # pieces packed together, on average
 ISLANDS, PACKINGS, EPOCHS, CHILDREN = 3, 4, 2, 3
 WELL_FILLED = 0.98  # bins filled less are opened again for the next level
-REMEMBERED = 200_000  # parts of texts, and words, whose ids a worker remembers in each of two generations
+LONGEST = 64  # longer parts are encoded anew each time
+REMEMBERED = 300_000  # parts of texts whose ids a worker remembers, in each of two generations
 
-# Fixed value: the pattern that cuts lower-cased text into words, with letters, numbers and white space up to U+024F written out.
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \u0085 "
-WORDS = rf"""'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"""
-# Texts with characters beyond, or with controls that libraries disagree on, are left to the tokenizer itself.
-UNUSUAL = "[\x1c-\x1fİɐ-\U0010ffff]"
-
-
-class Remembered(dict):
-    """Ids of parts, made when first asked for; when full, parts not used since the last time are forgotten."""
-
-    def __init__(self, make):
-        self.make, self.old = make, {}
+STOPS = '.,;:!?")'  # characters that are a token of their own behind a word
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
-        if ids is None:
-            ids = self.make(part)
-        if len(part) <= 64:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[part] = ids
-        return ids
+# Texts with characters beyond U+024F, whose lower case or composition may depend on their neighbours, or with controls that libraries disagree on, are left to the tokenizer itself.
+UNUSUAL = "[\x1c-\x1fİɐ-\U0010ffff]"
 
 
 class WordEnds:
-    """Ids of texts by a tokenizer file whose words end in tokens of their own; words met before are not encoded again."""
+    """Ids of texts by a tokenizer file whose words end in tokens of their own; parts of texts met before are not encoded again.
+
+    Tokens never span white space, so a text's ids are those of its parts between white space in turn.
+    """
 
     def __init__(self, spec: str):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.unusual, self.cut = re.compile(UNUSUAL).search, re.compile(WORDS).findall
+        self.unusual = re.compile(UNUSUAL).search
+        # lower-cased letters need no normalizing and no pattern: half the time
+        self.letters = Tokenizer.from_str(spec)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         suffix = self.tokenizer.model.end_of_word_suffix
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
-        # parts between white space, with what punctuation they carry; the words they consist of
-        self.parts = Remembered(lambda part: b"".join(map(self.words.__getitem__, self.cut(part))))
-        self.words = Remembered(self._whole)
+        self.stops = {c: self.ids(c).tobytes() for c in STOPS}
+        self.border = self._border()
+
+    def ids(self, text: str, by: Tokenizer | None = None) -> np.ndarray:
+        return np.array((by or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    def _border(self) -> tuple[str, int] | None:
+        """A character beyond usual texts that is one token by itself, and its id: it parts what is encoded in one call."""
+        for code in range(0x2600, 0x27C0):
+            ids = self.ids(f" a {chr(code)} a ")
+            if len(ids) == 3 and ids[1] != ids[0]:
+                return f" {chr(code)} ", int(ids[1])
+        return None
 
     def usual(self, text: str) -> bool:
-        return not self.unusual(text) and not any(token in text for token in self.added)
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the words of usual texts that are not known in one call."""
-        parts = {p for x in texts for p in x.split()}
-        new = {w for p in parts if p not in self.parts and p not in self.parts.old for w in self.cut(p) if w not in self.words and w not in self.words.old}
-        if not new:
-            return
-        new = list(new)
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        return self.border is not None and not self.unusual(text) and not any(token in text for token in self.added)
+
+    def learn(self, new: set[str]) -> None:
+        """Encode parts that are not known, those that are one word, or one and a stop, in a single call."""
+        words, stopped, other = set(), [], []
+        for part in new:
+            if part.isalpha():
+                words.add(part)
+            elif part[-1] in STOPS and part[:-1].isalpha():
+                stopped.append(part)
+            else:
+                other.append(part)
+        words.update(p[:-1] for p in stopped)
+        words = list(words.difference(self.parts))
+        ids = self.ids(" ".join(words), self.letters)
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(new):
-            return  # a word is more than one word to the tokenizer: each is encoded by itself
-        at = 0
-        for word, stop in zip(new, stops.tolist()):
-            if len(word) <= 64:
-                self.words.setdefault(word, ids[at:stop].tobytes())
-            at = stop
+        if len(stops) == len(words):
+            self._keep(words, ids, stops, 0)
+        else:  # a word that is not one to the tokenizer
+            other = list(new)
+        mark, border = self.border
+        if other:
+            ids = self.ids(mark.join(other) + mark)
+            self._keep(other, ids, np.flatnonzero(ids == border), 1)
+        for part in stopped:
+            if part not in self.parts:
+                self.parts[part] = self.parts[part[:-1]] + self.stops[part[-1]]
+
+    def _keep(self, parts: list[str], ids: np.ndarray, stops: np.ndarray, between: int) -> None:
+        data, at = ids.tobytes(), 0
+        for part, stop in zip(parts, (4 * stops).tolist(), strict=True):
+            self.parts[part] = data[at:stop]
+            at = stop + 4 * between
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        plain = [x.lower() if self.usual(x) else None for x in texts]
-        self.learn([x for x in plain if x is not None])
-        return [self._whole(x) if own is None else b"".join(map(self.parts.__getitem__, own.split())) for x, own in zip(texts, plain)]
+        if len(self.parts) >= REMEMBERED:  # parts not used since the last time are forgotten
+            self.older, self.parts = self.parts, {}
+        get = self.parts.get
+        cut = [x.lower().split() if self.usual(x) else [] for x in texts]
+        found = [list(map(get, own)) for own in cut]
+        gaps = [[i for i, ids in enumerate(known) if ids is None] for known in found]
+        new = {own[i] for own, missing in zip(cut, gaps) for i in missing}
+        again = {part for part in new if part in self.older}
+        self.parts.update((part, self.older[part]) for part in again)
+        new -= again
+        if new:
+            self.learn(new)
+        out = []
+        for text, own, known, missing in zip(texts, cut, found, gaps):
+            for i in missing:
+                known[i] = self.parts[own[i]]
+            out.append(b"".join(known) if own or not text else self.ids(text).tobytes())
+        for part in new:
+            if len(part) > LONGEST:
+                del self.parts[part]
+        return out
 
 
 def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, closing: int = 1) -> DataFrame:
