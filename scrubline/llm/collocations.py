@@ -31,6 +31,7 @@ from .common import materialize, slices
 END = 0  # stands behind the last word of a piece
 CHUNK = 1 << 21  # words that are counted together before anything is shuffled
 BLOCK = 1 << 16  # rows of an output batch
+PARTS = 64  # in which a language's phrases are ranked before all of them are
 SEGMENT = 1024  # edges of a path in one row
 
 # Characters that end a piece, and those between words.
@@ -260,7 +261,11 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", max_word
         "words", "a", "worst.l", "worst.r", "worst.score", F.col("words")[0].alias("id"))
     scored = scored.join(known.select("id", "lang").hint("merge"), "id")
     if limit is not None:  # ties stay until their words are known
-        scored = scored.withColumn("rank", F.rank().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("rank") <= limit).drop("rank")
+        best_first = [F.desc("score"), F.desc("a")]
+        scored = scored.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(PARTS)))
+        for group in (["lang", "part"], ["lang"]):  # a language's best are among the best of its parts
+            scored = scored.withColumn("rank", F.rank().over(W.partitionBy(*group).orderBy(*best_first))).where(F.col("rank") <= limit)
+        scored = scored.drop("rank", "part")
     spelled = scored.select("lang", "words", "a", "l", "r", "score", F.posexplode("words").alias("at", "id")).join(known.select("id", "word").hint("merge"), "id")
     spelled = spelled.groupBy("lang", "words", "a", "l", "r", "score").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
