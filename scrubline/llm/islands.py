@@ -33,12 +33,20 @@ WELL_FILLED = 0.98  # bins filled less are opened again for the next level
 LONGEST = 64  # longer parts are encoded anew each time
 REMEMBERED = 300_000  # parts of texts whose ids a worker remembers, in each of two generations
 
-STOPS = '.,;:!?")'  # characters that are a token of their own behind a word
+MARKS = ".,;:!?\"()[]{}<>|/*#%&$+=_~^@"  # a run of them behind a word is a word of its own
 
 # Texts with characters beyond U+024F, whose lower case or composition may depend on their neighbours, or with controls that libraries disagree on, are left to the tokenizer itself.
 UNUSUAL = "[\x1c-\x1fİɐ-\U0010ffff]"
 
 
+def places_of_none(values: list) -> list[int]:
+    places, at = [], -1
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        places.append(at)
+    return places
+
+
 class WordEnds:
     """Ids of texts by a tokenizer file whose words end in tokens of their own; parts of texts met before are not encoded again.
 
@@ -61,7 +69,7 @@ class WordEnds:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
-        self.stops = {c: self.ids(c).tobytes() for c in STOPS}
+        self.marks: dict[str, bytes] = {}
         self.border = self._border()
 
     def ids(self, text: str, by: Tokenizer | None = None) -> np.ndarray:
@@ -79,16 +87,16 @@ class WordEnds:
         return self.border is not None and not self.unusual(text) and not any(token in text for token in self.added)
 
     def learn(self, new: set[str]) -> None:
-        """Encode parts that are not known, those that are one word, or one and a stop, in a single call."""
-        words, stopped, other = set(), [], []
+        """Encode parts that are not known, those that are one word, or one and marks behind it, in a single call."""
+        words, marked, other = set(), [], []
         for part in new:
-            if part.isalpha():
-                words.add(part)
-            elif part[-1] in STOPS and part[:-1].isalpha():
-                stopped.append(part)
-            else:
+            word = part.rstrip(MARKS)
+            if not word.isalpha():
                 other.append(part)
-        words.update(p[:-1] for p in stopped)
+                continue
+            words.add(word)
+            if len(word) < len(part):
+                marked.append((part, word))
         words = list(words.difference(self.parts))
         ids = self.ids(" ".join(words), self.letters)
         stops = np.flatnonzero(self.ends[ids]) + 1
@@ -100,9 +108,12 @@ class WordEnds:
         if other:
             ids = self.ids(mark.join(other) + mark)
             self._keep(other, ids, np.flatnonzero(ids == border), 1)
-        for part in stopped:
+        for part, word in marked:
             if part not in self.parts:
-                self.parts[part] = self.parts[part[:-1]] + self.stops[part[-1]]
+                end = part[len(word) :]
+                if end not in self.marks:
+                    self.marks[end] = self.ids(end).tobytes()
+                self.parts[part] = self.parts[word] + self.marks[end]
 
     def _keep(self, parts: list[str], ids: np.ndarray, stops: np.ndarray, between: int) -> None:
         data, at = ids.tobytes(), 0
@@ -117,7 +128,7 @@ class WordEnds:
         get = self.parts.get
         cut = [x.lower().split() if self.usual(x) else [] for x in texts]
         found = [list(map(get, own)) for own in cut]
-        gaps = [[i for i, ids in enumerate(known) if ids is None] for known in found]
+        gaps = [places_of_none(known) for known in found]
         new = {own[i] for own, missing in zip(cut, gaps) for i in missing}
         again = {part for part in new if part in self.older}
         self.parts.update((part, self.older[part]) for part in again)
@@ -132,6 +143,8 @@ class WordEnds:
         for part in new:
             if len(part) > LONGEST:
                 del self.parts[part]
+        if len(self.marks) > REMEMBERED or any(len(part) > LONGEST for part in new):
+            self.marks.clear()
         return out
 
 
