@@ -31,7 +31,7 @@ SHARD = 4096  # pieces packed together, on average
 ISLANDS, PACKINGS, EPOCHS, CHILDREN = 3, 4, 2, 3
 WELL_FILLED = 0.98  # bins filled less are opened again for the next level
 LONGEST = 64  # longer parts are encoded anew each time
-REMEMBERED = 300_000  # parts of texts whose ids a worker remembers, in each of two generations
+REMEMBERED = 600_000  # parts of texts whose ids a worker remembers, in each of two generations
 
 MARKS = ".,;:!?\"()[]{}<>|/*#%&$+=_~^@"  # a run of them behind a word is a word of its own
 
