@@ -116,6 +116,40 @@ def test_exact_quantiles_by_brackets(spark):
     np.testing.assert_allclose(list(lazy), data["a"].quantile(wanted["a"]).to_numpy(), rtol=1e-12)
 
 
+@pytest.mark.parametrize("sketch, bracket_rows", [(8, 1_000_000), (8, 20), (200, 1), (8192, 100)])
+def test_exact_quantiles_by_poor_sketches(spark, sketch, bracket_rows):
+    rng = np.random.default_rng(sketch)
+    data = pd.DataFrame({"a": rng.normal(size=3000), "b": np.where(rng.random(3000) < 0.3, 7.0, rng.integers(0, 40, 3000) * 1.0),
+                         "c": np.repeat([-np.inf, -0.0, 1.5, np.inf], 750), "d": 5.0})
+    df = spark.createDataFrame(data).repartition(3)
+    wanted = {c: [0.0, 0.1, 0.25, 0.5, 0.55, 0.9, 1.0] for c in "abd"} | {"c": [0.0, 0.1, 0.3, 0.6, 0.9]}
+    found = quantiles.exact_quantiles(df, wanted, bracket_rows=bracket_rows, sketch=sketch)
+    for c in "abd":
+        np.testing.assert_allclose(found[c], np.quantile(data[c], wanted[c]), rtol=1e-12)
+    assert found["c"] == [-np.inf, -np.inf, 0.0, 1.5, np.inf]
+
+
+def test_quantiles_with_nan_and_without_values(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (float("nan"), None), (None, None)], "a double, b double")
+    found = quantiles.exact_quantiles(df, {"a": [0.0, 0.5, 1.0], "b": [0.5]})
+    assert found["a"][:2] == [1.0, 2.0] and np.isnan(found["a"][2]) and found["b"] == [None]
+    assert quantiles.exact_quantiles(df.where("a < 0"), {"a": [0.5]}) == {"a": [None]}
+
+
+def test_two_scans_do_for_all_columns_and_ranks(spark, monkeypatch):
+    calls = []
+    for name in ("_narrowed", "_counted"):
+        own = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda *a, own=own, name=name: calls.append(name) or own(*a))
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    names = ["l_quantity", "l_extendedprice", "l_orderkey", "l_discount"]
+    found = quantiles.exact_quantiles(lines, {c: [k / 20 for k in range(21)] for c in names})
+    assert calls == ["_counted"]
+    data = lines.select(*names).toPandas()
+    for c in names:
+        np.testing.assert_allclose(found[c], np.quantile(data[c], [k / 20 for k in range(21)]), rtol=1e-12)
+
+
 @pytest.mark.parametrize("split", [None, 6])
 def test_grouped_median(spark, split):
     rng = np.random.default_rng(1)
