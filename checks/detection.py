@@ -157,6 +157,12 @@ def a4(spark, sf):
     return anomalies.remove_anomalies(table(spark, sf, "events"), _forest(spark, sf), ["event_id"])
 
 
+@query("f2_fuzzy_groups_names")
+def f2_names(spark, sf):
+    """All names of customers, each much like most others."""
+    return fuzzy.fuzzy_groups(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_name", "c_custkey", 90)
+
+
 def _far(spark, sf):
     """Events with a verdict given by a rule, in place of a forest's."""
     return table(spark, sf, "events").select("event_id", "value", (F.col("value") > 150).alias("anomaly"))
