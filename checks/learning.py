@@ -107,4 +107,4 @@ def m10_means(spark, sf):
     orders = table(spark, sf, "orders")
     means = orders.groupBy("o_orderstatus").agg(F.round(F.avg("o_totalprice"), 4).alias("predicted"))
     predictions = orders.join(means, "o_orderstatus").select("o_orderkey", F.col("o_totalprice").alias("actual"), "predicted")
-    return forest.actual_vs_predicted(forest.Training("regression", None, [], predictions, None))
+    return forest.actual_vs_predicted(forest.Training("regression", [], [], predictions, None))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.functions.classes import col, dtype, is_numeric, is_text
+from scrubline.operators import trees as trees_of
 from scrubline.operators.sampling import key_hash, lowest_hashes
+from scrubline.session import cut_lineage
 
 # Fixed values of the training set-up.
 CLASS_LIMIT = 15
@@ -22,6 +29,8 @@ SEED = 42
 TOP_FEATURES = 15
 MAX_CATEGORIES = 10_000
 MAX_DEPTH = 30  # the library's greatest depth
+TEST_SHARE = 0.2
+SUBTREE_ROWS = 1_000_000  # training rows of which one task grows a tree or subtree
 
 
 def problem_stats(df: DataFrame, target: str) -> DataFrame:
@@ -62,7 +71,7 @@ def prepare_training(
     return rows
 
 
-def split(df: DataFrame, key: list[str], test_share: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def split(df: DataFrame, key: list[str], test_share: float = TEST_SHARE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Training and test part by a hash of the key, the same under any partitioning."""
     bucket = F.pmod(key_hash(key, seed), F.lit(10_000))
     cut = int(test_share * 10_000)
@@ -118,26 +127,30 @@ def indicators(df: DataFrame, features: list[str], max_columns: int | None = Non
 
 @dataclass
 class Training:
-    """A fitted forest with its predictions on the test part."""
+    """A fitted forest's predictions on the test part, and what its splits were worth."""
 
     problem: str
-    model: PipelineModel
+    importances: list[float]  # of feature_names, adding up to 1
     feature_names: list[str]
     predictions: DataFrame  # key columns, actual, predicted
     classes: int | None
+    depths: list[int] | None = None  # levels grown in the tasks, per tree
+    top: PipelineModel | None = None  # the levels above them, where rows were too many for a task
 
 
 def train_forest(
     df: DataFrame, features: list[str], target: str, key: list[str], max_rows: int | None = None,
     max_columns: int | None = None, trees: int = TREES, depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = 64,
+    subtree_rows: int = SUBTREE_ROWS,
 ) -> Training:
     """Fit a random forest on 80 % of the rows and predict the rest.
 
     The problem follows from the target (see ``problem_stats``). Regression looks at all features
-    in each split, classification at their square root. Trees grow until ``depth``, by default the greatest the
-    library allows; a smaller one saves time and driver memory, which holds the model, and changes the result. A
-    numeric feature is split at no more than ``max_bins`` - 1 places, which the library draws from a sample of the
-    rows; one of up to ``max_bins`` values is split between any two.
+    in each split, classification at their square root. Trees grow until ``depth``. Up to ``subtree_rows`` training rows a
+    task grows a tree whole; of more, the library grows levels over all rows until few enough share a node, and tasks grow the
+    subtrees below. A numeric feature is split at no more than ``max_bins`` - 1 places, which a quantile sketch
+    of all rows gives; one of up to ``max_bins`` values is split between any two. Samples are drawn by a hash of the key, so results
+    do not depend on partitions while tasks grow whole trees.
     """
     rows = prepare_training(df, features, target, key, max_rows)
     if rows.limit(MIN_ROWS).count() < MIN_ROWS:
@@ -152,33 +165,185 @@ def train_forest(
             rows = rows.withColumn(c, col(c).cast("int"))
     # positional names: a feature's own name may clash with those of the stages
     plain = [col(c) if is_text(rows, c) else col(c).cast("double") for c in features]
-    encoded = rows.select(*[col(k) for k in key], "__label", *[x.alias(f"__f{i}") for i, x in enumerate(plain)])
+    tested = F.pmod(key_hash(key, seed), F.lit(10_000)) < int(TEST_SHARE * 10_000)
+    # written once: all that follows reads these rows, not the source
+    encoded = cut_lineage(rows.select(
+        *[col(k).alias(f"__k{i}") for i, k in enumerate(key)], "__label", *[x.alias(f"__f{i}") for i, x in enumerate(plain)],
+        tested.alias("__test"), key_hash(key, seed + 1).cast("bigint").alias("__draw")).withColumn("__id", F.monotonically_increasing_id()))
     stages, inputs, names = indicators(encoded, [f"__f{i}" for i in range(len(features))], max_columns)
     named = {f"__f{i}": c for i, c in enumerate(features)}
-    names = [named[c] if v is None else f"{named[c]}_{v}" for c, v in names]
+    used = list(dict.fromkeys(c for c, _ in names))
+    labels = None
+    if problem == "classification":
+        labels = [r["v"] for r in encoded.groupBy(F.col("__label").alias("v")).agg(F.count("*")).select("v").orderBy("v").collect()]
+    places = _split_places(encoded, [c for c, v in names if v is None], max_bins)
+    values = {c: {v: i for i, v in enumerate([v for d, v in names if d == c], 1)} for c, v in names if v is not None}
+    plan = trees_of.Plan(
+        bins=tuple(len(values[c]) + 1 if c in values else len(places[c]) + 1 for c in used), alone=tuple(c in values for c in used),
+        classes=len(labels) if labels else 0, depth=depth, seed=seed, some=max(1, math.ceil(len(names) ** 0.5)) if labels else None)
+
+    train = encoded.where("not __test")
+    n = train.count()
+    top = leaves = None
+    above = 0
+    if n > subtree_rows:
+        above = math.ceil(math.log2(n / subtree_rows)) + 2
+        while True:
+            above = min(above, depth)
+            top = _library_forest(train, stages, inputs, labels, trees, above, seed, max_bins)
+            leaves = vector_to_array(F.col("__leaves")).cast("array<int>")
+            sized = top.transform(train).select(F.posexplode(leaves).alias("tree", "leaf")).groupBy("tree", "leaf").agg(F.count("*").alias("n"))
+            if above == depth or sized.agg(F.max("n")).head()[0] <= 4 * subtree_rows:
+                break
+            above += 3
+    placed = top.transform(encoded) if top is not None else encoded
+    cut = placed.select("__id", "__draw", "__test", "__label", *used, (leaves if top is not None else F.lit(None).cast("array<int>")).alias("__leaves"))
+    grown = cut_lineage(_grown(cut, used, places, values, labels, plan, trees, depth - above))
+    marks = grown.where("kind = 0")
+    if labels is None:
+        votes = marks.groupBy(F.col("id").alias("__id")).agg((F.sum("value") / trees).alias("predicted"))
+    else:
+        shares = marks.groupBy("id", "class").agg(F.sum("value").alias("p")).groupBy(F.col("id").alias("__id")).agg(F.min_by("class", F.struct(-F.round("p", 9), F.col("class"))).alias("c"))
+        votes = shares.select("__id", F.get(F.array(*[F.lit(x) for x in labels]), F.col("c")).alias("predicted"))
+    predictions = encoded.where("__test").join(votes, "__id").select(
+        *[F.col(f"__k{i}").alias(k) for i, k in enumerate(key)], F.col("__label").alias("actual"), "predicted")
+    importances, depths = _importances(grown, encoded, labels, len(names), trees, top, above)
+    return Training(problem, importances, [named[c] if v is None else f"{named[c]}_{v}" for c, v in names], predictions,
+                    len(labels) if labels else None, depths, top)
+
+
+def _split_places(rows: DataFrame, names: list[str], max_bins: int) -> dict[str, list[float]]:
+    """Where each numeric feature may be split: between any two of few values, else at quantiles from a sketch."""
+    if not names:
+        return {}
+    shares = F.array(*[F.lit(k / max_bins) for k in range(1, max_bins)])
+    sketches = rows.agg(*[x for i, c in enumerate(names) for x in (
+        F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(c, F.lit(4096)), shares).alias(f"q{i}"), F.approx_count_distinct(c).alias(f"d{i}"))]).head()
+    out = {}
+    for i, c in enumerate(names):
+        values = None
+        if sketches[f"d{i}"] <= 2 * max_bins:
+            values = [r[0] for r in rows.select(c).distinct().orderBy(c).limit(max_bins + 1).collect()]
+        few = values is not None and len(values) <= max_bins
+        edges = sorted({(a + b) / 2 for a, b in zip(values, values[1:])} if few else set(sketches[f"q{i}"] or []))
+        out[c] = [e for e in edges if not math.isnan(e)]
+    return out
+
+
+def _library_forest(train: DataFrame, stages: list, inputs: list[str], labels: list[str] | None, trees: int, depth: int, seed: int, max_bins: int) -> PipelineModel:
+    """The upper levels of all trees, each level grown over all rows at once."""
     prepare = PipelineModel([*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
-    train, test = split(encoded, key, seed=seed)
-    # the forest passes over the training rows once per level: spread them if a file came as few parts
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if train.rdd.getNumPartitions() < cores:
-        train = train.repartition(cores)
     shared = {"featuresCol": "features", "numTrees": trees, "maxDepth": depth, "seed": seed, "maxBins": max_bins,
-              "cacheNodeIds": True, "maxMemoryInMB": 1024}  # deep trees: fewer passes, no tree sent to find a row's node
-    classes = None
-    if problem == "regression":
+              "leafCol": "__leaves", "cacheNodeIds": True, "maxMemoryInMB": 1024}
+    if labels is None:
         learner = RandomForestRegressor(labelCol="__label", featureSubsetStrategy="all", **shared)
-        model = PipelineModel([prepare, learner.fit(prepare.transform(train))])
-        predicted = F.col("prediction")
-    else:
-        index = StringIndexer(inputCol="__label", outputCol="__class", stringOrderType="alphabetAsc").fit(encoded)
-        learner = RandomForestClassifier(labelCol="__class", featureSubsetStrategy="sqrt", **shared)
-        fitted = learner.fit(prepare.transform(index.transform(train)))
-        model = PipelineModel([prepare, fitted])
-        predicted = F.get(F.array(*[F.lit(x) for x in index.labels]), F.col("prediction").cast("int"))
-        classes = len(index.labels)
-    predictions = model.transform(test).select(
-        *[col(k) for k in key], F.col("__label").alias("actual"), predicted.alias("predicted"))
-    return Training(problem, model, names, predictions, classes)
+        return PipelineModel([prepare, learner.fit(prepare.transform(train))])
+    index = StringIndexerModel.from_labels(labels, inputCol="__label", outputCol="__class")
+    learner = RandomForestClassifier(labelCol="__class", featureSubsetStrategy="sqrt", **shared)
+    return PipelineModel([prepare, learner.fit(prepare.transform(index.transform(train)))])
+
+
+GROWN = "kind int, tree int, id bigint, class int, value double"
+
+
+def _grown(rows: DataFrame, used: list[str], places: dict, values: dict, labels: list[str] | None, plan: trees_of.Plan, trees: int, depth: int) -> DataFrame:
+    """What the tasks that grow trees hand back, see ``GROWN``: predictions of test rows (kind 0; one row a class with a share), gains by column
+    (1), impurity times weight before growing (2), levels grown (3)."""
+    number = {x: i for i, x in enumerate(labels or [])}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of rows for every tree and leaf: arrays as bytes."""
+        for batch in batches:
+            ids, draw = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("__id", "__draw"))
+            test = batch.column("__test").to_numpy(zero_copy_only=False).astype(bool)
+            said = batch.column("__label").to_pylist()
+            y = np.array([number[x] for x in said] if labels else said, float)
+            x = np.empty((len(y), len(used)), np.int32)
+            for i, c in enumerate(used):
+                if c in values:
+                    x[:, i] = [values[c].get(v, 0) for v in batch.column(c).to_pylist()]
+                else:
+                    x[:, i] = np.searchsorted(places[c], batch.column(c).to_numpy(zero_copy_only=False), side="left")
+            at = None
+            if batch.num_rows and batch.column("__leaves").null_count == 0:
+                at = np.array(batch.column("__leaves").flatten(), np.int64).reshape(len(y), -1)
+            for tree in range(trees):
+                leaf = at[:, tree] if at is not None else np.zeros(len(y), np.int64)
+                for one in np.unique(leaf):
+                    own = leaf == one
+                    parts = [ids[own], draw[own], test[own], y[own], x[own]]
+                    yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([one], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)],
+                                                     names=["tree", "leaf", "ids", "draw", "test", "y", "x"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["tree"], row["leaf"]) != now and held:
+                    yield from _one(now, held, plan, depth)
+                    held = []
+                now = row["tree"], row["leaf"]
+                held.append(row)
+        if held:
+            yield from _one(now, held, plan, depth)
+
+    blocks = rows.mapInArrow(deal, "tree int, leaf bigint, ids binary, draw binary, test binary, y binary, x binary")
+    spread = max(trees, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return blocks.repartition(spread, "tree", "leaf").sortWithinPartitions("tree", "leaf").mapInArrow(fill, GROWN)
+
+
+def _one(group: tuple[int, int], held: list[dict], plan: trees_of.Plan, depth: int) -> Iterator[pa.RecordBatch]:
+    tree, leaf = group
+    ids, draw, test, y = (np.concatenate([np.frombuffer(r[c], kind) for r in held]) for c, kind in (("ids", np.int64), ("draw", np.int64), ("test", bool), ("y", float)))
+    x = np.concatenate([np.frombuffer(r["x"], np.int32).reshape(-1, len(plan.bins)) for r in held])
+    w = np.where(test, 0.0, trees_of.times_drawn(draw, tree, plan.seed))
+    if not w.any():
+        w = (~test).astype(float)
+    used = np.flatnonzero(test | (w > 0))
+    used = used[np.lexsort((y[used], draw[used]))]  # sums in the same order under any partitioning
+    ids, test, y, x, w = ids[used], test[used], y[used], x[used], w[used]
+    ends, gains, levels = trees_of.grow(x, y, w, plan, [plan.seed, tree, leaf], depth)
+    value = trees_of.values_of(ends, y, w, plan.classes)[ends[test]]
+    before = trees_of.values_of(np.zeros_like(ends), y, w, plan.classes)[0]
+    spread = w.sum() * (1 - (before**2).sum()) if plan.classes else (w * (y - before[0]) ** 2).sum()
+
+    def out(kind: int, i: np.ndarray, classes: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, np.int32)), pa.array(np.full(len(v), tree, np.int32)), pa.array(i.astype(np.int64)),
+                                           pa.array(classes.astype(np.int32)), pa.array(v.astype(float))], names=["kind", "tree", "id", "class", "value"])
+
+    row, cls = np.nonzero(value) if plan.classes else (np.arange(len(value)), np.zeros(len(value), int))
+    for at in range(0, len(row), 50_000):
+        part = slice(at, at + 50_000)
+        yield out(0, ids[test][row[part]], cls[part], value[row[part], cls[part]])
+    column = np.flatnonzero(gains)
+    yield out(1, np.zeros(len(column)), column, gains[column])
+    yield out(2, np.zeros(1), np.zeros(1), np.array([spread]))
+    yield out(3, np.zeros(1), np.zeros(1), np.array([levels]))
+
+
+def _importances(grown: DataFrame, rows: DataFrame, labels: list[str] | None, columns: int, trees: int, top: PipelineModel | None, above: int) -> tuple[list[float], list[int]]:
+    """Gains by column, of each tree as shares, then the mean over trees; and the levels of each tree."""
+    found = grown.where("kind > 0").groupBy("kind", "tree", "class").agg(F.sum("value").alias("s"), F.max("value").alias("m")).collect()
+    gains = np.zeros((trees, columns))
+    left, depths = np.zeros(trees), [above] * trees
+    for r in found:
+        if r["kind"] == 1:
+            gains[r["tree"], r["class"]] += r["s"]
+        elif r["kind"] == 2:
+            left[r["tree"]] = r["s"]
+        else:
+            depths[r["tree"]] += int(r["m"])
+    if top is not None:  # what the upper levels gained, shared out as the library says
+        train = rows.where("not __test")
+        if labels is None:
+            root = train.agg(F.var_pop("__label") * F.count("*")).head()[0]
+        else:
+            root = train.groupBy("__label").agg(F.count("*").alias("n")).agg(F.sum("n") - F.sum(F.col("n") * F.col("n")) / F.sum("n")).head()[0]
+        for t, tree in enumerate(top.stages[-1].trees):
+            gains[t] += max(0.0, root - left[t]) * np.asarray(tree.featureImportances.toArray())
+    shares = gains / np.maximum(gains.sum(axis=1, keepdims=True), 1e-300)
+    total = shares.sum()
+    return (shares.sum(axis=0) / (total or 1.0)).tolist(), depths
 
 
 def regression_metrics(predictions: DataFrame) -> DataFrame:
@@ -204,8 +369,7 @@ def classification_metrics(predictions: DataFrame, all_rows: DataFrame, target:
 
 def feature_importance(training: Training, top: int = TOP_FEATURES) -> DataFrame:
     """The most important features, in falling order."""
-    weights = training.model.stages[-1].featureImportances.toArray()
-    rows = [(n, float(w)) for n, w in zip(training.feature_names, weights)]
+    rows = list(zip(training.feature_names, training.importances))
     frame = training.predictions.sparkSession.createDataFrame(rows, "feature string, importance double")
     return frame.orderBy(F.desc("importance"), "feature").limit(top)
 

@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from scrubline.operators import aggregates, anomalies, forest
+from scrubline.operators import aggregates, anomalies, forest, trees
 
 
 @pytest.fixture(scope="module")
@@ -59,9 +59,98 @@ def test_trees_grow_deeper_than_ten(spark):
     """Parts whose sizes halve, each with a value of its own: a tree needs a level for every part."""
     df = spark.range(60_000).selectExpr("id as k", "cast(floor(log2(1 + id)) as double) as x").selectExpr("k", "x", "pow(8D, x) as y")
     full, cut = (forest.train_forest(df, ["x"], "y", ["k"], trees=2, **given) for given in ({}, {"depth": 10}))
-    depths = [[t.depth for t in x.model.stages[-1].trees] for x in (full, cut)]
-    assert min(depths[0]) > 10 and max(depths[1]) <= 10
-    assert full.model.stages[-1].getOrDefault("maxDepth") == 30
+    assert min(full.depths) > 10 and max(cut.depths) <= 10
+
+
+def plain_tree(x, y, w, classes):
+    """Leaf groups and gains of a tree grown node by node, trying every split between two values."""
+    def worth(rows):
+        if not w[rows].sum():
+            return 0.0
+        sums = np.bincount(y[rows].astype(int), w[rows], classes) if classes else np.array([(w * y)[rows].sum()])
+        return (sums**2).sum() / w[rows].sum()
+
+    gains, groups = np.zeros(x.shape[1]), []
+
+    def down(rows):
+        best = (1e-9, None, None)
+        for f in range(x.shape[1]):
+            for v in np.unique(x[rows, f])[:-1]:
+                left, right = rows[x[rows, f] <= v], rows[x[rows, f] > v]
+                if w[left].sum() and w[right].sum():
+                    gain = worth(left) + worth(right) - worth(rows)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, f, v)
+        if best[1] is None:
+            groups.append(frozenset(rows.tolist()))
+            return
+        gains[best[1]] += best[0]
+        down(rows[x[rows, best[1]] <= best[2]])
+        down(rows[x[rows, best[1]] > best[2]])
+
+    down(np.arange(len(y)))
+    return set(groups), gains
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_a_tree_equals_one_grown_node_by_node(classes):
+    rng = np.random.default_rng(classes)
+    x = rng.integers(0, 9, (200, 3)).astype(np.int32)
+    y = rng.integers(0, 3, 200).astype(float) if classes else x[:, 0] * 2.5 + rng.normal(size=200)
+    w = rng.poisson(1.0, 200).astype(float)
+    plan = trees.Plan((9, 9, 9), (False,) * 3, classes, 30, 1, None)
+    leaf, gains, _ = trees.grow(x, y, w, plan, [1], 30)
+    groups, expected = plain_tree(x, y, w, classes)
+    drawn = np.flatnonzero(w)
+    own = {frozenset(drawn[leaf[drawn] == k].tolist()) for k in np.unique(leaf[drawn])}
+    if not classes:  # equal gains of class splits may be taken in another order
+        assert own == {frozenset(g & set(drawn.tolist())) for g in groups}
+        np.testing.assert_allclose(gains, expected)
+    np.testing.assert_allclose(gains.sum(), expected.sum(), rtol=0.05 if classes else 1e-9)
+    for k in np.unique(leaf[drawn]):  # nothing is left to split
+        rows = drawn[leaf[drawn] == k]
+        assert len(np.unique(y[rows])) == 1 or len(np.unique(x[rows], axis=0)) == 1 or classes
+
+
+def test_importances_equal_those_of_plain_trees(spark):
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame({"k": range(120), "a": rng.integers(0, 12, 120) * 1.0, "b": rng.integers(0, 5, 120) * 1.0})
+    data["y"] = data["a"] * 3 + data["b"] ** 2 + rng.normal(size=120)
+    trained = forest.train_forest(spark.createDataFrame(data).repartition(3), ["a", "b"], "y", ["k"], trees=4)
+    keyed = spark.createDataFrame(data).select("*", forest.key_hash(["k"], 43).cast("bigint").alias("draw"), (F.pmod(forest.key_hash(["k"], 42), F.lit(10_000)) < 2000).alias("test")).toPandas()
+    keyed = keyed[~keyed["test"]]
+    shares = np.zeros(2)
+    for tree in range(4):
+        w = trees.times_drawn(keyed["draw"].to_numpy(), tree, 42)
+        _, gains = plain_tree(keyed[["a", "b"]].to_numpy(), keyed["y"].to_numpy(), w, 0)
+        shares += gains / gains.sum() / 4
+    np.testing.assert_allclose(trained.importances, shares, atol=1e-4)  # splits of equal gain may differ
+
+
+@pytest.mark.parametrize("target", ["y", "label"])
+def test_forests_with_upper_levels_by_the_library(planted, target):
+    whole = forest.train_forest(planted, ["x", "noise", "c"], target, ["k"], trees=12)
+    parts = forest.train_forest(planted, ["x", "noise", "c"], target, ["k"], trees=12, subtree_rows=150)
+    assert whole.top is None and parts.top is not None and parts.predictions.count() == whole.predictions.count()
+    assert sum(parts.importances) == pytest.approx(1) and np.argmax(parts.importances) == np.argmax(whole.importances) == 0
+    assert abs(parts.importances[0] - whole.importances[0]) < 0.05
+    if target == "y":
+        scores = [forest.regression_metrics(t.predictions).head()["r2"] for t in (whole, parts)]
+    else:
+        scores = [forest.classification_metrics(t.predictions, planted, "label").head()["accuracy"] for t in (whole, parts)]
+    assert min(scores) > 0.95 and abs(scores[0] - scores[1]) < 0.01
+
+
+def test_forests_do_not_depend_on_partitions(planted):
+    a, b = (forest.train_forest(p, ["x", "c"], "y", ["k"], trees=3) for p in (planted, planted.repartition(5)))
+    assert a.importances == b.importances
+    assert sorted(map(tuple, a.predictions.collect())) == sorted(map(tuple, b.predictions.collect()))
+
+
+def test_samples_with_replacement_are_poisson():
+    drawn = trees.times_drawn(np.arange(200_000), 3, 42)
+    shares = np.bincount(drawn.astype(int), minlength=5)[:5] / 200_000
+    np.testing.assert_allclose(shares, [0.3679, 0.3679, 0.1839, 0.0613, 0.0153], atol=0.004)
 
 
 def test_max_columns_and_checks(planted):
