@@ -28,6 +28,25 @@ def s1_multiline(spark, sf):
     return readers.read_csv(spark, path)
 
 
+@query("s1_read_csv_multiline_split", "select doc_id, text, lang, source, n_chars from documents")
+def s1_multiline_split(spark, sf):
+    """One file with line breaks inside quotes, read in ranges."""
+    path = sinks.write_csv(table(spark, sf, "documents").coalesce(1), scratch_path(spark, "one.csv"))
+    return readers.read_csv(spark, path, multi_line=True)
+
+
+@query("s2_read_json_columns", "select c_custkey, c_name, c_acctbal, c_mktsegment, case when c_custkey % 3 <> 0 then c_nationkey end as c_nationkey from customer")
+def s2_columns(spark, sf):
+    """One JSON object of columns, each an object by row label."""
+    customers = table(spark, sf, "customer").select(
+        "c_custkey", "c_name", "c_acctbal", "c_mktsegment", F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")).alias("c_nationkey"))
+    label = F.col("c_custkey").cast("string")
+    columns = [F.map_from_entries(F.collect_list(F.struct(label, F.col(c)))).alias(c) for c in customers.columns]
+    path = scratch_path(spark, "columns.json")
+    customers.agg(*columns).select(F.to_json(F.struct(*customers.columns), {"ignoreNullFields": "false"})).write.text(path)
+    return readers.read_json(spark, path)
+
+
 @query("s2_read_json", "select event_id, user_id, event_type, value, date_trunc('second', ts) as created_at from events")
 def s2(spark, sf):
     path = scratch_path(spark, "events.json")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline.functions.classes import col, normalize_missing, wall_time
 from scrubline.functions.convert import BLANKS, parse_number, parse_timestamp
+from scrubline.session import cut_lineage
 
 # Texts a CSV reader takes as missing.
 NA_TOKENS = [
@@ -42,6 +47,89 @@ def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of CSV files whose quoted values may hold line breaks: (header, record), the header being a file's first record.
+
+    Files are read in ranges of lines, each by any task. A record ends at a line behind which the number of quotes so far is even. A first scan
+    counts the quotes of every range; carried on from range to range, they say whether a range begins inside a record, and in which range that
+    record began. A second scan joins the lines of records; only parts of records that cross a border between ranges are shuffled.
+    """
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    # a carriage return at the end of a line is part of a value's line break, but not of a record
+    lines = spark.read.text(path, lineSep="\n").select(*meta, "value")
+    counted = sorted(lines.mapInArrow(_count_quotes, "file string, start bigint, quotes bigint, turns boolean").collect(), key=lambda r: (r["file"], r["start"]))
+    borders: dict[tuple[str, int], tuple[int, int]] = {}  # per range: whether it begins inside a record, and the range where that one began
+    before, origin, file = 0, 0, None
+    for r in counted:
+        if r["file"] != file:
+            file, before, origin = r["file"], 0, r["start"]
+        borders[(r["file"], r["start"])] = before, origin
+        after = (before + r["quotes"]) % 2
+        if after and (not before or r["turns"]):
+            origin = r["start"]
+        before = after
+    shared = spark.sparkContext.broadcast(borders)  # a few numbers a range
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, inside, origin, begun = [], None, 0, 0, False
+        for batch in batches:
+            out: list[tuple] = []
+            for key, own in _by_range(batch):
+                if key != now:
+                    if held:
+                        out.append((now[0], origin, now[1], begun, False, "\n".join(held)))
+                    now, held, begun = key, [], False
+                    inside, origin = shared.value[key]
+                    crosses, first = bool(inside), key[1] == 0 and not inside
+                texts = own.to_pylist()
+                odd = np.asarray(pc.count_substring(own, '"')) % 2
+                for text, ends in zip(texts, (inside + np.cumsum(odd)) % 2 == 0):
+                    if not held and not crosses:
+                        begun, origin = first, now[1]
+                        first = False
+                    held.append(text)
+                    if ends:
+                        out.append((now[0], origin, now[1], begun, not crosses, "\n".join(held)))
+                        held, crosses, begun = [], False, False
+                inside = int((inside + odd.sum()) % 2)
+            yield _table(out)
+        if held:
+            yield _table([(now[0], origin, now[1], begun, False, "\n".join(held))])
+
+    parts = lines.mapInArrow(join, "file string, origin bigint, start bigint, header boolean, whole boolean, record string")
+    crossing = parts.where("not whole").groupBy("file", "origin").agg(
+        F.max("header").alias("header"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "record"))), lambda x: x["record"]), "\n").alias("record"))
+    records = parts.where("whole").select("header", "record").unionByName(crossing.select("header", "record"))
+    return records.withColumn("record", F.regexp_replace("record", "\\r$", "")).where("header or trim(record) <> ''")
+
+
+def _by_range(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.Array]]:
+    """The lines of each range of a batch; a range's lines lie together and in order."""
+    files, starts = batch.column("file").dictionary_encode(), batch.column("start").to_numpy()
+    change = np.flatnonzero((np.diff(starts) != 0) | (np.diff(files.indices.to_numpy()) != 0)) + 1
+    for a, b in zip([0, *change], [*change, batch.num_rows]):
+        if b > a:
+            yield (batch.column("file")[int(a)].as_py(), int(starts[a])), batch.column("value")[int(a) : int(b)]
+
+
+def _count_quotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per range: its quotes, and whether behind some line their number so far is odd."""
+    found: dict[tuple[str, int], list] = {}
+    for batch in batches:
+        for key, own in _by_range(batch):
+            entry = found.setdefault(key, [0, False])
+            upto = entry[0] + np.cumsum(np.asarray(pc.count_substring(own, '"')))
+            entry[0], entry[1] = int(upto[-1]), entry[1] or bool((upto % 2).any())
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()),
+                                      pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.bool_())],
+                                     names=["file", "start", "quotes", "turns"])
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "origin", "start", "header", "whole", "record"])
+
+
 def infer_columns(df: DataFrame) -> DataFrame:
     """Text columns to integers, numbers or booleans where all their values allow it.
 
@@ -76,24 +164,33 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None, inf
     Missing-value words become NULL, types are inferred from all rows, dates stay text, and a
     column without any value is a number column. A line with too few fields is filled up with NULL;
     one with more fields than the header fails the read, and so does a file of the folder whose header
-    is another one. A file is split over tasks unless a quoted value holds a line break; ``multi_line``
-    states this instead of looking.
+    is another one. A file is split over tasks whether or not quoted values hold line breaks; ``multi_line``
+    states that they do instead of looking.
     """
     if multi_line is None:
         multi_line = has_quoted_newlines(spark, path)
-    reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    first = reader.option("header", False).option("inferSchema", False).csv(path).head()
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    if multi_line:
+        records = csv_records(spark, path)
+        headers = [r["record"] for r in records.where("header").select("record").distinct().limit(2).collect()]
+        if len(headers) > 1:
+            raise ValueError(f"{path} holds files with different headers")
+        first = _fields(spark, headers[0], options) if headers else None
+    else:
+        first = spark.read.option("quote", '"').option("escape", '"').option("header", False).option("inferSchema", False).csv(path).head()
     if first is None:
         raise ValueError(f"{path} holds no columns")
     names = unique_names(list(first))
     bad = "_line_" + "_".join(names)[:40]  # holds a line whose number of fields is not the header's
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
-    raw = (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", names != [x or "" for x in first])
-        .option("columnNameOfCorruptRecord", bad).option("columnPruning", False)
-        .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    )
+    if multi_line:
+        parsed = F.from_csv("record", _ddl(schema), options | {"columnNameOfCorruptRecord": bad})
+        raw = records.where("not header").select(parsed.alias("r")).select("r.*")
+    else:
+        raw = (
+            spark.read.schema(schema).option("header", True).option("enforceSchema", names != [x or "" for x in first])
+            .option("columnNameOfCorruptRecord", bad).option("columnPruning", False).options(**options).csv(path)
+        )
     bare = F.regexp_replace(col(bad), '"[^"]*"', "")
     too_long = F.length(F.regexp_replace(bare, "[^,]", "")) >= len(names)
     complaint = F.concat(F.lit(f"more than {len(names)} fields: "), F.left(col(bad), F.lit(200)))
@@ -101,6 +198,17 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None, inf
     return infer_columns(texts) if infer else texts
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields)
+
+
+def _fields(spark: SparkSession, record: str, options: dict[str, str]) -> list[str | None]:
+    """The fields of a header, which are as many as it has commas outside quotes, and one."""
+    width = re.sub('"[^"]*"', "", record).count(",") + 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    return list(spark.range(1).select(F.from_csv(F.lit(record), schema, options).alias("r")).select("r.*").head())
+
+
 def date_label(name: str) -> bool:
     """Column names a JSON reader takes for dates."""
     # The names and name parts.
@@ -148,47 +256,51 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None, convert
     if first is None:
         raise ValueError(f"{path} is empty")
     start = first["value"].strip()
-    if lines is None:
-        lines = start.startswith("{") and start.endswith("}") and _records_per_line(spark, path)
-    df = spark.read.option("multiLine", not lines).json(path)
-    if not lines and start.startswith("{") and _is_column_object(df):
-        df = _columns_to_rows(spark, path, df)
+    columns = start.startswith("{") and lines is not True and _is_column_object(spark, path)
+    if columns:
+        df = _columns_to_rows(spark, path)
+    else:
+        if lines is None:
+            lines = start.startswith("{") and start.endswith("}")
+        df = spark.read.option("multiLine", not lines).json(path)
     df = normalize_missing(df)
     return _json_dates(df) if convert_dates else df
 
 
-def _records_per_line(spark: SparkSession, path: str) -> bool:
-    """Whether the lines are records: more than one, or one whose members are no columns."""
-    lines = spark.read.text(path).where(F.trim("value") != "").limit(2).count()
-    return lines > 1 or not _is_column_object(spark.read.json(path))
+def _members(spark: SparkSession, path: str) -> DataFrame:
+    """The members (name, value) of the JSON object of each file, values not looked into."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", "map<string,variant>")).alias("name", "value"))
+
+
+def _cells(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def _is_column_object(df: DataFrame) -> bool:
-    """An object of columns: every member is an object keyed by row labels."""
-    return bool(df.columns) and all(isinstance(f.dataType, T.StructType) for f in df.schema.fields)
+def _is_column_object(spark: SparkSession, path: str) -> bool:
+    """An object of columns: one JSON object, of which every member is an object keyed by row labels."""
+    second = spark.read.text(path).where(F.trim("value") != "").limit(2).collect()
+    if len(second) > 1 and second[0]["value"].strip().endswith("}"):
+        return False  # records, one a line
+    found = _members(spark, path).agg(F.count("*").alias("n"), F.count(_cells(F.col("value"))).alias("columns")).head()
+    return found["n"] > 0 and found["n"] == found["columns"]
 
 
-def _columns_to_rows(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
-    """Turn ``{column: {row: value}}`` into rows, one grouped aggregate for all columns."""
-    names = df.columns
-    kinds = {f.name: _common([x.dataType for x in f.dataType.fields]) for f in df.schema.fields}
-    schema = T.StructType([T.StructField(n, T.MapType(T.StringType(), kinds[n])) for n in names])
-    maps = spark.read.schema(schema).option("multiLine", True).json(path)
-    cells = reduce(DataFrame.unionByName, [
-        maps.select(F.explode(col(n)).alias("row", "v")).select(
-            "row", *[(F.col("v") if m == n else F.lit(None)).cast(kinds[m]).alias(m) for m in names])
-        for n in names])
-    grouped = cells.groupBy("row").agg(*[F.max(col(n)).alias(n) for n in names])
+def _columns_to_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Turn ``{column: {row: value}}`` into rows. Row labels are data from the first scan on: no schema holds them."""
+    cells = cut_lineage(_members(spark, path).select("name", F.explode(_cells(F.col("value"))).alias("row", "v")))
+    kinds = {r["name"]: _plain_type(r["kind"]) for r in cells.groupBy("name").agg(F.schema_of_variant_agg("v").alias("kind")).collect()}
+    places = _members(spark, path).select("name", F.monotonically_increasing_id().alias("at")).groupBy("name").agg(F.min("at").alias("at"))
+    names = [r["name"] for r in places.orderBy("at").collect() if r["name"] in kinds]
+    grouped = cells.groupBy("row").agg(*[F.max(F.when(F.col("name") == c, F.try_variant_get("v", "$", kinds[c]))).alias(c) for c in names])
     return grouped.orderBy(F.col("row").try_cast("bigint"), "row").select(*[col(n) for n in names])
 
 
-def _common(kinds: list[T.DataType]) -> T.DataType:
-    different = {k.simpleString() for k in kinds}
-    if len(different) == 1:
-        return kinds[0]
-    if different <= {"bigint", "double"}:
-        return T.DoubleType()
-    return T.StringType()
+def _plain_type(kind: str) -> str:
+    """The type of a column from the common type of its cells; what has none becomes text."""
+    if kind in ("VOID", "VARIANT"):
+        return "string"
+    return re.sub(r"DECIMAL\(\d+,\d+\)|FLOAT", "DOUBLE", kind).replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
 
 
 def load_tables(spark: SparkSession, paths: dict[str, str] | list[str], on_error=None) -> dict[str, DataFrame]:

@@ -1,6 +1,7 @@
 """Reading and writing files."""
 
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -35,6 +36,44 @@ def test_csv_with_line_breaks(spark, tmp_path):
     assert not readers.has_quoted_newlines(spark, put(tmp_path, "y.csv", 'id,t\n1,"a ""b"""\n'))
 
 
+def test_one_large_csv_is_read_in_ranges(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(['a', ' ', ',', '"', '\n', '\r\n', 'bc', '""']) for _ in range(rng.randrange(0, 40))) + "x", "".join(rng.choice("\ny") for _ in range(900 if i % 50 == 0 else 1)) + "z")
+            for i in range(400)]
+    data = pd.DataFrame(rows, columns=["id", 'say "it"\nagain', "t"])
+    for name in ("one", "two"):
+        (tmp_path / "d").mkdir(exist_ok=True)
+        data[data["id"] % 2 == (name == "one")].to_csv(tmp_path / "d" / f"{name}.csv", index=False, lineterminator="\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("300", "2000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            records = readers.csv_records(spark, str(tmp_path / "d"))
+            assert records.where("header").count() == 2
+            df = readers.read_csv(spark, str(tmp_path / "d"))
+            assert sorted(tuple(r) for r in df.collect()) == sorted(rows), size
+            assert df.columns == list(data.columns)
+            assert size == "128m" or spark.read.text(str(tmp_path / "d")).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_csv_records_at_the_ends(spark, tmp_path):
+    for text, rows in (('a,b\n"p\n",2', [("p\n", 2)]), ('a,b\n\n"p\n",2\n\n', [("p\n", 2)]), ('a,b\r\n"x\r\ny",2\r\n', [("x\r\ny", 2)]), ('"a",b\n1,"not closed\n', [(1, "not closed")])):
+        path = put(tmp_path, "e.csv", text)
+        got = [tuple(r) for r in readers.read_csv(spark, path, multi_line=True).collect()]
+        assert [tuple(v.rstrip("\n") if isinstance(v, str) and "closed" in v else v for v in r) for r in got] == rows, text
+    with pytest.raises(ValueError):
+        readers.read_csv(spark, put(tmp_path, "nothing.csv", ""), multi_line=True)
+    (tmp_path / "h").mkdir()
+    put(tmp_path / "h", "1.csv", 'a,b\n"1\n2",2\n')
+    put(tmp_path / "h", "2.csv", "b,a\n1,2\n")
+    with pytest.raises(ValueError, match="header"):
+        readers.read_csv(spark, str(tmp_path / "h"))
+
+
 def test_unique_names():
     assert readers.unique_names(["a", "a", None, "a", "a.1"]) == ["a", "a.1", "Unnamed: 2", "a.2", "a.1.1"]
 
@@ -66,6 +105,17 @@ def test_json_of_columns(spark, tmp_path, indent):
         (r.id, r.t, str(r.timestamp)) for r in expected.itertuples()]
 
 
+def test_row_labels_are_no_schema(spark, tmp_path):
+    n = 30_000
+    data = {"a": {str(i): i for i in range(n)}, "b.c": {str(i): i / 4 if i % 7 else None for i in range(n)}, "d": {str(i): [i, f"x{i}"][i % 2] for i in range(n)},
+            "e": {str(i): None for i in range(n)}, "f": {str(i): {"k": i} for i in range(n)}, "g": {str(i): i % 2 == 0 for i in range(n)}}
+    df = readers.read_json(spark, put(tmp_path, "w.json", json.dumps(data)))
+    assert df.dtypes == [("a", "bigint"), ("`b.c`".strip("`"), "double"), ("d", "string"), ("e", "string"), ("f", "struct<k:bigint>"), ("g", "boolean")]
+    rows = df.collect()
+    assert len(rows) == n and len(df._jdf.queryExecution().analyzed().toString()) < 20_000
+    assert tuple(rows[9])[:4] == (9, 2.25, "x9", None) and rows[7]["b.c"] is None and rows[8]["d"] == "8" and rows[8]["f"]["k"] == 8
+
+
 def test_one_flat_record(spark, tmp_path):
     assert readers.read_json(spark, put(tmp_path, "o.json", '{"a": 1, "b": "x"}')).collect()[0].asDict() == {"a": 1, "b": "x"}
 
