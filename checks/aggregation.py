@@ -110,6 +110,16 @@ def v8_two(spark, sf):
                                   ["l_returnflag", "l_linestatus"], values)
 
 
+@query("pivot_sparse", """
+select o_orderpriority as priority, cast(o_custkey as varchar) || '|' || cast(o_orderkey % 16 as varchar) as name, round(sum(o_totalprice), 2) as cell
+from orders where o_orderpriority is not null group by all""")
+def pivot_sparse(spark, sf):
+    """Tens of thousands of columns: customers by a part of the order number."""
+    orders = table(spark, sf, "orders").select("o_orderpriority", "o_custkey", (F.col("o_orderkey") % 16).alias("slot"), "o_totalprice")
+    wide = aggregates.pivot_sparse(orders, ["o_orderpriority"], "o_totalprice", "sum", ["o_custkey", "slot"], part_cells=1000)
+    return wide.select(F.col("o_orderpriority").alias("priority"), F.explode("cells").alias("name", "cell")).withColumn("cell", F.round("cell", 2))
+
+
 @query("pivot_no_columns", """
 select l_returnflag, l_linestatus, round(median(l_extendedprice), 4) as l_extendedprice from lineitem group by l_returnflag, l_linestatus""")
 def v8_none(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import DIRTY_ORDERS, dirty_orders, query, table
 from scrubline.session import scratch_path
-from scrubline.sources import readers, sinks
+from scrubline.sources import readers, samples, sinks
 
 
 @query("s1_read_csv", "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer")
@@ -75,6 +75,20 @@ def s3(spark, sf):
     return out
 
 
+@query("s5_sample_dirty", """
+with n as (select count(*) as n from customer)
+select n + 8 as rows, n as different, 20 as missing_ages, 10 as far_amounts, n // 7 as padded_names, '2023-01-01' as first_date, n as last_id from n""")
+def s5(spark, sf):
+    """The known defects of a sample table with as many rows as there are customers."""
+    df = samples.sample_dirty(spark, table(spark, sf, "customer").count())
+    once = df.distinct()
+    copies = df.agg(F.count("*").cast("bigint").alias("rows"))
+    found = once.agg(F.count("*").alias("different"), F.count_if(F.col("age").isNull()).cast("int").alias("missing_ages"),
+                     F.count_if(F.col("purchase_amount") > 10_000).cast("int").alias("far_amounts"),
+                     F.count_if(F.col("name").like("  Customer %  ")).alias("padded_names"), F.min("signup_date").alias("first_date"), F.max("customer_id").alias("last_id"))
+    return found.withColumn("rows", copies.scalar())
+
+
 @query("s6_write_csv", "select count(*) as rows, count(distinct l_orderkey) as orders, cast(round(sum(l_quantity), 0) as bigint) as quantity from lineitem")
 def s6(spark, sf):
     path = sinks.write_csv(table(spark, sf, "lineitem").select("l_orderkey", "l_quantity"), scratch_path(spark, "lines.csv"))

@@ -53,6 +53,10 @@ DATE_FORMATS = [
     ("%Y%m%d", r"^\d{8}$"),
 ]
 
+# The different shapes, in order: one that is part of another stands before it. No date is longer than the longest month allows.
+SHAPES = list(dict.fromkeys(shape for _, shape in DATE_FORMATS))
+LONGEST_DATE = 64
+
 
 def parse_number(value: Column) -> Column:
     """Text as double; NULL for anything that is not a number.
@@ -106,7 +110,12 @@ def parse_timestamp(value: Column, fmt: str) -> Column:
     beginning, where it is checked to be one and then left out; elsewhere its code is refused. Without a year,
     the year is 1900; two-digit years lie between 1969 and 2068.
     """
-    shape = dict(DATE_FORMATS).get(fmt)
+    shape, parsed = dict(DATE_FORMATS).get(fmt), _parsed(value, fmt)
+    return F.when(value.rlike(shape), parsed) if shape else parsed
+
+
+def _parsed(value: Column, fmt: str) -> Column:
+    """``parse_timestamp`` without a look at the text's shape."""
     text, named, codes = value, None, format_pieces(fmt)
     if codes[:1] in (["%a"], ["%A"]):
         names = WEEKDAYS if codes[0] == "%A" else [w[:3] for w in WEEKDAYS]
@@ -124,7 +133,33 @@ def parse_timestamp(value: Column, fmt: str) -> Column:
         parsed = parsed - F.expr(f"interval '{1970 - YEARLESS}' year")
     if named is not None:
         parsed = F.when(named, parsed)
-    return F.when(value.rlike(shape), parsed) if shape else parsed
+    return parsed
+
+
+def layout(value: Column) -> Column:
+    """The number of the first shape of ``DATE_FORMATS`` that a text has, NULL if it has none.
+
+    Patterns are tried one after the other until one fits; a text that is too long or holds no digit meets none.
+    """
+    tried = None
+    for i, shape in enumerate(SHAPES):
+        fits = value.rlike(shape)
+        tried = F.when(fits, i) if tried is None else tried.when(fits, i)
+    return F.when((F.length(value) <= LONGEST_DATE) & value.rlike(r"\d"), tried)
+
+
+def format_hits(value: Column) -> list[Column]:
+    """Aggregates that count, per entry of ``DATE_FORMATS``, the texts it parses.
+
+    Every format asks for the same ``layout``, which is found once a text; only formats of that layout parse it.
+    """
+    own = layout(value)
+    hits = []
+    for fmt, shape in DATE_FORMATS:
+        # a month of three letters may be an abbreviation or a whole name
+        layouts = [i for i, x in enumerate(SHAPES) if x == shape or x.replace("{3}", "{3,}") == shape]
+        hits.append(F.count(F.when(own.isin(layouts), _parsed(value, fmt))))
+    return hits
 
 
 def to_integer(df: DataFrame, name: str) -> DataFrame:
@@ -167,7 +202,7 @@ def guess_formats(df: DataFrame, names: list[str]) -> dict[str, str | None]:
     """Per text column the date format that parses most values, earlier candidates first; one scan."""
     if not names:
         return {}
-    hits = df.agg(*[F.array(*[F.count(parse_timestamp(col(c), f)) for f, _ in DATE_FORMATS]) for c in names]).head()
+    hits = df.agg(*[F.array(*format_hits(col(c))) for c in names]).head()
     return {c: DATE_FORMATS[h.index(max(h))][0] if max(h) else None for c, h in zip(names, hits)}
 
 
@@ -237,8 +272,7 @@ def date_text_flags(df: DataFrame) -> dict[str, Column]:
     flags = {}
     for c in columns_of(df, "text"):
         if date_name(c):
-            fits = [F.count(parse_timestamp(col(c), f)) for f, _ in DATE_FORMATS]
-            flags[c] = (F.count(col(c)) > 0) & (F.count(col(c)) == F.greatest(*fits))
+            flags[c] = (F.count(col(c)) > 0) & (F.count(col(c)) == F.greatest(*format_hits(col(c))))
     return flags
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,14 +23,19 @@ def trim(value: Column) -> Column:
     return F.regexp_replace(value, EDGE_BLANKS, "")
 
 
-@F.pandas_udf(T.StringType())
-def title(value: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def title(value: pa.Array) -> pa.Array:
     """A capital after everything that is no cased letter: ``it's o-neil`` becomes ``It'S O-Neil``.
 
-    ``initcap`` only looks at blanks, and splitting each text into words and the rest with
-    built-ins takes several times as long as handing Arrow batches to Python.
+    ``initcap`` only looks at blanks. ASCII texts are turned in one call on the batch; for others the letters that
+    become two, or have a form of their own at the beginning of a word, need Python's own rule.
     """
-    return value.str.title()
+    ascii_only = pc.fill_null(pc.string_is_ascii(value), True)
+    out = pc.utf8_title(value)
+    if not pc.all(ascii_only).as_py():
+        other = pc.invert(ascii_only)
+        out = pc.replace_with_mask(out, other, pa.array([x.title() for x in value.filter(other).to_pylist()], out.type))
+    return out
 
 
 def remove_special(value: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -131,20 +132,10 @@ def _pivot_key(columns: list[str]) -> Column:
     return F.concat_ws("|", *[part(c) for c in columns])
 
 
-def pivot_table(
-    df: DataFrame, rows: list[str], value: str, agg: str = "sum", columns: list[str] | None = None,
-    column_values: list[str] | None = None, **median_options,
-) -> DataFrame:
-    """Aggregate ``value`` by row fields, spread over the values of the column fields.
-
-    Rows with a missing key are left out and missing cells are 0. For mean, min, max and median a
-    cell without any value vanishes, and with it a row group that has none; sum and count keep
-    it as 0. Cells are aggregated before the pivot, so the pivot itself handles one row per cell.
-    ``column_values`` names the result columns and saves the job that finds them.
-    """
+def _cells(df: DataFrame, rows: list[str], value: str, agg: str, columns: list[str], median_options: dict) -> DataFrame:
+    """One row for each combination of the row and column fields, with its value as ``__cell``."""
     if agg not in AGGREGATES:
         raise ValueError(f"agg must be one of {AGGREGATES}")
-    columns = columns or []
     if not rows:
         raise ValueError("at least one row field is needed")
     for c in [*rows, *columns]:
@@ -155,13 +146,26 @@ def pivot_table(
     present = df
     for c in fields:
         present = present.where(col(c).isNotNull())
-    keys = [col(c) for c in fields]
     if agg == "median":
-        cells = grouped_median(present, fields, value, "__cell", **median_options)
-    else:
-        cells = present.groupBy(*keys).agg(_aggregate(agg, col(value)).alias("__cell"))
-        if agg not in ("sum", "count"):
-            cells = cells.where(F.col("__cell").isNotNull())
+        return grouped_median(present, fields, value, "__cell", **median_options)
+    cells = present.groupBy(*[col(c) for c in fields]).agg(_aggregate(agg, col(value)).alias("__cell"))
+    return cells if agg in ("sum", "count") else cells.where(F.col("__cell").isNotNull())
+
+
+def pivot_table(
+    df: DataFrame, rows: list[str], value: str, agg: str = "sum", columns: list[str] | None = None,
+    column_values: list[str] | None = None, **median_options,
+) -> DataFrame:
+    """Aggregate ``value`` by row fields, spread over the values of the column fields.
+
+    Rows with a missing key are left out and missing cells are 0. For mean, min, max and median a
+    cell without any value vanishes, and with it a row group that has none; sum and count keep
+    it as 0. Cells are aggregated before the pivot, so the pivot itself handles one row per cell.
+    ``column_values`` names the result columns and saves the job that finds them. Over 10,000 values the
+    engine refuses that many columns; ``pivot_sparse`` has no such limit.
+    """
+    columns = columns or []
+    cells = _cells(df, rows, value, agg, columns, median_options)
     if not columns:
         return cells.withColumnRenamed("__cell", value)
     spread = cells.select(*[col(c) for c in rows], _pivot_key(columns).alias("__key"), "__cell")
@@ -169,6 +173,26 @@ def pivot_table(
     return wide.select(*[col(c) if c in rows else F.coalesce(col(c), F.lit(0)).alias(c) for c in wide.columns])
 
 
+def pivot_sparse(
+    df: DataFrame, rows: list[str], value: str, agg: str = "sum", columns: list[str] | None = None, part_cells: int = 10_000, **median_options,
+) -> DataFrame:
+    """``pivot_table`` of any width: per row group a map ``cells`` of the cells there are, by the name their column would have.
+
+    A missing entry stands for 0. A row group of more than ``part_cells`` cells comes as several rows, numbered by ``part``, so no
+    row outgrows a task: a cell's part follows from its name.
+    """
+    if not columns:
+        raise ValueError("at least one column field is needed")
+    cells = _cells(df, rows, value, agg, columns, median_options).select(*[col(c) for c in rows], _pivot_key(columns).alias("__key"), "__cell")
+    keys = [col(c) for c in rows]
+    sizes = cells.groupBy(*keys).agg(F.count("*").alias("__n"))
+    same = reduce(lambda a, b: a & b, [F.col(f"__r{i}").eqNullSafe(col(c)) for i, c in enumerate(rows)])
+    parts = F.ceil(F.col("__n") / part_cells).cast("int")
+    dealt = cells.join(sizes.select(*[col(c).alias(f"__r{i}") for i, c in enumerate(rows)], "__n"), same)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("__key"), parts).cast("int"))
+    return dealt.groupBy(*keys, "part").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__key", "__cell")))).alias("cells"))
+
+
 def group_totals(df: DataFrame, name: str, value: str | None = None) -> DataFrame:
     """Rows per location, or the sum of a value per location (0 where all values are missing)."""
     total = F.count("*") if value is None else F.coalesce(F.sum(col(value)), F.lit(0))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline.functions.classes import col, require_numeric
+from scrubline.operators.joins import drop_rows
 from scrubline.operators.quantiles import ONE_PASS_BYTES, quantile_columns
 from scrubline.operators.sampling import lowest_hashes
 from scrubline.session import cut_lineage, measured_bytes
@@ -174,7 +175,5 @@ def plot_sample(result: DataFrame, key: list[str], points: int = PLOT_POINTS, se
 
 
 def remove_anomalies(df: DataFrame, result: DataFrame, key: list[str]) -> DataFrame:
-    """The rows not flagged; rows the forest did not see stay."""
-    flagged = result.where("anomaly").select(*[col(k) for k in key])
-    return df.join(flagged, key, "left_anti")
-
+    """The rows not flagged; rows the forest did not see stay. Missing keys match each other, as in joins."""
+    return drop_rows(df, result.where("anomaly"), key)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from scrubline.functions.classes import col, columns_of, wall_micros, wall_time
 from scrubline.functions.convert import (
-    DATE_FORMATS, date_name, date_text_flags, looks_numeric, numeric_text_flags, parse_timestamp,
+    date_name, date_text_flags, format_hits, looks_numeric, numeric_text_flags,
 )
 from scrubline.operators.quantiles import quantile_columns, quantile_row
 from scrubline.operators.sampling import lowest_hashes
@@ -170,7 +170,7 @@ def date_text_columns(
     if sample_rows:
         def fits(c: str) -> DataFrame:
             first = _first_values(df, c, sample_rows, order_by or _no_order())
-            best = F.greatest(*[F.count(parse_timestamp(F.col("v"), f)) for f, _ in DATE_FORMATS])
+            best = F.greatest(*format_hits(F.col("v")))
             return first.agg(((F.count("v") > 0) & (F.count("v") == best)).alias("ok")).select(
                 F.lit(c).alias("column"), "ok")
         flags = reduce(DataFrame.unionByName, [fits(c) for c in named])

@@ -31,17 +31,17 @@ def local_session(cpus: int | str = "*", name: str = "scrubline") -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    ``spark.checkpoint.dir`` wins. Only a local session, where driver and executors are one
-    machine, may fall back to a temporary folder; a cluster without the setting is an error.
+    ``spark.checkpoint.dir`` wins, then the folder of the context's checkpoints. Only a local session, where driver
+    and executors are one process, may fall back to a temporary folder; a cluster without the setting is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="scrubline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="scrubline-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

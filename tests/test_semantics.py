@@ -1,6 +1,10 @@
 """Hand-computed and pandas-computed expectations on small tables."""
 
 import math
+import os
+import random
+import subprocess
+import sys
 
 import pandas as pd
 import pytest
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scrubline.functions import convert, text
 from scrubline.functions.classes import columns_of, normalize_missing
-from scrubline.operators import aggregates, columns, issues, joins, missing, outliers, profile
+from scrubline.operators import aggregates, anomalies, columns, issues, joins, missing, outliers, profile
 from scrubline.plans.autofix import auto_fix
 from scrubline.plans.recipe import Recipe
 from scrubline.plans.report import cleaning_report, render
@@ -355,3 +359,46 @@ def test_correlation_of_constants_across_partitions(spark):
     assert found["c", "e"] == pytest.approx(df.where("not isnan(e)").corr("c", "e"))
     empty = aggregates.correlation_matrix(df.limit(0)).collect()
     assert len(empty) == 25 and all(r["corr"] is None for r in empty)
+
+
+def test_layouts_count_what_each_format_parses(spark):
+    rng = random.Random(2)
+    words = ["2020", "1999", "1", "02", "13", "31", "-", "/", ".", " ", ":", "T", "Jan", "May", "March", "Sept", ", ", "10:20", "10:20:30", ".5", "20200131"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(1, 8))) for _ in range(4000)]
+    stamps = pd.date_range("1990-01-01", "2030-01-01", periods=40)
+    texts += [t.strftime(f) for t in stamps for f, _ in convert.DATE_FORMATS] + [None, "", "x" * 100, "2020-01-01" + " " * 80, "1 " + "Y" * 70 + " 2020"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.agg(F.array(*convert.format_hits(F.col("t")))).head()[0]
+    expected = df.agg(F.array(*[F.count(convert.parse_timestamp(F.col("t"), f)) for f, _ in convert.DATE_FORMATS])).head()[0]
+    assert found == expected and min(found) >= 40
+
+
+def test_rows_with_a_flagged_missing_key_go(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "k int, t string")
+    verdicts = df.withColumn("anomaly", F.col("k").isNull() | (F.col("k") == 3))
+    assert [r["t"] for r in anomalies.remove_anomalies(df, verdicts, ["k"]).collect()] == ["a"]
+
+
+def test_title_case_follows_python(spark):
+    texts = ["it's o-neil", "ABC def", "ß straße", "ǆ ǆabc", "éCOLE été", "ﬁne", "日本 abc", None, "", "x1y2z", "ʼn", "İstanbul i̇"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    got = {r[0]: r[1] for r in df.select("t", text.title("t")).collect()}
+    assert got == {t: None if t is None else t.title() for t in texts}
+
+
+@pytest.mark.parametrize("part_cells", [3, 10_000])
+def test_sparse_pivot_holds_the_cells_of_the_wide_one(spark, part_cells):
+    df = spark.createDataFrame([(i % 3 if i % 11 else None, f"c|{i % 7}", i % 2, float(i)) for i in range(200)], "r int, c string, d int, v double")
+    for agg in ("sum", "mean", "median", "count"):
+        wide = {r["r"]: r.asDict() for r in aggregates.pivot_table(df, ["r"], "v", agg, ["c", "d"]).collect()}
+        sparse = {}
+        for r in aggregates.pivot_sparse(df, ["r"], "v", agg, ["c", "d"], part_cells=part_cells).collect():
+            assert not set(sparse.setdefault(r["r"], {})) & set(r["cells"])
+            sparse[r["r"]] |= r["cells"]
+        assert {k: {c: v for c, v in x.items() if c != "r" and v != 0} for k, x in wide.items()} == {k: {c: v for c, v in x.items() if v != 0} for k, x in sparse.items()}
+
+
+def test_scratch_folder_without_a_setting(tmp_path):
+    code = "from scrubline.session import *; s = local_session(1); assert s.conf.get('spark.checkpoint.dir', None) is None; cut_lineage(s.range(3)).count(); p = scratch_path(s, 'x'); s.range(2).write.parquet(p); print('rows', s.read.parquet(p).count())"
+    run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=120)
+    assert "rows 2" in run.stdout, run.stderr[-800:]
