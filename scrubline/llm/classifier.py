@@ -207,7 +207,9 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     totals = np.concatenate([by_chunk[c].reshape(2, CHUNK) for c in range(BUCKETS // CHUNK)], axis=1)
     frequency = (totals + 1) / (n + 2)[:, None]
     ratio = np.log(frequency[1] / frequency[0])
-    drawn = [(y, k, bytes(data)) for y, k, data in seen.where("chunk = -1").select("y", "k", "data").collect()]
+    # a key may stand for many rows: of those drawn, no more than the sample of each class, by a hash
+    own = seen.where("chunk = -1").select("y", "k", "data", F.xxhash64("k", "data").alias("h"))
+    drawn = [(r["y"], r["k"], bytes(r["data"])) for c in (0, 1) for r in own.where(F.col("y") == c).orderBy("h", "k", "data").limit(sample).collect()]
     return fit(ratio, sorted(drawn, key=lambda r: (r[1], r[2], r[0])), n)
 
 

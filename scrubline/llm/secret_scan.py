@@ -14,7 +14,7 @@ give none.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SCOPE = 256
+WINDOW = 4096  # characters of a text that are looked up at a time
 BLOCK = 256  # array elements whose lengths are summed at a time
 
 # The patterns of the base kinds, in the order in which equal starts are listed.
@@ -31,41 +32,50 @@ ASSIGN_KEPT = (r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}$""",)  # holds for a matc
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 # Weak parts.
-IDENTIFIER = r"""(?:AKIA|ASIA|AROA)[A-Z0-9]{4,}|(?:user|username|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
+NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("user", "username", "login", "account", "client_?id"))
+IDENTIFIER = rf"""(?:AKIA|ASIA|AROA)[A-Z0-9]{{4,}}|(?:{NAMES})["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{{3,}}"""
 KEY = r"[A-Za-z0-9+/_-]{32,}={0,2}"
 KEY_KEPT = ("[0-9]", "[A-Z]", "[a-z]")  # a bare key has all of them
-ENDPOINT = r"""(?:https?|ftp|jdbc|mysql|postgres|redis|mongodb)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{3,}"""
+ENDPOINT = r"""(?:https?|ftp|jdbc|mysql|postgres(?:ql)?|rediss?|mongodb(?:\+srv)?|amqps?|ssh)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{3,}"""
 KINDS = ["assign", "access", "hex", "identifier", "key", "endpoint"]
 BASE = KINDS[:3]
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda total, x: total + x)
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: inside a lambda, an expression would be computed anew wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _running(values: Column) -> Column:
-    """Running sums of an array, by blocks: neither copies arrays nor adds up from the front each time."""
-    n = F.ceil(F.size(values) / BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
-    within = F.transform(blocks, lambda block: F.transform(block, lambda _, i: _sum(F.slice(block, F.lit(1), i + 1))))
-    totals = F.transform(within, lambda block: F.element_at(block, -1))
-    before = F.transform(totals, lambda _, i: _sum(F.slice(totals, F.lit(1), i)))
-    return F.flatten(F.zip_with(within, before, lambda block, start: F.transform(block, lambda x: x + start)))
+def _running(values: Column, add: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Running sums of an array (or what ``add`` makes of two values of at least 0), by blocks: neither copies arrays nor adds up from the front each time."""
+    def upto(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0), add)
+
+    def joined(within: Column) -> Column:
+        before = _once(F.transform(within, lambda block: F.element_at(block, -1)), lambda totals: F.transform(totals, lambda _, i: upto(F.slice(totals, F.lit(1), i))))
+        return F.flatten(F.zip_with(within, before, lambda block, start: F.transform(block, lambda x: add(x, start))))
+
+    def cut(own: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(own) / BLOCK).cast("int") - 1), lambda b: F.slice(own, b * BLOCK + 1, F.lit(BLOCK)))
+        return _once(F.transform(blocks, lambda block: F.transform(block, lambda _, i: upto(F.slice(block, F.lit(1), i + 1)))), joined)
+
+    return _once(values, cut)
 
 
 def spans_of(text: Column, pattern: str, kind: str, kept: Sequence[str] = ()) -> Column:
     """Leftmost non-overlapping matches as (start, rank of the kind, end); of these, those that match each of ``kept``."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    # the text is piece, match, piece, match, ..., piece
-    gaps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda piece, match: F.length(piece) + F.length(match))
-    spans = F.zip_with(_running(gaps), found, lambda end, match: F.struct(
-        (end - F.length(match)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), match.alias("match")))
-    for x in kept:
-        spans = F.filter(spans, lambda s: s["match"].rlike(x))  # noqa: B023
-    bare = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
-    return F.when(text.rlike(pattern), bare).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    def spans(x: Column) -> Column:
+        # the text is piece, match, piece, match, ..., piece
+        gaps = F.zip_with(F.slice(x["pieces"], F.lit(1), F.size(x["found"])), x["found"], lambda piece, match: F.length(piece) + F.length(match))
+        out = F.zip_with(_running(gaps), x["found"], lambda end, match: F.struct(
+            (end - F.length(match)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), match.alias("match")))
+        for test in kept:
+            out = F.filter(out, lambda s: s["match"].rlike(test))  # noqa: B023
+        return F.transform(out, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(text.rlike(pattern), _once(cut, spans)).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
 def base_spans(text: Column) -> Column:
@@ -77,25 +87,24 @@ def weak_parts(text: Column) -> Column:
     return F.concat(spans_of(text, IDENTIFIER, "identifier"), spans_of(text, KEY, "key", KEY_KEPT), spans_of(text, ENDPOINT, "endpoint"))
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return (a["end"] <= b["start"]) | (b["end"] <= a["start"])
-
-
 def links(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """_s_key and the weak parts to report, from rows of _s_key, _s_base and _s_weak."""
-    # a weak part inside a base span is that span's text, not a part of its own
-    alone = F.filter("_s_weak", lambda w: F.forall("_s_base", lambda b: _apart(w, b)))
-    part = (found.where(F.size("_s_weak") > 0).select("_s_key", "_s_base", alone.alias("_s_weak")).where(F.size("_s_weak") > 0)
-            .where(F.size("_s_base") + F.size("_s_weak") > 1)
-            .select("_s_key", F.explode(F.concat("_s_base", "_s_weak")).alias("p")).distinct())
+    held = found.where(F.size("_s_weak") > 0).where(F.size("_s_base") + F.size("_s_weak") > 1)
 
-    def binned(names: Sequence[str], reach: int, prefix: str) -> DataFrame:
+    def binned(part: DataFrame, names: Sequence[str], reach: int, prefix: str) -> DataFrame:
         ranks = [KINDS.index(x) for x in names]
         bins = F.sequence(F.floor((F.col("p.start") - reach) / scope), F.floor((F.col("p.end") + reach - 1) / scope))
         return part.where(F.col("p.rank").isin(ranks)).select(F.col("_s_key").alias(f"{prefix}_key"), F.col("p").alias(prefix), F.explode(bins).alias(f"{prefix}_bin"))
 
-    weak = binned(["identifier", "key", "endpoint"], 0, "w")
-    partner = binned(["assign", "access", "hex", "identifier", "key"], scope, "x")
+    # a weak part inside a base span is that span's text, not a part of its own
+    base, every = (held.select("_s_key", F.explode(c).alias("p")).distinct() for c in ("_s_base", "_s_weak"))
+    inside = binned(every, KINDS[3:], 0, "w").join(binned(base, BASE, 0, "x"), (F.col("w_key") == F.col("x_key")) & (F.col("w_bin") == F.col("x_bin")))
+    inside = inside.where((F.col("w.start") < F.col("x.end")) & (F.col("x.start") < F.col("w.end"))).select("w_key", "w").distinct()
+    alone = every.join(inside, (F.col("_s_key") == F.col("w_key")) & (F.col("p") == F.col("w")), "left_anti")
+    part = materialize(alone.unionByName(base.join(alone.select("_s_key").distinct(), "_s_key", "left_semi")), "parts")
+
+    weak = binned(part, KINDS[3:], 0, "w")
+    partner = binned(part, ["assign", "access", "hex", "identifier", "key"], scope, "x")
     near = (weak.join(partner, (F.col("w_key") == F.col("x_key")) & (F.col("w_bin") == F.col("x_bin")))
             .where((F.col("w.start") < F.col("x.end") + scope) & (F.col("x.start") < F.col("w.end") + scope)))
     is_id = F.col("x.rank").isin(KINDS.index("access"), KINDS.index("identifier"))
@@ -130,16 +139,24 @@ def span_text(spans: Column) -> Column:
 
 def redact(found: DataFrame, text: str = "text", spans: str = "spans", mark: str = "[SECRET]") -> DataFrame:
     """Replace what the spans cover by a mark; spans that overlap or touch become one."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-
-    def add(done: Column, s: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)  # null while there is none
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(last["end"] >= s["start"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(
-            F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-
-    merged = F.aggregate(F.col(spans), none, add)
-    ends = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
-    starts = F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.length(text)))
-    kept = F.zip_with(ends, starts, lambda a, b: F.substring(F.col(text), a + 1, b - a))
-    return found.withColumn(text, F.when(F.size(spans) > 0, F.array_join(kept, mark)).otherwise(F.col(text)))
+    body = F.col(text)
+
+    def cut(windows: Column) -> Column:
+        """Pieces of the text by start and end, from windows: looking up a place walks there from the beginning."""
+        def piece(a: Column, b: Column) -> Column:
+            return F.array_join(F.transform(F.sequence(F.floor(a / WINDOW), F.floor((b - 1) / WINDOW)), lambda k: F.substring(
+                F.get(windows, k.cast("int")), (F.greatest(a - k * WINDOW, F.lit(0)) + 1).cast("int"), (F.least(b, (k + 1) * WINDOW) - F.greatest(a, k * WINDOW)).cast("int"))), "")
+
+        def kept(x: Column) -> Column:
+            # a span begins where all before it have ended: between them lies what is kept
+            first = F.zip_with(x["starts"], F.slice(F.concat(F.array(F.lit(0)), x["ends"]), F.lit(1), F.size(x["starts"])), lambda start, end: F.struct(end.alias("a"), start.alias("b")))
+            gaps = F.filter(first, lambda g, i: (i == 0) | (g["b"] > g["a"]))
+            last = F.struct(F.element_at(x["ends"], -1).alias("a"), F.length(body).alias("b"))
+            return F.array_join(F.transform(F.concat(gaps, F.array(last)), lambda g: F.when(g["b"] > g["a"], piece(g["a"], g["b"])).otherwise("")), mark)
+
+        sorted_ = F.array_sort(F.col(spans))
+        return _once(F.struct(F.transform(sorted_, lambda s: s["start"]).alias("starts"),
+                              _running(F.transform(sorted_, lambda s: s["end"]), lambda a, b: F.greatest(a, b)).alias("ends")), kept)
+
+    windows = F.transform(F.sequence(F.lit(0), F.floor(F.length(body) / WINDOW)), lambda k: F.substring(body, (k * WINDOW + 1).cast("int"), F.lit(WINDOW)))
+    return found.withColumn(text, F.when(F.size(spans) > 0, _once(windows, cut)).otherwise(body))

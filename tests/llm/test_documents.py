@@ -265,6 +265,56 @@ def test_classifier_held_out(spark):
     assert statistics.mean((r.score >= 0.3) == r.quality for r in rows) > 0.95
 
 
+def test_the_sample_is_a_bound_for_repeated_ids(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id % 2 as doc_id", "concat(if(id % 2 = 0, 'good word ', 'bad term '), id, ' more') as text")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id bigint, quality int")
+    given, own = [], classifier.fit
+    monkeypatch.setattr(classifier, "fit", lambda ratio, drawn, n: given.append((drawn, n)) or own(ratio, drawn, n))
+    model = classifier.train(rows, labels, sample=100)
+    drawn, n = given[0]
+    assert len(drawn) == 200 and n.tolist() == [1500, 1500]
+    scores = classifier.score(rows, model).groupBy("doc_id").agg(F.avg("score").alias("s")).collect()
+    assert {r["doc_id"]: r["s"] > 0.5 for r in scores} == {0: False, 1: True}
+
+
+def test_classifier_counts_and_optimum_equal_a_plain_computation(spark):
+    """Log-count ratios from sets of features, and the dual optimum of the same loss by plain projected steps."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"][: 3 + 3 * (i % 2)]) for _ in range(12)), i % 2) for i in range(60)]
+    texts = [r[1] for r in rows]
+    y = np.array([r[2] for r in rows])
+    own = list(classifier.features([t.encode() for t in texts]))
+    counts = np.zeros((2, classifier.BUCKETS))
+    for label, f in zip(y, own):
+        counts[label][f] += 1
+    n = np.bincount(y)
+    expected = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    model = classifier.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    np.testing.assert_allclose(model.ratio, expected, atol=1e-12)
+    vectors = []
+    for f in own:
+        v = expected[f]
+        vectors.append((f, v / np.sqrt(v @ v) if (v @ v) else v))
+    sign, cost = 2 * y - 1, np.full(60, 0.7)
+    w, bias = classifier.descend(vectors, sign, cost, classifier.BUCKETS)
+    used = sorted({int(j) for f, _ in vectors for j in f})
+    dense = np.zeros((60, len(used) + 1))
+    for i, (f, v) in enumerate(vectors):
+        dense[i, np.searchsorted(used, f)] = v
+    dense[:, -1] = 1.0  # the bias is the weight of a constant
+    gram = (dense @ dense.T) * np.outer(sign, sign)
+
+    def dual(a):
+        return a.sum() - 0.5 * a @ gram @ a
+    a = np.zeros(60)
+    for _ in range(20_000):
+        a = np.clip(a + 0.01 * (1 - gram @ a), 0, cost)
+    margins = np.array([w[f] @ v + bias for f, v in vectors]) * sign
+    primal = 0.5 * (w @ w + (bias / dense[0, -1]) ** 2) + (cost * np.maximum(0, 1 - margins)).sum()
+    assert primal == pytest.approx(dual(a), rel=0.02)
+
+
 def test_classifier_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(0, 1), (0, 0), (3, 1), (9, 0), (None, 1), (6, None), (4, 7), (777, 0)], "doc_id bigint, quality int")
     found = classifier.score(odd.withColumn("score", F.lit("x")), classifier.train(odd, labels))

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -292,6 +293,44 @@ def test_secrets_of_odd_rows(spark):
     assert clean[1] == "[SECRET] [SECRET]" and clean[3] == "x" * 400_000 and clean[2] == "[SECRET] [SECRET] " * 1500
 
 
+def test_texts_of_many_spans_take_linear_time(spark):
+    many = "".join(f"token=abcdefg{i} user=bob{i} " + "Ab3" * 12 + " " for i in range(8000))  # 16,000 spans and 8,000 keys
+    df = spark.createDataFrame([(1, many), (2, "password=hunter22 " * 16_000)], "doc_id bigint, text string")
+    secret_scan.redact(secret_scan.find_secrets(df.where("doc_id = 0"))).collect()
+    start = time.perf_counter()
+    rows = {r.doc_id: r for r in secret_scan.find_secrets(df).collect()}
+    assert len(rows[1].base_spans) == 8000 and len(rows[1].spans) == 24_000 and len(rows[2].spans) == 16_000
+    clean = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.find_secrets(df)).collect()}
+    assert clean == {1: "[SECRET] " * 24_000, 2: "[SECRET] " * 16_000}
+    assert time.perf_counter() - start < 60  # minutes when arrays were computed anew
+
+
+def test_redacted_texts_equal_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 7)
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        text = "".join(rng.choices("abcé\U0001f600\n ", k=rng.randrange(0, 60)))
+        spans = sorted((a, rng.randrange(6), rng.randrange(a + 1, len(text) + 1)) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(5) if text else 0)))
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, f"doc_id bigint, text string, spans {secret_scan.SPAN}")
+    for r in secret_scan.redact(df).collect():
+        text, spans = rows[r.doc_id][1:]
+        out, upto = "", 0
+        for i, (a, _, b) in enumerate(spans):
+            if i == 0 or a > upto:
+                out += text[upto:a] + "[SECRET]"
+            upto = max(upto, b)
+        assert r.text == (out + text[upto:] if spans else text), (text, spans)
+
+
+def test_parts_in_either_case_and_with_usual_schemes(spark):
+    texts = {f"{name}=bob1 " + "Ab3" * 12: ["identifier", "key"] for name in ("USER", "UserName", "LOGIN", "Account", "CLIENT_ID", "clientid")}
+    texts |= {f"{scheme}://h.example/p user=bob1 token=abcdefgh": ["endpoint", "identifier", "assign"] for scheme in ("postgresql", "postgres", "mongodb+srv", "rediss", "amqps", "ssh", "https")}
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("doc_id", F.xxhash64("text"))
+    assert {r.text: [secret_scan.KINDS[s.rank] for s in r.spans] for r in secret_scan.find_secrets(df).collect()} == texts
+
+
 def test_secret_plans_have_no_python(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     said = F.coalesce("text", F.lit(""))
