@@ -8,9 +8,10 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.functions.classes import col, dtype, fresh_name, is_datetime, is_numeric, is_text
+from scrubline.functions.classes import col, dtype, fresh_name, is_datetime, is_numeric, is_text, quoted
 
 HOW = ("inner", "left", "right", "outer")
+HEAVY_KEY = 5_000_000  # rows of one key that a single task may join
 
 
 def check_key_types(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> None:
@@ -23,13 +24,21 @@ def check_key_types(left: DataFrame, right: DataFrame, left_key: str, right_key:
                 "and trim text keys")
 
 
-def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
+def most_rows_of_a_key(df: DataFrame, key: str) -> int:
+    """About how many rows share the most frequent key, a missing one included: from a mergeable sketch of a fixed size, in one scan of the key."""
+    top = df.agg(F.expr(f"approx_top_k(xxhash64({quoted(key)}), 1)").alias("top")).head()["top"]
+    return top[0]["count"] if top else 0
+
+
+def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", heavy_key: int = HEAVY_KEY) -> DataFrame:
     """Equi-join where missing keys match each other.
 
     Keys of the same name give one key column; keys of different names are both kept. Other
     names on both sides get ``_x`` and ``_y``. Null-safe equality is an equi-join for the
     planner: it broadcasts a side measured small and sort-merges otherwise, and adaptive
-    execution splits a key that holds much of the table, the missing key included.
+    execution splits a key that holds much of the table, the missing key included. It cannot in a full
+    join: an outer join whose most frequent key has over ``heavy_key`` rows on a side is put together from
+    a left and an anti join, which read both sides twice. A scan of the keys decides; both ways give the same rows.
     """
     if how not in HOW:
         raise ValueError(f"how must be one of {HOW}")
@@ -53,7 +62,9 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     b = right.select(*[col(c).alias(f"r{i}") for i, c in enumerate(right.columns)])
     a_key, b_key = f"l{left.columns.index(left_key)}", f"r{right.columns.index(right_key)}"
     same = F.col(a_key).eqNullSafe(F.col(b_key))
-    if how == "outer":
+    if how == "outer" and most_rows_of_a_key(a, a_key) <= heavy_key and most_rows_of_a_key(b, b_key) <= heavy_key:
+        joined = a.join(b, same, "full")
+    elif how == "outer":
         # adaptive execution can split a dominant key in left and anti joins, not in full joins
         alone = b.join(a.select(a_key).distinct(), same, "left_anti")
         joined = a.join(b, same, "left").unionByName(alone, allowMissingColumns=True)

@@ -402,3 +402,15 @@ def test_scratch_folder_without_a_setting(tmp_path):
     code = "from scrubline.session import *; s = local_session(1); assert s.conf.get('spark.checkpoint.dir', None) is None; cut_lineage(s.range(3)).count(); p = scratch_path(s, 'x'); s.range(2).write.parquet(p); print('rows', s.read.parquet(p).count())"
     run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=120)
     assert "rows 2" in run.stdout, run.stderr[-800:]
+
+
+def test_an_outer_join_is_one_join_unless_a_key_dominates(spark):
+    left = spark.range(500).selectExpr("if(id % 3 = 0, 7, if(id % 5 = 0, null, id)) as k", "id as v")
+    right = spark.range(300).selectExpr("if(id % 4 = 0, 7, if(id % 7 = 0, null, id * 2)) as k", "id as w")
+    assert joins.most_rows_of_a_key(left, "k") == 167 and joins.most_rows_of_a_key(left.where("k is null"), "k") == 67
+    assert joins.most_rows_of_a_key(left.limit(0), "k") == 0
+    one, two = (joins.join_tables(left, right, "k", "k", "outer", heavy_key=n) for n in (1000, 10))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (one, two)]
+    assert [p.count("Join ") for p in plans] == [1, 2] and "FullOuter" in plans[0] and "FullOuter" not in plans[1]
+    assert plans[0].count("Range (") == 2
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
