@@ -3,7 +3,7 @@
 No SQL is given for fingerprints, packing and trained models; tests compare those with brute force, round trips and held-out labels.
 """
 
-from .rules import LEAST, MEASURES, SPREAD
+from .rules import MEASURES, SPREAD, STEADY, UNIT
 from .secret_scan import ACCESS, ASSIGN, ASSIGN_KEPT, ENDPOINT, HEX, IDENTIFIER, KEY, KEY_KEPT, KINDS, SCOPE
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -77,7 +77,7 @@ from n join u using (node) join classes c on c.a = u.rep left join links on link
 
 _MEASURED = ", ".join(f"'{m}': {sql.replace(' div ', ' // ')}" for m, (sql, _, _) in MEASURES.items())
 _BOUNDS = " union all ".join(
-    f"select l.level, l.lang, l.source, l.measure, l.n, {'q1 - ' + f'({SPREAD} * (q3 - q1) + {slack})' if low else '0'} as low, q3 + {SPREAD} * (q3 - q1) + {slack} as high from q l where measure = '{m}'"
+    f"select l.lang, l.source, l.measure, {'q1 - ' + f'({SPREAD} * (q3 - q1) + {slack})' if low else '0'} as low, q3 + {SPREAD} * (q3 - q1) + {slack} as high from q l where measure = '{m}'"
     for m, (_, slack, low) in MEASURES.items())
 OP5 = f"""
 with w as (select doc_id, lang, source, coalesce(text, '') as text, {_WORDS} as ws from documents),
@@ -94,16 +94,18 @@ judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base
 v as (select doc_id, lang, source, unnest(map_entries(map {{{_MEASURED}}})) as m from judged where not base_failed),
 vals as (select doc_id, lang, source, m.key as measure, m.value as value from v),
 each as (select lang, source, measure, value - value % (1::bigint << greatest(length(bin(value)) - 6, 0)) as bucket, count(*) as n from vals group by all),
-levels as (select 0 as level, * from each union all select 1, lang, null, measure, bucket, n from each union all select 2, null, null, measure, bucket, n from each),
-merged as (select level, lang, source, measure, bucket, sum(n) as n from levels group by all),
-ranked as (select *, sum(n) over (partition by level, lang, source, measure order by bucket) as upto, sum(n) over (partition by level, lang, source, measure) as total from merged),
-q as (select level, lang, source, measure, any_value(total) as n, min(bucket) filter (4 * upto >= total) as q1, min(bucket) filter (4 * upto >= 3 * total) as q3 from ranked group by level, lang, source, measure),
-bounds as ({_BOUNDS}),
-chosen as (
-  select a.lang, a.source, a.measure,
-    case when a.n >= {LEAST} then a.low when b.n >= {LEAST} then b.low else c.low end as low, case when a.n >= {LEAST} then a.high when b.n >= {LEAST} then b.high else c.high end as high
-  from bounds a join bounds b on a.level = 0 and b.level = 1 and a.lang is not distinct from b.lang and a.measure = b.measure
-    join bounds c on c.level = 2 and a.measure = c.measure),
+by_lang as (select lang, measure, bucket, sum(n) as n from each group by all),
+whole as (select measure, bucket, sum(n) as n from each group by all),
+lang_share as (select lang, measure, bucket, n * {STEADY * UNIT} // sum(n) over (partition by lang, measure) as weight from by_lang),
+whole_share as (select measure, bucket, n * {STEADY * UNIT} // sum(n) over (partition by measure) as weight from whole),
+groups as (select distinct lang, source from each),
+parts as (select lang, source, measure, bucket, n * {UNIT} as weight from each
+  union all select g.lang, g.source, measure, bucket, weight from groups g join lang_share s on g.lang is not distinct from s.lang
+  union all select g.lang, g.source, measure, bucket, weight from groups g, whole_share),
+merged as (select lang, source, measure, bucket, sum(weight) as n from parts group by all),
+ranked as (select *, sum(n) over (partition by lang, source, measure order by bucket) as upto, sum(n) over (partition by lang, source, measure) as total from merged),
+q as (select lang, source, measure, min(bucket) filter (4 * upto >= total) as q1, min(bucket) filter (4 * upto >= 3 * total) as q3 from ranked group by lang, source, measure),
+chosen as ({_BOUNDS}),
 bad as (select doc_id, bool_or(value not between low and high) as outside from vals x join chosen c
   on x.lang is not distinct from c.lang and x.source is not distinct from c.source and x.measure = c.measure group by doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(outside, false) as kept

@@ -29,7 +29,6 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 SPREAD = 3
 STEADY = 8  # texts
 UNIT = 1 << 16  # weight of a text
-LEAST = 500  # of the SQL in oracles.py
 # Measures, all whole numbers: how they come from the counts, the slack, and whether low values are outliers too.
 MEASURES: dict[str, tuple[str, int, bool]] = {
     "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 100, False),  # per 1,000 words
