@@ -3,9 +3,9 @@
 Documents are cut into pieces of at most ``length`` ids, so nothing is lost; pieces are packed by best fit decreasing: the longest
 first, each into the fullest row that still holds it. The rows' free capacities lie in a segment tree over capacities,
 whose search for the least sufficient one takes steps in the logarithm of the length. Pieces are dealt into shards of
-about SHARD ids by a hash of key and piece, and packed shard by shard: what a task holds does not grow
-with the data, and a shard wastes at most its last rows. A document's pieces may go to different shards; each segment says
-where it belongs.
+about SHARD ids by a number drawn for each piece and written with it, and packed shard by shard: what a task holds does not
+grow with the data, however often a key or a text repeats, and a shard wastes at most its last rows. Runs over the same files draw
+alike. A document's pieces may go to different shards; each segment says where it belongs.
 
 A packed row is a line of the id matrix: ids (little-endian, 2 or 4 bytes each, padded to the length), the cumulative segment
 lengths, the position of each id in its segment (starting anew with every segment; 0 for padding), and per segment
@@ -30,8 +30,11 @@ from .common import materialize, worker_state
 
 LENGTH = 2048
 SHARD = 1 << 20
+TASKS = 1 << 16  # at most; each packs its shards one after the other
 PACKED = ("shard bigint, row int, n_ids int, n_segments int, ids binary, cu_seqlens array<int>, positions binary, "
           "doc_ids array<bigint>, pieces array<bigint>, offsets array<bigint>")
+
+
 def token_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", width: int = 4) -> DataFrame:
     """Add the ids of a text by a file of ranks (base64 bytes and rank a line), little-endian, ``width`` (2 or 4) bytes each; null texts have none.
 
@@ -113,11 +116,13 @@ def pack(df: DataFrame, key: str = "doc_id", ids: str = "ids", length: int = LEN
     # no filter on the ids: if a function makes them, it would run once for the filter and once for the rows
     numbers = F.when(F.octet_length("ids") > 0, F.sequence(F.lit(0), F.floor((F.octet_length("ids") - 1) / size)))
     cut = rows.withColumn("piece", F.explode(numbers))
-    # the number of shards needs a first look at all pieces
-    pieces = materialize(cut.select("key", "piece", F.substring(F.col("ids"), (F.col("piece") * size + 1).cast("int"), F.lit(size)).alias("data")), "pieces")
+    data = F.substring(F.col("ids"), (F.col("piece") * size + 1).cast("int"), F.lit(size))
+    # the number of shards needs a first look at all pieces; a draw that is written is the same in every later attempt
+    pieces = materialize(cut.select("key", "piece", data.alias("data"), (F.rand(11) * (1 << 31)).cast("int").alias("draw")), "pieces")
     total = pieces.agg(F.sum(F.octet_length("data"))).head()[0] or 0
     shards = max(1, -(-total // (id_bytes * shard_ids)))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)))
+    tasks = min(shards, TASKS)
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards))).drop("draw")
 
     def written(data: bytes) -> bytes:
         if given == kind:
@@ -139,7 +144,8 @@ def pack(df: DataFrame, key: str = "doc_id", ids: str = "ids", length: int = LEN
         if held:
             yield from _packed(shard, held, length, kind, pad)
 
-    return dealt.repartition("shard").sortWithinPartitions("shard", "key", "piece", "data").mapInArrow(fill, PACKED)
+    alone = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
+    return alone.sortWithinPartitions("shard", "key", "piece", "data").mapInArrow(fill, PACKED)
 
 
 def _packed(shard: int, pieces: list[tuple[int | None, int, bytes]], length: int, kind: np.dtype, pad: int) -> Iterator[pa.RecordBatch]:
