@@ -39,6 +39,17 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names no column of df has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def slices(batch, rows: int = 256):
     """Parts of an Arrow array or batch, so that few of its rows are Python objects, and few results wait, at the same time."""
     for start in range(0, len(batch), rows):

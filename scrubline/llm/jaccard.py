@@ -15,12 +15,11 @@ from fractions import Fraction
 from math import comb
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
-from .links import classes, node_of
+from .common import materialize, unused
+from .links import classes, digest_of
 
 THRESHOLD = Fraction(4, 5)
 TOLERANCE = 1e-6
@@ -54,23 +53,20 @@ def pruner(permutations: int, threshold: Fraction = THRESHOLD, tolerance: float
 
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per row of df: the key, class_id, n_copies, n_links, row and class_row (which are never null), and node and root,
-    which stand for the row's words and its class."""
+    """One row per row of df: the key, class_id, n_copies, n_links, row and class_row (which are never null), said (a digest of the
+    text), and node and root, which stand for the row's words and its class."""
     found = classes(df, key, text, ROWS, BANDS, threshold, pruner(ROWS * BANDS, threshold, tolerance))
     return found.withColumnRenamed("id", key)
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD) -> DataFrame:
-    """The rows of df that name their class, one for each. A key may stand for several texts: the class's own is meant."""
+    """The rows of df that name their class, one for each. Where the lowest key of a class stands for several of its texts, the one with the
+    lowest digest is meant. Columns of any name are kept."""
+    own, said = unused(df, "own", "said")
     named = jaccard_join(df, key, text, threshold).where("row = class_row")
-    chosen = named.groupBy("root").agg(F.min("row").alias("_j_row"), F.min("node").alias("_j_node")).drop("root")
+    chosen = named.groupBy("root").agg(F.min("row").alias(own), F.min("said").alias(said)).drop("root")
     chosen = materialize(chosen, "chosen")
-
-    @F.arrow_udf("binary")
-    def words(texts: pa.Array) -> pa.Array:
-        return pa.array([node_of((x or "").encode()) for part in slices(texts) for x in part.to_pylist()], pa.binary())
-
-    rows = df.withColumn("_j_own", F.coalesce(F.col(key).cast("bigint"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
-    # joined and made unique by one shuffle of the texts
-    named = rows.join(chosen.hint("merge"), F.col("_j_own") == F.col("_j_row")).withColumn("_j_words", words(F.col(text)))
-    return named.where("_j_words = _j_node").dropDuplicates(["_j_node", "_j_row"]).select(*df.columns)
+    row = F.coalesce(F.col(key).cast("bigint"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    # repeated rows meet map-side, and the shuffle that removes them is the join's
+    rows = df.withColumns({own: row, said: digest_of(text)}).dropDuplicates([own, said])
+    return rows.join(chosen.hint("merge"), [own, said]).select(*df.columns)

@@ -37,7 +37,8 @@ def node_of(text: bytes) -> bytes:
 
 
 def signed(df: DataFrame, key: str, text: str, permutations: int, size: int = SIZE) -> DataFrame:
-    """id (the key), row (the key or, where it is null, a number fixed by the text), node, shingles (their number), signature."""
+    """id (the key), row (the key or, where it is null, a number fixed by the text), said (a digest of the text), node, shingles (their
+    number), signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(permutations, size)
         for batch in (part for whole in batches for part in slices(whole)):
@@ -47,15 +48,21 @@ def signed(df: DataFrame, key: str, text: str, permutations: int, size: int = SI
                 shingles, n = shingle_hashes(texts[i:j], size)
                 values += [x.tobytes() for x in hasher.of_shingles(shingles, n)]
                 counts += n.tolist()
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["row"], pa.array([node_of(x) for x in texts], pa.binary()), pa.array(counts, pa.int64()),
-                                              pa.array(values, pa.binary())], names=["id", "row", "node", "shingles", "signature"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["row"], batch["said"], pa.array([node_of(x) for x in texts], pa.binary()), pa.array(counts, pa.int64()),
+                                              pa.array(values, pa.binary())], names=["id", "row", "said", "node", "shingles", "signature"])
 
-    return _rows(df, key, text).mapInArrow(run, "id bigint, row bigint, node binary, shingles bigint, signature binary")
+    return _rows(df, key, text).mapInArrow(run, "id bigint, row bigint, said binary, node binary, shingles bigint, signature binary")
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     said = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(key).cast("bigint"), F.xxhash64(said)).alias("row"), said.alias("text"))
+    return df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(key).cast("bigint"), F.xxhash64(said)).alias("row"),
+                     digest_of(text).alias("said"), said.alias("text"))
+
+
+def digest_of(text: str) -> Column:
+    """16 bytes that stand for the exact text, made without Python: a key may stand for very many texts."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def _tiles(members: DataFrame, group: list[str], chunks: Column, by: Column, fields: list[str]) -> DataFrame:
@@ -203,23 +210,23 @@ def _verify(sides: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, singl
 def verified(spark: SparkSession, df: DataFrame, key: str, text: str, nodes: DataFrame, forest: DataFrame, threshold: Fraction, size: int = SIZE) -> DataFrame:
     """node, links (how many rows its links lead to) and root, for nodes with a link, all links checked exactly."""
     part = parts(forest)
-    own = part.hint("merge").join(nodes, "node").select("node", "root", F.col("row"), "copies", "shingles")
+    own = part.hint("merge").join(nodes, "node").select("node", "root", "row", "said", "copies", "shingles")
     total = own.groupBy("root").agg(F.count("*").alias("n"), F.sum("shingles").alias("total"))
-    wanted = own.join(total, "root").select("node", "root", "row", "copies", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES)).alias("wanted"))
+    wanted = own.join(total, "root").select("node", "root", "row", "said", "copies", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES)).alias("wanted"))
     wanted = materialize(wanted, "wanted")
-    found = _rows(df, key, text).select("row", "text").join(wanted.hint("merge"), "row")
+    # repeated rows meet map-side, and the shuffle that removes them is the join's
+    texts = _rows(df, key, text).select("row", "said", "text").dropDuplicates(["row", "said"])
+    found = texts.join(wanted.hint("merge"), ["row", "said"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             texts = [x.encode() for x in batch["text"].to_pylist()]
-            own, names = [], batch["node"].to_pylist()
+            own = []
             for i, j in blocks(texts):
                 values, counts = shingle_hashes(texts[i:j], size)
                 own += [np.unique(x).tobytes() for x in np.split(values, np.cumsum(counts)[:-1])]
-            # a key may stand for several texts: only the one meant
-            right = pa.array([node_of(x) == y for x, y in zip(texts, names)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["node"], batch["root"], batch["copies"], batch["wanted"], pa.array(own, pa.binary())],
-                                             names=["node", "root", "copies", "wanted", "set"]).filter(right)
+                                             names=["node", "root", "copies", "wanted", "set"])
 
     sets = found.mapInArrow(shingled, "node binary, root binary, copies bigint, wanted bigint, set binary")
     tiles = _tiles(sets, ["root"], F.col("wanted"), F.xxhash64("node"), ["node", "copies", "set"])
@@ -247,7 +254,7 @@ def verified(spark: SparkSession, df: DataFrame, key: str, text: str, nodes: Dat
 
 
 def classes(df: DataFrame, key: str, text: str, rows: int, bands: int, threshold: Fraction, survive: Survive | None, size: int = SIZE) -> DataFrame:
-    """id, row, node, root, class_row, class_id, n_copies, n_links for every row of df.
+    """id, row, said, node, root, class_row, class_id, n_copies, n_links for every row of df.
 
     Texts are linked if the Jaccard similarity of their shingle sets reaches the threshold; a class is a connected part. root names it; class_id is
     the lowest key in it (null if no member has one), class_row the lowest row number; n_copies counts the other
@@ -255,12 +262,13 @@ def classes(df: DataFrame, key: str, text: str, rows: int, bands: int, threshold
     """
     spark = df.sparkSession
     each = materialize(signed(df, key, text, rows * bands, size), "signed")
-    nodes = materialize(each.groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.count("*").alias("copies"),
-                                                 F.first("shingles").alias("shingles"), F.first("signature").alias("signature")), "nodes")
+    nodes = materialize(each.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("row", "said")).alias("at"), F.count("*").alias("copies"),
+                                                 F.first("shingles").alias("shingles"), F.first("signature").alias("signature"))
+                        .select("node", "id", "at.row", "at.said", "copies", "shingles", "signature"), "nodes")
     linked = verified(spark, df, key, text, nodes, candidates(nodes, rows, bands, survive), threshold, size)
     named = nodes.select("node", "id", "row", "copies").join(linked.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "named")
     lowest = named.groupBy("root").agg(F.min("id").alias("class_id"), F.min("row").alias("class_row"))
     facts = named.join(lowest, "root").select("node", "root", "class_id", "class_row", (F.col("copies") - 1).alias("n_copies"),
                                               (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return each.select("id", "row", "node").join(facts.hint("merge"), "node")
+    return each.select("id", "row", "said", "node").join(facts.hint("merge"), "node")

@@ -161,6 +161,21 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert jaccard.least_agreements(16, Fraction(4, 5), 1e-6) < 16 * 0.5
 
 
+def test_links_where_one_id_stands_for_many_texts(spark):
+    """Different, near and repeated texts under one id: each text is looked up by itself, not by all of its id."""
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(40)]
+    texts = base + [x + " more" for x in base[:20]] + base[:10] * 3 + [x.replace(" ", "  ") for x in base[5:15]]
+    rows = [(7 if i % 3 else None if i % 2 else 7 + i, x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    part, count = brute_links(rows)
+    lowest = {p: min((r[0] for r, q in zip(rows, part) if q == p and r[0] is not None), default=None) for p in set(part)}
+    expected = collections.Counter((r[0], lowest[p], c) for r, p, c in zip(rows, part, count))
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_join(df).collect()) == expected
+    kept = jaccard.one_of_each(df.withColumn("own", F.lit(1)).withColumn("Said", F.lit("x")))
+    assert kept.columns == ["doc_id", "text", "own", "Said"] and kept.count() == len(set(part))
+
+
 def test_one_of_each_keeps_columns_and_one_row_a_class(odd):
     kept = jaccard.one_of_each(odd)
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
