@@ -116,6 +116,15 @@ def test_packing_is_lossless(spark, shard):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, ids binary")).count() == 0
 
 
+def test_no_key_fills_a_shard(spark):
+    """A third of the rows share a null key and one text; shards stay near their bound, and each is a task of its own."""
+    rows = [(None if i % 3 == 0 else i, np.arange(7 if i % 3 == 0 else i % 16 + 1, dtype="<u4").tobytes()) for i in range(6000)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id bigint, ids binary"), length=16, shard_ids=2000)
+    shards = found.withColumn("task", F.spark_partition_id()).groupBy("shard", "task").agg(F.sum("n_ids").alias("n")).collect()
+    assert sum(r.n for r in shards) == sum(len(x) for _, x in rows) // 4
+    assert max(r.n for r in shards) < 2 * 2000 and len({r.task for r in shards}) == len({r.shard for r in shards}) == len(shards) > 20
+
+
 def test_packed_rows_are_written_and_read(spark):
     rows = [(i, np.arange(i * 7 % 40, dtype="<u4").tobytes()) for i in range(50)] + [(None, np.array([1, 2], "<u4").tobytes())]
     df = spark.createDataFrame(rows, "doc_id bigint, ids binary")
@@ -183,7 +192,8 @@ def black_boxes():
     return {"rewriting": rewriting, "trimming": trimming}
 
 
-@pytest.mark.parametrize("name, context, rewrites", [("rewriting", None, True), ("trimming", None, False), ("trimming", 1, False)])
+@pytest.mark.parametrize("name, context, rewrites", [("rewriting", None, True), ("rewriting", 0, True), ("rewriting", 2, True),
+                                                     ("trimming", None, False), ("trimming", 0, False), ("trimming", 1, False)])
 def test_black_boxes(spark, name, context, rewrites):
     render = black_boxes()[name]
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", " yes "), (1, 2, "user", "0"), (1, 3, "assistant", "1")]
@@ -194,6 +204,17 @@ def test_black_boxes(spark, name, context, rewrites):
         assert [row.formatted[s.text_start:s.text_end] for s in row.spans] == ["hi", "yes", "0", "1"]
 
 
+@pytest.mark.parametrize("n", range(1, 10))
+def test_a_rewrite_further_back_than_declared_is_found(n):
+    """The template says it looks at no earlier turn, but the last turn changes the first."""
+    template = chat.Template(lambda turns: "".join(f"[{r}]{t}" for r, t in turns) if len(turns) < n else "", lambda x: [], lambda x: x, 0)
+    grown = chat.Conversation(template, frozenset(["b"]))
+    for i in range(n):
+        grown.add("b", f"t{i}")
+    row = grown.row(5)
+    assert row["rewrites"] == (n > 1) and row["formatted"] == ""
+
+
 def test_odd_conversations(spark):
     rows = [(None, None, None, None, "z"), (None, 1, "assistant", "late", "z"), (2, 1, "user", "b", "z"), (2, 1, "user", "a", "z"), (2, 1, "user", "a", "z"), (3, 0, "assistant", "x" * 300_000, "z")]
     rows += [(4, i, "assistant" if i % 2 else "user", f"t{i}", "z") for i in range(600)]
