@@ -414,3 +414,19 @@ def test_an_outer_join_is_one_join_unless_a_key_dominates(spark):
     assert [p.count("Join ") for p in plans] == [1, 2] and "FullOuter" in plans[0] and "FullOuter" not in plans[1]
     assert plans[0].count("Range (") == 2
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_only_rows_with_copies_are_shuffled_to_remove_copies(spark, monkeypatch):
+    """Odd values, columns named like inner ones, and a filter that is far too small."""
+    nan = float("nan")
+    rows = [(i, f"t{i}", float(i), [i]) for i in range(3000)] + [(i % 7, f"t{i % 7}", float(i % 7), [i % 7]) for i in range(500)]
+    rows += [(None, None, nan, None), (None, None, nan, None), (-1, "z", 0.0, []), (-1, "z", -0.0, []), (-2, None, None, [None]), (-2, "", None, [None])]
+    df = spark.createDataFrame(rows, "word bigint, Marked string, bits double, `a.b` array<int>").repartition(6)
+    expected = 3000 + 1 + 1 + 2
+    marked, name = columns._with_repeats(df)
+    assert 7 + 500 + 4 <= marked.where(name).count() <= 7 + 500 + 4 + 3
+    for words in (columns.WORDS, 4, 1):
+        monkeypatch.setattr(columns, "WORDS", words)
+        out = columns.drop_duplicates(df)
+        assert out.columns == df.columns and out.count() == out.distinct().count() == expected
+    assert columns.drop_duplicates(df.limit(0)).count() == 0
