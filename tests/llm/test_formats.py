@@ -384,3 +384,21 @@ def test_pipeline(spark):
     assert abs(sum(len(r.text.encode().split()) for r in after.collect()) / sum(len(r.text.encode().split()) for r in before.collect()) - 1) < 0.1
     final = corpus_pipeline.run(spark, SF).collect()
     assert len(final) == after.count() and all(r.round_trip for r in final)
+
+
+def test_pipeline_stages_on_odd_rows_and_clashing_names(spark):
+    """Nulls, empty texts, an id used twice and repeated rows; columns named like those inside keep their names and values."""
+    names = ["score", "spans", "base_spans", "Size", "copies", "copy", "other_3", "own", "said", "_s_key", "row", "a.b"]
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    text = given.where("doc_id = 1").head().text
+    rows = [(None, text, None, None, None), (None, None, "en", None, 0), (2, "", "en", "s", 0), (2, "password = hunter2secret and more", "en", "s", 33)]
+    docs = given.union(spark.createDataFrame([*rows, rows[3]], given.schema))
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.materialize(stage(spark, docs, SF), name)
+        assert after.dtypes == docs.dtypes and stage(spark, docs.limit(0), SF).count() == 0
+        found = after.collect()
+        assert found and all(r[n] == f"{n}:{'none' if r.doc_id is None else r.doc_id}" for r in found for n in names)
+        if name == "secret_scans":
+            assert len(found) == docs.count() and sum("hunter2secret" in (r.text or "") for r in found) == 0
+            assert all(r.n_chars == len(r.text) for r in found if r.text is not None)
