@@ -13,7 +13,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from scrubline.functions.classes import col, dtype, is_numeric, is_text
@@ -30,7 +30,11 @@ TOP_FEATURES = 15
 MAX_CATEGORIES = 10_000
 MAX_DEPTH = 30  # the library's greatest depth
 TEST_SHARE = 0.2
-SUBTREE_ROWS = 1_000_000  # training rows of which one task grows a tree or subtree
+SUBTREE_ROWS = 1_000_000  # training rows, or cells of rows in equal bins, of which one task grows a tree or subtree
+CELL_ROWS = 4  # rows a cell on average from which trees are grown over cells
+FEW_DRAWS = 2_000  # different random numbers of which a tree's sample might hold none
+BLOCK = 1 << 17  # rows that are added up at a time
+HELD = 1 << 23  # sums a task hands on at once
 
 
 def problem_stats(df: DataFrame, target: str) -> DataFrame:
@@ -146,7 +150,8 @@ def train_forest(
     """Fit a random forest on 80 % of the rows and predict the rest.
 
     The problem follows from the target (see ``problem_stats``). Regression looks at all features
-    in each split, classification at their square root. Trees grow until ``depth``. Up to ``subtree_rows`` training rows a
+    in each split, classification at their square root. Trees grow until ``depth``. Rows in equal bins of all features (a cell) can never
+    be split, so where cells are far fewer than rows, and at most ``subtree_rows``, each task adds up its rows by cell and tree, and trees are grown over the sums. Else, up to ``subtree_rows`` training rows a
     task grows a tree whole; of more, the library grows levels over all rows until few enough share a node, and tasks grow the
     subtrees below. A numeric feature is split at no more than ``max_bins`` - 1 places, which a quantile sketch
     of all rows gives; one of up to ``max_bins`` values is split between any two. Samples are drawn by a hash of the key, so results
@@ -183,9 +188,17 @@ def train_forest(
         classes=len(labels) if labels else 0, depth=depth, seed=seed, some=max(1, math.ceil(len(names) ** 0.5)) if labels else None)
 
     train = encoded.where("not __test")
-    n = train.count()
+    facts = train.agg(F.count("*").alias("n"), F.approx_count_distinct("__draw").alias("draws"), *([] if labels else [F.max(F.abs("__label")).alias("largest")])).head()
+    n = facts["n"]
     top = leaves = None
     above = 0
+    cell = _cell(used, places, values, plan)
+    if cell is not None:
+        binned = encoded.withColumn("__cell", cell)
+        cells = binned.select("__cell").distinct().count()
+        if cells <= subtree_rows and CELL_ROWS * cells <= n:
+            draws = [r[0] for r in train.select("__draw").distinct().collect()] if facts["draws"] < FEW_DRAWS else None
+            return _over_cells(binned, labels, plan, trees, depth, facts, draws, key, [named[c] if v is None else f"{named[c]}_{v}" for c, v in names])
     if n > subtree_rows:
         above = math.ceil(math.log2(n / subtree_rows)) + 2
         while True:
@@ -199,17 +212,140 @@ def train_forest(
     placed = top.transform(encoded) if top is not None else encoded
     cut = placed.select("__id", "__draw", "__test", "__label", *used, (leaves if top is not None else F.lit(None).cast("array<int>")).alias("__leaves"))
     grown = cut_lineage(_grown(cut, used, places, values, labels, plan, trees, depth - above))
+    predictions = _predictions(encoded, "__id", grown, labels, trees, key)
+    importances, depths = _importances(grown, encoded, labels, len(names), trees, top, above)
+    return Training(problem, importances, [named[c] if v is None else f"{named[c]}_{v}" for c, v in names], predictions,
+                    len(labels) if labels else None, depths, top)
+
+
+def _predictions(rows: DataFrame, by: str, grown: DataFrame, labels: list[str] | None, trees: int, key: list[str]) -> DataFrame:
+    """The test rows with what all trees say about their number in the column ``by``."""
     marks = grown.where("kind = 0")
     if labels is None:
-        votes = marks.groupBy(F.col("id").alias("__id")).agg((F.sum("value") / trees).alias("predicted"))
+        votes = marks.groupBy(F.col("id").alias(by)).agg((F.sum("value") / trees).alias("predicted"))
     else:
-        shares = marks.groupBy("id", "class").agg(F.sum("value").alias("p")).groupBy(F.col("id").alias("__id")).agg(F.min_by("class", F.struct(-F.round("p", 9), F.col("class"))).alias("c"))
-        votes = shares.select("__id", F.get(F.array(*[F.lit(x) for x in labels]), F.col("c")).alias("predicted"))
-    predictions = encoded.where("__test").join(votes, "__id").select(
+        shares = marks.groupBy("id", "class").agg(F.sum("value").alias("p")).groupBy(F.col("id").alias(by)).agg(F.min_by("class", F.struct(-F.round("p", 9), F.col("class"))).alias("c"))
+        votes = shares.select(by, F.get(F.array(*[F.lit(x) for x in labels]), F.col("c")).alias("predicted"))
+    return rows.where("__test").join(votes, by).select(
         *[F.col(f"__k{i}").alias(k) for i, k in enumerate(key)], F.col("__label").alias("actual"), "predicted")
-    importances, depths = _importances(grown, encoded, labels, len(names), trees, top, above)
-    return Training(problem, importances, [named[c] if v is None else f"{named[c]}_{v}" for c, v in names], predictions,
-                    len(labels) if labels else None, depths, top)
+
+
+def _bins(columns: dict[str, pa.Array], used: list[str], places: dict, values: dict) -> np.ndarray:
+    x = np.empty((len(columns[used[0]]) if used else 0, len(used)), np.int32)
+    for i, c in enumerate(used):
+        if c in values:
+            x[:, i] = [values[c].get(v, 0) for v in columns[c].to_pylist()]
+        else:
+            x[:, i] = np.searchsorted(places[c], columns[c].to_numpy(zero_copy_only=False), side="left")
+    return x
+
+
+def _cell(used: list[str], places: dict, values: dict, plan: trees_of.Plan) -> Column | None:
+    """The number of a row's cell: its bins, written as one number; None where that does not fit 64 bits."""
+    if not used or math.prod(plan.bins) * max(1, plan.classes) >= 1 << 62:
+        return None
+
+    @F.arrow_udf("bigint")
+    def number(*columns: pa.Array) -> pa.Array:
+        x = _bins(dict(zip(used, columns)), used, places, values)
+        out = np.zeros(len(x), np.int64)
+        for i, width in enumerate(plan.bins):
+            out = out * width + x[:, i]
+        return pa.array(out)
+
+    return number(*[F.col(c) for c in used])
+
+
+def _over_cells(rows: DataFrame, labels: list[str] | None, plan: trees_of.Plan, trees: int, depth: int, facts: Row, draws: list[int] | None,
+                key: list[str], feature_names: list[str]) -> Training:
+    """A forest over sums of rows in equal cells; what rows of a cell are told is the same, so predictions are looked up by cell."""
+    n, largest = facts["n"], None if labels else facts["largest"]
+    classes = max(1, plan.classes)
+    parts = 1 if labels else 1 + len(trees_of.exact_parts(np.zeros(1), 1.0, n))  # weight, and the parts of the weighted target
+    number = {x: i for i, x in enumerate(labels or [])}
+    every = set() if draws is None else {t for t in range(trees) if not trees_of.times_drawn(np.array(draws, np.int64), t, plan.seed).any()}
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+            table = pa.Table.from_batches(held)
+            cell, draw, test = (table.column(c).to_numpy() for c in ("__cell", "__draw", "__test"))
+            train, said = ~test.astype(bool), table.column("__label")
+            if labels:  # rows of a cell and class are one
+                cell = cell * classes + np.array([number[x] for x in said.to_pylist()], np.int64)
+                targets = []
+            else:
+                targets = trees_of.exact_parts(said.to_numpy()[train].astype(float), largest, n)
+            seen, at = np.unique(cell, return_inverse=True)
+            at, draw = at[train], draw[train]
+            sums = np.zeros((len(seen), trees, parts))
+            for tree in range(trees):
+                w = np.ones(len(draw)) if tree in every else trees_of.times_drawn(draw, tree, plan.seed)
+                for i, t in enumerate([None, *targets]):
+                    sums[:, tree, i] = np.bincount(at, w if t is None else w * t, len(seen))
+            return seen, sums
+
+        def out(seen: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for tree in range(trees):
+                own = [pa.array([x.tobytes()], pa.binary()) for x in (seen, np.ascontiguousarray(sums[:, tree]))]
+                yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), *own], names=["tree", "cells", "sums"])
+
+        held, size, total = [], 0, None
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= BLOCK:
+                total = trees_of.add_to(total, *told(held))
+                held, size = [], 0
+                if total[1].size > HELD:
+                    yield from out(*total)
+                    total = None
+        if size:
+            total = trees_of.add_to(total, *told(held))
+        if total is not None:
+            yield from out(*total)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, size = [], None, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["tree"] != now and held:
+                    yield from _cell_tree(now, *_together(held), plan, depth)
+                    held, size = [], 0
+                now = row["tree"]
+                held.append((np.frombuffer(row["cells"], np.int64), np.frombuffer(row["sums"], float).reshape(-1, parts)))
+                size += len(held[-1][0])
+                if size > 4 * SUBTREE_ROWS + 2 * len(held[0][0]):
+                    held = [_together(held)]
+                    size = len(held[0][0])
+        if held:
+            yield from _cell_tree(now, *_together(held), plan, depth)
+
+    sums = rows.select("__cell", "__draw", "__test", "__label").mapInArrow(add_up, "tree int, cells binary, sums binary")
+    spread = max(trees, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grown = cut_lineage(sums.repartition(spread, "tree").sortWithinPartitions("tree").mapInArrow(fill, GROWN))
+    importances, depths = _importances(grown, rows, labels, len(feature_names), trees, None, 0)
+    return Training("classification" if labels else "regression", importances, feature_names, _predictions(rows, "__cell", grown, labels, trees, key),
+                    len(labels) if labels else None, depths)
+
+
+def _together(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return held[0] if len(held) == 1 else trees_of.merged(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _cell_tree(tree: int, cells: np.ndarray, sums: np.ndarray, plan: trees_of.Plan, depth: int) -> Iterator[pa.RecordBatch]:
+    """One tree over the sums of cells, see ``GROWN``; a row of kind 0 is of a cell."""
+    places, y = (cells // plan.classes, cells % plan.classes) if plan.classes else (cells, np.zeros(len(cells)))
+    x, rest = np.empty((len(cells), len(plan.bins)), np.int32), places
+    for i in range(len(plan.bins) - 1, -1, -1):
+        rest, x[:, i] = np.divmod(rest, plan.bins[i])
+    w = sums[:, 0]
+    wy = None if plan.classes else sums[:, 1:].sum(axis=1)
+    ends, gains, levels = trees_of.grow(x, y, w, plan, [plan.seed, tree, 0], depth, wy)
+    # entries of a cell share its leaf
+    cell, first = np.unique(places, return_index=True)
+    value = trees_of.values_of(ends, y, w, plan.classes, wy)[ends[first]]
+    yield from _marks(tree, cell, value, plan)
+    yield from _facts(tree, gains, levels)
 
 
 def _split_places(rows: DataFrame, names: list[str], max_bins: int) -> dict[str, list[float]]:
@@ -258,12 +394,7 @@ def _grown(rows: DataFrame, used: list[str], places: dict, values: dict, labels:
             test = batch.column("__test").to_numpy(zero_copy_only=False).astype(bool)
             said = batch.column("__label").to_pylist()
             y = np.array([number[x] for x in said] if labels else said, float)
-            x = np.empty((len(y), len(used)), np.int32)
-            for i, c in enumerate(used):
-                if c in values:
-                    x[:, i] = [values[c].get(v, 0) for v in batch.column(c).to_pylist()]
-                else:
-                    x[:, i] = np.searchsorted(places[c], batch.column(c).to_numpy(zero_copy_only=False), side="left")
+            x = _bins({c: batch.column(c) for c in used}, used, places, values).reshape(len(y), len(used))
             at = None
             if batch.num_rows and batch.column("__leaves").null_count == 0:
                 at = np.array(batch.column("__leaves").flatten(), np.int64).reshape(len(y), -1)
@@ -307,18 +438,27 @@ def _one(group: tuple[int, int], held: list[dict], plan: trees_of.Plan, depth: i
     before = trees_of.values_of(np.zeros_like(ends), y, w, plan.classes)[0]
     spread = w.sum() * (1 - (before**2).sum()) if plan.classes else (w * (y - before[0]) ** 2).sum()
 
-    def out(kind: int, i: np.ndarray, classes: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, np.int32)), pa.array(np.full(len(v), tree, np.int32)), pa.array(i.astype(np.int64)),
-                                           pa.array(classes.astype(np.int32)), pa.array(v.astype(float))], names=["kind", "tree", "id", "class", "value"])
+    yield from _marks(tree, ids[test], value, plan)
+    yield from _facts(tree, gains, levels)
+    yield _said(tree, 2, np.zeros(1), np.zeros(1), np.array([spread]))
+
 
+def _said(tree: int, kind: int, i: np.ndarray, classes: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, np.int32)), pa.array(np.full(len(v), tree, np.int32)), pa.array(i.astype(np.int64)),
+                                       pa.array(classes.astype(np.int32)), pa.array(v.astype(float))], names=["kind", "tree", "id", "class", "value"])
+
+
+def _marks(tree: int, ids: np.ndarray, value: np.ndarray, plan: trees_of.Plan) -> Iterator[pa.RecordBatch]:
     row, cls = np.nonzero(value) if plan.classes else (np.arange(len(value)), np.zeros(len(value), int))
     for at in range(0, len(row), 50_000):
         part = slice(at, at + 50_000)
-        yield out(0, ids[test][row[part]], cls[part], value[row[part], cls[part]])
+        yield _said(tree, 0, ids[row[part]], cls[part], value[row[part], cls[part]])
+
+
+def _facts(tree: int, gains: np.ndarray, levels: int) -> Iterator[pa.RecordBatch]:
     column = np.flatnonzero(gains)
-    yield out(1, np.zeros(len(column)), column, gains[column])
-    yield out(2, np.zeros(1), np.zeros(1), np.array([spread]))
-    yield out(3, np.zeros(1), np.zeros(1), np.array([levels]))
+    yield _said(tree, 1, np.zeros(len(column)), column, gains[column])
+    yield _said(tree, 3, np.zeros(1), np.zeros(1), np.array([levels]))
 
 
 def _importances(grown: DataFrame, rows: DataFrame, labels: list[str] | None, columns: int, trees: int, top: PipelineModel | None, above: int) -> tuple[list[float], list[int]]:

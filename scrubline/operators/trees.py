@@ -7,6 +7,7 @@ with the training rows, so a task hands back their predictions and the gains of
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +46,44 @@ def times_drawn(draw: np.ndarray, tree: int, seed: int) -> np.ndarray:
     return np.searchsorted(DRAWN, share, side="right").astype(float)
 
 
+def part_bits(rows: int) -> int:
+    """Bits of a part of a target, see ``exact_parts``; a row is drawn no oftener than there are chances."""
+    return max(1, 51 - math.ceil(math.log2(max(2, rows) * (len(DRAWN) + 1))))
+
+
+def exact_parts(y: np.ndarray, largest: float, rows: int) -> list[np.ndarray]:
+    """Targets as sums of parts of few bits, whose weighted sums over all rows are exact, hence the same in any order."""
+    bits = part_bits(rows)
+    out, rest = [], y
+    for i in range(1, -(-54 // bits) + 1):
+        exponent = math.frexp(largest)[1] - i * bits if 0 < largest < np.inf else -2000
+        part = np.round(np.ldexp(rest, -exponent)) if exponent > -1000 else None
+        part = rest if part is None else np.ldexp(part, exponent)
+        out.append(part)
+        rest = rest - part
+    return out
+
+
+def add_to(total: tuple[np.ndarray, np.ndarray] | None, cells: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Add the sums of ascending cells to those of others."""
+    if total is None or not len(total[0]):
+        return cells, sums
+    at = np.minimum(np.searchsorted(total[0], cells), len(total[0]) - 1)
+    known = total[0][at] == cells
+    total[1][at[known]] += sums[known]
+    if known.all():
+        return total
+    return merged(np.concatenate([total[0], cells[~known]]), np.concatenate([total[1], sums[~known]]))
+
+
+def merged(cells: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells once each, ascending, and the sums (cell, ...) of equal ones."""
+    order = np.argsort(cells, kind="stable")
+    cells = cells[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(cells)), bool), cells[1:] != cells[:-1]]))
+    return cells[first], np.add.reduceat(sums[order], first, axis=0) if len(first) else sums[:0]
+
+
 def _sums(cell: np.ndarray, cells: int, y: np.ndarray, w: np.ndarray, wy: np.ndarray, classes: int) -> np.ndarray:
     """Per cell: weight and weighted target, or the weight of each class."""
     if classes:
@@ -63,10 +102,13 @@ def _weight(sums: np.ndarray, classes: int) -> np.ndarray:
     return sums.sum(axis=-1) if classes else sums[..., 0]
 
 
-def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, plan: Plan, seed: list[int], depth: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Grow one tree over rows of bins; rows of weight 0 only go down. Returns the leaf of each row, the gain of each column, and the levels."""
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, plan: Plan, seed: list[int], depth: int, wy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Grow one tree over rows of bins; rows of weight 0 only go down. Returns the leaf of each row, the gain of each column, and the levels.
+
+    A row may stand for many of equal bins: ``wy`` is then the sum of their weighted targets.
+    """
     columns = [np.ascontiguousarray(x[:, f]) for f in range(len(plan.bins))]
-    y, wy = y.astype(np.int64) if plan.classes else y, w * y
+    y, wy = y.astype(np.int64) if plan.classes else y, w * y if wy is None else wy
     # rows that are still going down, and the node of each: those with a weight, which decide, and the others
     groups = [[rows, np.zeros(len(rows), np.int64)] for rows in (np.flatnonzero(w > 0), np.flatnonzero(w <= 0))]
     leaf = np.zeros(len(y), np.int64)
@@ -131,9 +173,9 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, plan: Plan, seed: list[int
     return leaf, gains, depth
 
 
-def values_of(leaf: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int) -> np.ndarray:
+def values_of(leaf: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, wy: np.ndarray | None = None) -> np.ndarray:
     """Per leaf: the mean target, or the share of each class; leaves without weight take the mean of all."""
-    sums = _sums(leaf, int(leaf.max(initial=0)) + 1, y.astype(np.int64) if classes else y, w, w * y, classes)
+    sums = _sums(leaf, int(leaf.max(initial=0)) + 1, y.astype(np.int64) if classes else y, w, w * y if wy is None else wy, classes)
     weight = _weight(sums, classes)
     own = sums if classes else sums[:, 1:]
     every = own.sum(axis=0) / max(weight.sum(), 1e-300)
