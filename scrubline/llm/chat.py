@@ -5,9 +5,9 @@ successive outputs gives the span each turn adds; rendering the last turn with t
 of its text inside the span. A template that changes what it has already written is found because an output no
 longer starts with the one before.
 
-A template may say how many earlier turns it looks at (``context``; None: all, quadratic in the turns, for templates of which nothing is known). Then each
-turn is rendered behind those alone, and what that gives is not taken on trust: the prefixes of 1, 2, 4, … turns and of all turns are
-rendered whole and compared with the pieces so far, a cost linear in the conversation.
+Every prefix is rendered whole, which is quadratic in the turns. A template may say how many earlier turns it looks at (``context``; None:
+all). Then a conversation of which ``WHOLE`` characters have been rendered goes on behind those turns alone, and what that gives is not taken on
+trust: the further prefixes of a power of two of turns and of all turns are rendered whole and compared with the pieces so far, a cost linear in the conversation.
 
 Rows are sorted by conversation and turn inside partitions and streamed; a task holds one conversation's turns and output.
 
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
 FLUSH = 1 << 24  # characters of output gathered before they are handed to Spark
+WHOLE = 1 << 26  # characters rendered of a conversation before a declared context is made use of
 
 
 @dataclass(frozen=True)
@@ -93,6 +94,7 @@ class Conversation:
         self.pieces, self.size = [self.before], len(self.before)
         self.spans: list[dict] = []
         self.rewrites = False
+        self.whole, self.rendered = True, 0
 
     def add(self, role: str, text: str) -> None:
         render, context, turn = self.template.render, self.template.context, (role, text)
@@ -104,7 +106,9 @@ class Conversation:
             self.size += len(piece)
         else:
             self.rewrites = True
-        if context is None:
+        self.rendered += 3 * len(after)  # with both probes
+        self.whole = self.whole and (context is None or self.rendered <= WHOLE)
+        if self.whole:
             self.window.append(turn)
             self.before = after
         else:
@@ -116,7 +120,7 @@ class Conversation:
 
     def _check(self) -> None:
         """Compare the pieces with the whole prefix, unless every turn's prefix was rendered."""
-        if self.template.context is None or self.rewrites:
+        if self.whole or self.rewrites:
             return
         self.pieces = ["".join(self.pieces)]
         self.rewrites = self.template.render(self.turns) != self.pieces[0]

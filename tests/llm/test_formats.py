@@ -204,6 +204,23 @@ def test_black_boxes(spark, name, context, rewrites):
         assert [row.formatted[s.text_start:s.text_end] for s in row.spans] == ["hi", "yes", "0", "1"]
 
 
+def test_every_prefix_is_rendered(monkeypatch):
+    """Only the prefix of three turns differs, which none of those of a power of two of turns shows; and how much is rendered whole changes no span."""
+    odd = chat.Template(lambda turns: "".join(f"[{r}]{t}" for r, t in turns).upper() if len(turns) == 3 else "".join(f"[{r}]{t}" for r, t in turns), lambda x: [], lambda x: x, 0)
+    grown = chat.Conversation(odd, frozenset(["b"]))
+    for i in range(5):
+        grown.add("b", f"t{i}")
+    assert grown.row(5)["rewrites"]
+    rows = []
+    for most in (1 << 26, 400, 0):
+        monkeypatch.setattr(chat, "WHOLE", most)
+        grown = chat.Conversation(chat.TURNS, frozenset(["assistant"]))
+        for i in range(20):
+            grown.add(["user", "assistant"][i % 2], f"\\t{i} </turn>")
+        rows.append(grown.row(5))
+    assert rows[0] == rows[1] == rows[2] and not rows[0]["rewrites"] and len(rows[0]["spans"]) == 20
+
+
 @pytest.mark.parametrize("n", range(1, 10))
 def test_a_rewrite_further_back_than_declared_is_found(n):
     """The template says it looks at no earlier turn, but the last turn changes the first."""
