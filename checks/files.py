@@ -30,8 +30,8 @@ def s1_multiline(spark, sf):
 
 @query("s1_read_csv_multiline_split", "select doc_id, text, lang, source, n_chars from documents")
 def s1_multiline_split(spark, sf):
-    """One file with line breaks inside quotes, read in ranges."""
-    path = sinks.write_csv(table(spark, sf, "documents").coalesce(1), scratch_path(spark, "one.csv"))
+    """Files with line breaks inside quotes, one a part of the table, each read in ranges."""
+    path = sinks.write_csv(table(spark, sf, "documents"), scratch_path(spark, "one.csv"))
     return readers.read_csv(spark, path, multi_line=True)
 
 

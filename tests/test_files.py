@@ -167,3 +167,20 @@ def test_csv_folder_with_other_headers(spark, tmp_path):
     (tmp_path / "2.csv").write_text("b,a\n1,2\n")
     with pytest.raises(Exception, match="(?i)header"):
         readers.read_csv(spark, str(tmp_path)).collect()
+
+
+def test_no_task_writes_the_whole_multi_line_input(spark, tmp_path):
+    import glob
+
+    from checks import files
+    from scrubline.session import shared_dir
+
+    rows = [(i, f"line one of {i}\nline \"two\", of {i}", "en", "web", 20 + i) for i in range(300)]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    spark.createDataFrame(rows, names).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    pattern = f"{shared_dir(spark).removeprefix('file:')}/one.csv-*"
+    before = set(glob.glob(pattern))
+    found = files.s1_multiline_split(spark, str(tmp_path))
+    assert sorted(map(tuple, found.select(names).collect())) == rows
+    written, = set(glob.glob(pattern)) - before
+    assert len(glob.glob(f"{written}/part-*")) == 3
