@@ -221,21 +221,29 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     """Add the ids of a text and the text that these ids decode to, in one pass over the rows; results are handed on in small batches.
 
     ``encode`` followed by ``decode`` gives the same; there, Spark would put the first function into the second and encode twice.
+    A text goes to the workers once: Spark holds a batch of rows several times, in its own memory and in theirs.
     """
     spec = load(df.sparkSession, path)
     kept = [c for c in df.columns if c not in (ids, decoded)]
-    schema = T.StructType([*df.select(*kept, F.col(text).alias("_said")).schema.fields[:-1], T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
+    at = kept.index(text) if text in kept else len(kept)  # where the text is among the columns that are sent
+    sent = df.select(*kept) if text in kept else df.select(*kept, F.col(text).alias("_said"))
+    schema = T.StructType([*sent.schema.fields[:len(kept)], T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
+
+    def coded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(spec.value)
+        for part in slices(batch):
+            own = [bpe.encode(x) if x else b"" for x in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(own, pa.binary()), pa.array([bpe.decode(x) for x in own], pa.string())],
+                                             names=[*kept, ids, decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bpe = tokenizer(spec.value)
-            for part in slices(batch):
-                own = [bpe.encode(x) if x else b"" for x in part.column(len(kept)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own, pa.binary()), pa.array([bpe.decode(x) for x in own], pa.string())],
-                                                 names=[*kept, ids, decoded])
+            yield from coded(batch)
+            del batch  # before the next one is read
+            pa.default_memory_pool().release_unused()
         worker_state("")  # the task is over: a worker that waits holds no words
 
-    return df.select(*kept, F.col(text).alias("_said")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def id_count(ids: Column) -> Column:

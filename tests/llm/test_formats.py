@@ -73,6 +73,17 @@ def test_bpe_frames(spark):
     assert bpe.encode(df.limit(0), PATH).count() == 0
 
 
+def test_bpe_round_trip_sends_a_text_once(spark):
+    df = spark.createDataFrame([(1, None, b"x"), (2, "né <|endoftext|>!", b"y")], "doc_id bigint, text string, ids binary")
+    expected = [(1, b"", ""), (2, bpe.tokenizer(open(PATH, encoding="utf-8").read()).encode("né <|endoftext|>!"), "né <|endoftext|>!")]
+    for names, sent in (({}, ["doc_id", "text"]), ({"decoded": "text"}, ["doc_id", "_said"])):
+        out = bpe.round_trip(df, PATH, **names)
+        plan = out._jdf.queryExecution().analyzed().children().head().output()
+        assert [plan.apply(i).name() for i in range(plan.size())] == sent
+        assert [(r.doc_id, bytes(r.ids), r[names.get("decoded", "decoded")]) for r in out.orderBy("doc_id").collect()] == expected
+    assert bpe.round_trip(df.repartition(5), PATH).count() == 2 and bpe.round_trip(df.limit(0), PATH).count() == 0
+
+
 # ---- packing
 
 
