@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +67,8 @@ def parse_number(value: Column) -> Column:
     number = F.btrim(value, F.lit(BLANKS)).try_cast("double")
     # digits beyond the range of a double are no number, the word for infinity is one
     overflow = (F.abs(number) == float("inf")) & value.rlike(r"\d")
-    return F.when(value.rlike(NUMBER) & ~overflow, number)
+    # one inside the other, so that only texts of the pattern are cast: a failing cast is costly
+    return F.when(value.rlike(NUMBER), F.when(~overflow, number))
 
 
 def looks_numeric(value: Column) -> Column:
@@ -114,6 +116,14 @@ def parse_timestamp(value: Column, fmt: str) -> Column:
     return F.when(value.rlike(shape), parsed) if shape else parsed
 
 
+def _instant(text: Column, fmt: str) -> Column:
+    """The time of a text by the codes of a format, read as UTC where they name no zone; NULL where it does not match."""
+    pattern, codes = java_pattern(fmt), format_pieces(fmt)
+    if "%z" not in codes and "%Z" not in codes:
+        pattern, text = pattern + " xx", F.concat(text, F.lit(" +0000"))
+    return F.try_to_timestamp(text, F.lit(pattern))
+
+
 def _parsed(value: Column, fmt: str) -> Column:
     """``parse_timestamp`` without a look at the text's shape."""
     text, named, codes = value, None, format_pieces(fmt)
@@ -123,10 +133,7 @@ def _parsed(value: Column, fmt: str) -> Column:
         named, text, codes = value.rlike(weekday), F.regexp_replace(value, weekday, ""), codes[1:]
     if "%a" in codes or "%A" in codes:
         raise ValueError("a weekday name is only supported at the beginning of a format")
-    pattern = java_pattern("".join(codes))
-    if "%z" not in codes and "%Z" not in codes:
-        pattern, text = pattern + " xx", F.concat(text, F.lit(" +0000"))
-    parsed = wall_time(F.unix_micros(F.try_to_timestamp(text, F.lit(pattern))))
+    parsed = wall_time(F.unix_micros(_instant(text, "".join(codes))))
     if "%y" in codes:
         parsed = F.when(F.year(parsed) >= 2000 + CENTURY_YEAR, parsed - F.expr("interval '100' year")).otherwise(parsed)
     elif "%Y" not in codes:
@@ -136,30 +143,30 @@ def _parsed(value: Column, fmt: str) -> Column:
     return parsed
 
 
-def layout(value: Column) -> Column:
-    """The number of the first shape of ``DATE_FORMATS`` that a text has, NULL if it has none.
+def format_bits(value: Column) -> Column:
+    """The formats of ``DATE_FORMATS`` by which a text parses, as bits of a bigint; 0 for none and for NULL.
 
-    Patterns are tried one after the other until one fits; a text that is too long or holds no digit meets none.
+    The shapes are tried one after the other until one fits, and only formats of that shape parse the text; one that is too long or
+    holds no digit meets none. Costly: use it once a row, in a column of its own.
     """
     tried = None
-    for i, shape in enumerate(SHAPES):
+    for shape in SHAPES:
+        # a month of three letters may be an abbreviation or a whole name
+        own = [k for k, (_, x) in enumerate(DATE_FORMATS) if x in (shape, shape.replace("{3}", "{3,}"))]
+        bits = reduce(Column.bitwiseOR, [F.when(_instant(value, DATE_FORMATS[k][0]).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k in own])
         fits = value.rlike(shape)
-        tried = F.when(fits, i) if tried is None else tried.when(fits, i)
-    return F.when((F.length(value) <= LONGEST_DATE) & value.rlike(r"\d"), tried)
+        tried = F.when(fits, bits) if tried is None else tried.when(fits, bits)
+    return F.coalesce(F.when((F.length(value) <= LONGEST_DATE) & value.rlike(r"\d"), tried), F.lit(0)).cast("bigint")
 
 
-def format_hits(value: Column) -> list[Column]:
-    """Aggregates that count, per entry of ``DATE_FORMATS``, the texts it parses.
+def bit_hits(bits: Column) -> list[Column]:
+    """Aggregates that count, per entry of ``DATE_FORMATS``, the texts it parses, given the column of their ``format_bits``."""
+    return [F.count_if(bits.bitwiseAND(F.lit(1 << k)) != 0) for k in range(len(DATE_FORMATS))]
 
-    Every format asks for the same ``layout``, which is found once a text; only formats of that layout parse it.
-    """
-    own = layout(value)
-    hits = []
-    for fmt, shape in DATE_FORMATS:
-        # a month of three letters may be an abbreviation or a whole name
-        layouts = [i for i, x in enumerate(SHAPES) if x == shape or x.replace("{3}", "{3,}") == shape]
-        hits.append(F.count(F.when(own.isin(layouts), _parsed(value, fmt))))
-    return hits
+
+def format_hits(value: Column) -> list[Column]:
+    """The same of a column of texts, which each aggregate parses anew; for many rows, make a column of ``format_bits`` first."""
+    return bit_hits(format_bits(value))
 
 
 def to_integer(df: DataFrame, name: str) -> DataFrame:
@@ -202,7 +209,8 @@ def guess_formats(df: DataFrame, names: list[str]) -> dict[str, str | None]:
     """Per text column the date format that parses most values, earlier candidates first; one scan."""
     if not names:
         return {}
-    hits = df.agg(*[F.array(*format_hits(col(c))) for c in names]).head()
+    bits = df.select(*[format_bits(col(c)).alias(f"b{i}") for i, c in enumerate(names)])
+    hits = bits.agg(*[F.array(*bit_hits(F.col(c))) for c in bits.columns]).head()
     return {c: DATE_FORMATS[h.index(max(h))][0] if max(h) else None for c, h in zip(names, hits)}
 
 
@@ -267,15 +275,6 @@ def date_name(name: str) -> bool:
     return any(k in name.lower() for k in ("date", "time", "dt", "timestamp"))
 
 
-def date_text_flags(df: DataFrame) -> dict[str, Column]:
-    """Per text column with a date-like name an aggregate that is true when one format fits all."""
-    flags = {}
-    for c in columns_of(df, "text"):
-        if date_name(c):
-            flags[c] = (F.count(col(c)) > 0) & (F.count(col(c)) == F.greatest(*format_hits(col(c))))
-    return flags
-
-
 def typed(df: DataFrame, name: str, target: str, **options) -> DataFrame:
     """Convert by the name of the target type: integer, float, string or date."""
     by_name = {"integer": to_integer, "float": to_float, "string": to_text, "date": to_timestamp}

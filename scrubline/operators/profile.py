@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from scrubline.functions.classes import col, columns_of, wall_micros, wall_time
 from scrubline.functions.convert import (
-    date_name, date_text_flags, format_hits, looks_numeric, numeric_text_flags,
+    bit_hits, date_name, format_bits, looks_numeric, numeric_text_flags,
 )
 from scrubline.operators.quantiles import quantile_columns, quantile_row
 from scrubline.operators.sampling import lowest_hashes
@@ -115,21 +115,52 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     )
 
 
-def row_profile(df: DataFrame) -> DataFrame:
-    """One row with everything the score and the issue rules need, from two scans and a shuffle of digests.
+WORD = 60  # flags of a row in one bigint
+
+
+def row_profile(df: DataFrame, dates: bool = True) -> DataFrame:
+    """One row with everything the score and the issue rules need, from a scan with a shuffle of digests, and a scan of date-named texts.
 
     Columns: ``rows``, ``nulls`` (array in column order), ``numeric_text`` and ``date_text`` (arrays
-    in text-column order; the latter NULL where the name suggests no date), ``duplicates``.
+    in text-column order; the latter NULL where the name suggests no date, or without ``dates``), ``duplicates``.
+    What a row is counted for are a few bits, which go with its digest: the table is computed once for both.
     """
-    numeric, dates = numeric_text_flags(df), date_text_flags(df)
     texts = columns_of(df, "text")
+    flags = {("null", c): col(c).isNull() for c in df.columns} | {("number", c): F.coalesce(looks_numeric(col(c)), F.lit(False)) for c in texts}
+    places = {key: divmod(i, WORD) for i, key in enumerate(flags)}
+    words: list[list[Column]] = [[] for _ in range(-(-len(flags) // WORD))]
+    for key, flag in flags.items():
+        words[places[key][0]].append(F.when(flag, F.lit(1 << places[key][1])).otherwise(F.lit(0)).cast("bigint"))
+    keys = [reduce(Column.bitwiseOR, parts).alias(f"w{i}") for i, parts in enumerate(words)]
+    counted = df.select(row_digest(df).alias("row"), *keys).groupBy("row", *[f"w{i}" for i in range(len(words))]).agg(F.count("*").alias("n"))
+
+    def rows_with(kind: str, name: str) -> Column:
+        word, at = places[kind, name]
+        return F.coalesce(F.sum(F.when(F.col(f"w{word}").bitwiseAND(F.lit(1 << at)) != 0, F.col("n"))), F.lit(0).cast("bigint"))
+
+    rows = F.coalesce(F.sum("n"), F.lit(0).cast("bigint"))
     empty = F.array().cast("array<boolean>")
-    return df.agg(
-        F.count("*").alias("rows"),
-        F.array(*[F.count_if(col(c).isNull()) for c in df.columns]).alias("nulls"),
-        (F.array(*[numeric[c] for c in texts]) if texts else empty).alias("numeric_text"),
-        (F.array(*[dates.get(c, F.lit(None).cast("boolean")) for c in texts]) if texts else empty).alias("date_text"),
-    ).withColumn("duplicates", duplicate_count(df).select("duplicates").scalar())
+    return counted.agg(
+        rows.alias("rows"),
+        F.array(*[rows_with("null", c) for c in df.columns]).alias("nulls"),
+        (F.array(*[rows - rows_with("null", c) == rows_with("number", c) for c in texts]) if texts else empty).alias("numeric_text"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
+    ).withColumn("date_text", _date_flags(df, texts) if dates and texts else F.array(*[F.lit(None).cast("boolean") for _ in texts]).cast("array<boolean>"))
+
+
+def _date_flags(df: DataFrame, texts: list[str]) -> Column:
+    """Per text column whether one date format fits all values; NULL where the name suggests no date. One scan."""
+    named = [c for c in texts if date_name(c)]
+    if not named:
+        return F.array(*[F.lit(None).cast("boolean") for _ in texts])
+    one = _one_format(df, named).select(F.array(*[F.col(f"c{named.index(c)}") if c in named else F.lit(None).cast("boolean") for c in texts]).alias("flags"))
+    return one.scalar()
+
+
+def _one_format(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row of c0, c1, ...: whether a column has values and one date format fits them all. The formats of a text are found once a row."""
+    own = df.select(*[F.struct(col(c).alias("v"), format_bits(col(c)).alias("bits")).alias(f"c{i}") for i, c in enumerate(names)])
+    return own.agg(*[((F.count(f"{x}.v") > 0) & (F.count(f"{x}.v") == F.greatest(*bit_hits(F.col(f"{x}.bits"))))).alias(x) for x in own.columns])
 
 
 def _first_values(df: DataFrame, name: str, rows: int, order_by: list[str]) -> DataFrame:
@@ -170,13 +201,12 @@ def date_text_columns(
     if sample_rows:
         def fits(c: str) -> DataFrame:
             first = _first_values(df, c, sample_rows, order_by or _no_order())
-            best = F.greatest(*format_hits(F.col("v")))
-            return first.agg(((F.count("v") > 0) & (F.count("v") == best)).alias("ok")).select(
+            best = F.greatest(*bit_hits(F.col("bits")))
+            return first.select("v", format_bits(F.col("v")).alias("bits")).agg(((F.count("v") > 0) & (F.count("v") == best)).alias("ok")).select(
                 F.lit(c).alias("column"), "ok")
         flags = reduce(DataFrame.unionByName, [fits(c) for c in named])
     else:
-        dates = date_text_flags(df)
-        one = df.agg(*[dates[c].alias(f"c{i}") for i, c in enumerate(named)])
+        one = _one_format(df, named)
         flags = _per_column(one, [F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("ok"))
                                   for i, c in enumerate(named)])
     return flags.where("ok").select("column")
@@ -241,7 +271,7 @@ def quality_score(df: DataFrame) -> DataFrame:
 
     A text column without any value costs the same as one holding numbers.
     """
-    one = row_profile(df).select(
+    one = row_profile(df, dates=False).select(
         "rows",
         F.aggregate("nulls", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("null_cells"),
         "duplicates",

@@ -430,3 +430,44 @@ def test_only_rows_with_copies_are_shuffled_to_remove_copies(spark, monkeypatch)
         out = columns.drop_duplicates(df)
         assert out.columns == df.columns and out.count() == out.distinct().count() == expected
     assert columns.drop_duplicates(df.limit(0)).count() == 0
+
+
+def test_row_profile_computes_its_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(x):
+        seen.add(1)
+        return None if x % 5 == 0 else str(x % 4)
+
+    df = spark.range(40, numPartitions=2).select(costly("id").alias("t"), (F.col("id") % 2).alias("k"))
+    got = profile.quality_score(df).head()
+    # t is missing in 8 rows, else one of 4 texts, each of which goes with one k: 4 + 2 different rows
+    assert (got["rows"], got["null_cells"], got["duplicates"], got["numeric_text_columns"]) == (40, 8, 34, 1)
+    assert seen.value == 40
+
+
+def test_row_profile_of_many_columns(spark):
+    names = [f"c{i}" if i % 3 else f"date {i}" for i in range(45)]  # 90 flags: two words of bits
+    rows = [tuple(None if (i + j) % 7 == 0 else ("x" if j == i % 90 else "2020-01-02") if i % 3 == 0 else "7" if i % 3 == 1 else "-" for i in range(45)) for j in range(30)]
+    rows += rows[:4]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in names)).repartition(3)
+    got = profile.row_profile(df).head()
+    values = [[r[i] for r in rows if r[i] is not None] for i in range(45)]
+    assert got["rows"] == 34 and got["duplicates"] == 34 - len(set(rows))
+    assert got["nulls"] == [34 - len(v) for v in values]
+    assert got["numeric_text"] == [set(v) == {"7"} for v in values]
+    assert got["date_text"] == [set(v) == {"2020-01-02"} if i % 3 == 0 else None for i, v in enumerate(values)]
+    assert profile.row_profile(df, dates=False).head()["date_text"] == [None] * 45
+    none = profile.row_profile(df.limit(0)).head()
+    assert (none["rows"], none["duplicates"], none["nulls"], none["numeric_text"]) == (0, 0, [0] * 45, [True] * 45)
+    assert none["date_text"] == [None if i % 3 else False for i in range(45)]
+
+
+def test_number_texts_at_the_edges(spark):
+    texts = ["", " ", "+", "1", " 1. ", ".5", "1e400", "-1e400", "inf", "-Infinity", "+inf", "NaN", "1d", "1e5", "1,5", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(convert.parse_number(F.col("t")), convert.looks_numeric(F.col("t"))).collect()
+    inf = float("inf")
+    assert [r[0] for r in got] == [None, None, None, 1.0, 1.0, 0.5, None, None, inf, -inf, inf, None, None, 1e5, None, None]
+    assert [r[1] for r in got] == [True, False, False, True, True, True, False, False, True, True, True, False, False, True, False, None]
